@@ -132,7 +132,7 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with each stretch of secret spans replaced by ``mark``; other columns stay. Null texts stay null."""
+    """``docs`` with each stretch of secret spans replaced by ``mark``; other columns stay, but for n_chars of a changed text. Null texts stay null."""
     schema = docs.schema
     text_batches(docs.sparkSession)
 
@@ -148,8 +148,13 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     def run(batches):
         for b in batches:
-            i = b.schema.get_field_index("text")
-            yield b.set_column(i, b.schema.field(i), pa.array([clean(t) for t in b.column(i).to_pylist()], b.schema.field(i).type))
+            i, n = b.schema.get_field_index("text"), b.schema.get_field_index("n_chars")
+            old = b.column(i).to_pylist()
+            new = [clean(t) for t in old]
+            if n >= 0:
+                sizes = [c if t == o else len(t) for c, t, o in zip(b.column(n).to_pylist(), new, old)]
+                b = b.set_column(n, b.schema.field(n), pa.array(sizes, b.schema.field(n).type))
+            yield b.set_column(i, b.schema.field(i), pa.array(new, b.schema.field(i).type))
 
     return docs.mapInArrow(run, schema)
 
