@@ -7,12 +7,16 @@ import difflib
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SPANS = "array<struct<op:string,a0:int,a1:int,b0:int,b1:int>>"
 MIN_RATIO = 0.3
 
 
-@F.pandas_udf(f"struct<ratio:double,spans:{SPANS}>")
+SPAN = T.StructType([T.StructField("op", T.StringType()), *[T.StructField(c, T.IntegerType()) for c in ("a0", "a1", "b0", "b1")]])
+
+
+@F.pandas_udf(T.StructType([T.StructField("ratio", T.DoubleType()), T.StructField("spans", T.ArrayType(SPAN))]))
 def compare(anchor: pd.Series, proposed: pd.Series) -> pd.DataFrame:
     """[G5, M6] character-level similarity and changed spans; no built-in function aligns two texts."""
     ratio, spans = [], []

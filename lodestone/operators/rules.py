@@ -68,7 +68,7 @@ def violations(rules: DataFrame) -> DataFrame:
         F.when(F.count("*").over(rank) > 1, "priority repeats"), F.when(suits.isNull(), "type is unknown"), F.when(kind.isNull(), "field is unknown"),
         F.when(suits.isNotNull() & kind.isNotNull() & (suits != kind), "type does not suit the field"), F.when((F.col("type") == "length_threshold") & F.col("threshold").isNull(), "threshold is missing"), F.when(F.trim(F.coalesce("template", F.lit(""))) == "", "template is empty"),
     )
-    return rules.select("id", F.explode(F.array_compact(checks)).alias("problem"))
+    return rules.withColumn("_problems", F.array_compact(checks)).select("id", F.explode("_problems").alias("problem"))
 
 
 def usable_rules(rules: DataFrame) -> DataFrame:

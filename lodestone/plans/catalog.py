@@ -337,7 +337,7 @@ def centroids(spark, sf):
 
 @query("""WITH k AS (SELECT user_id, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id) AS key FROM events WHERE event_type = 'error' GROUP BY 1),
 n AS (SELECT *, row_number() OVER (PARTITION BY user_id % 2 = 0 ORDER BY key) AS r FROM k)
-SELECT key AS member_key, CASE WHEN user_id % 2 = 0 THEN 'old_' || CAST(user_id AS VARCHAR) ELSE 'cc_' || lpad(CAST(r + 6 AS VARCHAR), greatest(4, length(CAST(r + 6 AS VARCHAR))), '0') END AS cluster_id, CASE WHEN user_id % 2 = 0 THEN 'dismissed' ELSE 'open' END AS status FROM n""")
+SELECT key AS member_key, CASE WHEN user_id % 2 = 0 THEN 'old_' || CAST(user_id AS VARCHAR) ELSE 'cc_' || lpad(CAST(r + 6 AS VARCHAR), CAST(greatest(4, length(CAST(r + 6 AS VARCHAR))) AS INTEGER), '0') END AS cluster_id, CASE WHEN user_id % 2 = 0 THEN 'dismissed' ELSE 'open' END AS status FROM n""")
 def stable_ids(spark, sf):
     k = table(spark, sf, "events").where("event_type = 'error'").groupBy("user_id").agg(F.collect_list("event_id").alias("member_ids"))
     stored = k.where("user_id % 2 = 0").select("member_ids", F.concat(F.lit("old_"), F.col("user_id").cast("string")).alias("cluster_id"), F.lit("dismissed").alias("status"))
