@@ -85,12 +85,12 @@ def slugify(c, default: str = "gap") -> Column:
 
 def first_line(c) -> Column:
     """[X9]"""
-    return F.trim(F.split_part(F.trim(c), F.lit("\n"), F.lit(1)))
+    return F.trim(F.split_part(trimmed(c), F.lit("\n"), F.lit(1)))
 
 
 def truncate_to_words(c, n: int) -> Column:
     """[X9]"""
-    words = F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != "")
+    words = F.filter(F.split(trimmed(c), r"\s+"), lambda w: w != "")
     return F.array_join(F.slice(words, 1, n), " ")
 
 
@@ -143,7 +143,7 @@ def response_type(c, known: list[str], default: str) -> Column:
 
 def strip_fence(c) -> Column:
     """[X18] a fenced block's content."""
-    t = F.trim(c)
+    t = trimmed(c)
     return F.when(t.startswith("```"), F.trim(F.regexp_replace(F.regexp_replace(t, r"^```[^\n]*\n", ""), r"\n?```\s*$", ""))).otherwise(t)
 
 

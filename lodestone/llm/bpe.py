@@ -8,6 +8,7 @@ up instead of encoded. Texts with other white space at a cut go through the libr
 from __future__ import annotations
 
 import base64
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -112,6 +113,11 @@ class Coder:
             table = byte_table()
             self.bytes_of = {i: bytes(table[c] for c in t) if all(c in table for c in t) else t.encode() for t, i in self.inner.get_vocab().items()}
         self.inner.encode_special_tokens = True
+        self.bare = Tokenizer(self.inner.model)
+        self.by_id = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
+        self.alphabet = {i: c for i, c in enumerate(char_of_byte())}
+        self.space = char_of_byte()[32]
+        self.newline = array("I", self._raw(["\n"])[0]).tobytes()
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
@@ -131,6 +137,32 @@ class Coder:
             ids += encode_piece(b, self.ranks) if self.periodic.search(b) else [i for x in self.inner.encode_batch_fast([m], add_special_tokens=False) for i in x.ids]
         return ids
 
+    def _encode_new(self, words: list[str]) -> list[bytes]:
+        """Packed ids of words. A word of letters is one match of the split pattern, so its bytes go to the merges as they
+        are, written in the byte-level alphabet; other words go through the whole library."""
+        out: list[bytes | None] = [None] * len(words)
+        plain, mapped, other = [], [], []
+        for i, w in enumerate(words):
+            body = w[1:] if w[0] == "\n" else w
+            if body.isalpha() and max(body) < "\u0250":
+                plain.append(i)
+                if not body.isascii():
+                    body = body.encode().decode("latin-1").translate(self.alphabet)
+                mapped.append(body if w[0] == "\n" else self.space + body)
+            else:
+                other.append(i)
+        if self.periodic is not None and plain and self.periodic.search("\n".join(words[i] for i in plain).encode()):
+            odd = {i for i in plain if self.periodic.search(words[i].encode())}
+            mapped = [m for i, m in zip(plain, mapped) if i not in odd]
+            plain = [i for i in plain if i not in odd]
+            other += odd
+        for i, x in zip(plain, self.bare.encode_batch_fast(mapped, add_special_tokens=False)):
+            ids = array("I", x.ids).tobytes()
+            out[i] = self.newline + ids if words[i][0] == "\n" else ids
+        for i, x in zip(other, self._raw([words[i] if words[i][0] == "\n" else " " + words[i] for i in other])):
+            out[i] = array("I", x).tobytes()
+        return out
+
     def _lookup(self, words: list[str]) -> list[bytes]:
         """Packed ids of each distinct word; what no cache has is encoded in one call of the library."""
         if len(self.young) > CACHE_PARTS:  # two generations: what is still in use moves to the young one
@@ -158,11 +190,11 @@ class Coder:
             if tail and tail not in self.tails:
                 if len(self.tails) > CACHE_PARTS:
                     self.tails.clear()
-                self.tails[tail] = np.array(self._raw([tail])[0], dtype="<u4").tobytes()
-        for w, ids in zip(new, self._raw([w if w[0] == "\n" else " " + w for w in new])):
-            new[w] = np.array(ids, dtype="<u4").tobytes()
+                self.tails[tail] = array("I", self._raw([tail])[0]).tobytes()
+        for w, ids in zip(new, self._encode_new(list(new))):
+            new[w] = ids
             if len(w) <= CACHE_CHARS:
-                young[w] = new[w]
+                young[w] = ids
         for i, body in zip(missing, bodies):
             w = words[i]
             found[i] = ids = (new.get(body) or young[body]) + (self.tails[w[len(body) :]] if body != w else b"")
@@ -181,7 +213,7 @@ class Coder:
         parts = pc.split_pattern(pc.utf8_slice_codeunits(lines, 1), " ")
         coded = parts.values.dictionary_encode() if isinstance(parts, pa.LargeListArray) else parts.flatten().dictionary_encode()
         ends = parts.offsets.to_numpy(zero_copy_only=False)
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         bad = pc.match_substring_regex(coded.dictionary, SPOILT).to_numpy(zero_copy_only=False).astype(bool)
         good = [w for w, b in zip(words, bad.tolist()) if not b]
         packed = self._lookup(good)
@@ -203,7 +235,7 @@ class Coder:
 
     def decode(self, ids) -> bytes:
         """The bytes of the ids; characters split between tokens come together again."""
-        return b"".join(map(self.bytes_of.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
+        return b"".join(map(self.by_id.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
 
     def starts(self, ids: np.ndarray, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Byte and code-point offset at which each id starts; a token inside a character has that character's offset."""
