@@ -1,8 +1,9 @@
 """Byte-level BPE by the ``tokenizers`` library over Arrow batches.
 
-A text is cut at single spaces and line breaks that stand between two non-space characters. No match of the public
-split pattern crosses such a place, so the ids of the parts are the ids of the whole, and a part seen before is looked
-up instead of encoded. Texts with other white space at a cut go through the library whole.
+A text is cut before each space or line break that a non-space character follows. The public split pattern leaves the
+last character of a run of white space to what follows, so a match always ends there, whatever stands before; the ids of
+the parts are the ids of the whole, and a part seen before is looked up instead of encoded. Where more white space
+follows, the parts stay together as one run.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ import numpy as np
 CACHE_PARTS = 350_000
 #: Longer parts are encoded each time and never kept.
 CACHE_CHARS = 64
-#: Marks that are cut off the end of a word and looked up apart; parts that are empty or have white space at an end, beside one line break (fixed values).
-SPOILT = r"^\n?$|^\n?[\x09-\x0d\x1c-\x20\x{85}\pZ]|[\x09-\x0d\x1c-\x20\x{85}\pZ]$"
+#: Marks that are cut off the end of a word and looked up apart; parts that are empty or begin with white space, beside one line break (fixed values).
+HELD = r"^\n?$|^\n?[\x09-\x0d\x1c-\x20\x{85}\pZ]"
 TAIL = ".,;:!?%&$#*|"
 
 
@@ -121,6 +122,7 @@ class Coder:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {}
 
     def _raw(self, texts: list[str]) -> list[list[int]]:
         out = [x.ids for x in self.inner.encode_batch_fast(texts, add_special_tokens=False)]
@@ -202,6 +204,18 @@ class Coder:
                 young[w] = ids
         return found
 
+    def _lookup_runs(self, runs: list[str]) -> list[bytes]:
+        """Packed ids of each distinct run of parts; a leading line break is an id of its own."""
+        if len(self.runs) > CACHE_PARTS:
+            self.runs.clear()
+        found = list(map(self.runs.get, runs))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        for i, x in zip(missing, self._raw([runs[i][1:] if runs[i][0] == "\n" else " " + runs[i] for i in missing])):
+            found[i] = (self.newline if runs[i][0] == "\n" else b"") + array("I", x).tobytes()
+            if len(runs[i]) <= CACHE_CHARS:
+                self.runs[runs[i]] = found[i]
+        return found
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text as unsigned 32-bit integers."""
         import pyarrow as pa
@@ -213,25 +227,38 @@ class Coder:
         parts = pc.split_pattern(pc.utf8_slice_codeunits(lines, 1), " ")
         coded = parts.values.dictionary_encode() if isinstance(parts, pa.LargeListArray) else parts.flatten().dictionary_encode()
         ends = parts.offsets.to_numpy(zero_copy_only=False)
+        ends = ends - ends[0]
         words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        bad = pc.match_substring_regex(coded.dictionary, SPOILT).to_numpy(zero_copy_only=False).astype(bool)
-        good = [w for w, b in zip(words, bad.tolist()) if not b]
-        packed = self._lookup(good)
-        sizes = np.zeros(len(words), dtype=np.int64)
-        sizes[~bad] = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // 4
-        first = np.cumsum(sizes) - sizes
+        index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        held = pc.match_substring_regex(coded.dictionary, HELD).to_numpy(zero_copy_only=False).astype(bool)
+        joined = held[index]
+        first = np.zeros(len(index), dtype=bool)
+        first[ends[:-1]] = True
+        # runs: a part with the held ones after it; a text's first part always begins one
+        begins = np.flatnonzero(~joined | first)
+        stops = np.append(begins[1:], len(index))
+        runs: dict[str, int] = {}
+        blank = len(words)
+        use = index.copy()
+        use[joined] = blank
+        for s, e in zip(*(x[(stops - begins > 1) | joined[begins]].tolist() for x in (begins, stops))):
+            at = index[s:e].tolist()
+            run = words[at[0]] + "".join(w if w[:1] == "\n" else " " + w for w in map(words.__getitem__, at[1:]))
+            use[s] = runs.setdefault(run, blank + 1 + len(runs))
+        packed = [b""] * blank
+        good = np.unique(use[use < blank]).tolist()
+        for i, ids in zip(good, self._lookup([words[i] for i in good])):
+            packed[i] = ids
+        packed.append(b"")
+        packed += self._lookup_runs(list(runs))
+        sizes = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // 4
+        place = np.cumsum(sizes) - sizes
         pool = np.frombuffer(b"".join(packed), dtype="<u4")
-        index = coded.indices.to_numpy(zero_copy_only=False)
-        count = sizes[index]
+        count = sizes[use]
         upto = np.concatenate([[0], np.cumsum(count)])
-        ids = pool[np.repeat(first[index] - upto[:-1], count) + np.arange(upto[-1])]
-        at = upto[ends - ends[0]]
-        spoilt = np.concatenate([[0], np.cumsum(bad[index])])[ends - ends[0]]
-        whole = np.flatnonzero(np.diff(spoilt))
-        out = [ids[a + 1 : b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]  # less the line break put before each text
-        for i, x in zip(whole.tolist(), self._raw([texts[i] for i in whole])):
-            out[i] = np.array(x, dtype="<u4")
-        return out
+        ids = pool[np.repeat(place[use] - upto[:-1], count) + np.arange(upto[-1])]
+        at = upto[ends]
+        return [ids[a + 1 : b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]  # less the line break put before each text
 
     def decode(self, ids) -> bytes:
         """The bytes of the ids; characters split between tokens come together again."""
