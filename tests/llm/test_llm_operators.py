@@ -211,6 +211,26 @@ def test_near_groups_empty_and_null_ids(spark, empty, odd):
     assert near_dedup.near_groups(odd).count() == odd.count()
 
 
+def test_near_groups_reach_a_link_that_is_outranked_at_both_ends(spark, monkeypatch):
+    ids = [r.id for r in spark.range(1, 23).orderBy(F.xxhash64("id")).collect()]
+    s, r, x, y = ids[:10], ids[10:20], ids[20], ids[21]  # the bucket's leaders are r[0], of two copies, and s[0]
+
+    def edit(words, first, tag):
+        return [f"{tag}{i}" if i in range(first, first + 40, 10) else w for i, w in enumerate(words)]
+
+    base = [f"w{i}" for i in range(200)]
+    moved = edit(base, 5, "x")
+    texts = {y: base, x: moved, **{d: edit(base, 65, f"r{d}n") for d in r}, **{d: edit(moved, 125, f"s{d}n") for d in s}}
+    places = lambda first, value: bytes(value if first <= i < first + 13 else 9 for i in range(bagminhash.PLACES))
+    sigs = {d: places(0, 1) if d == x else places(13, 2) if d == y else places(0, 9) for d in texts}
+    rows = [(d, " ".join(t), "en", "s", 1) for d, t in texts.items()] + [(100, " ".join(texts[r[0]]), "en", "s", 1)]
+    known = [(d, str(d).encode(), 196, [7, d], bytearray(sigs[d])) for d in texts] + [(100, str(r[0]).encode(), 196, [7, r[0]], bytearray(sigs[r[0]]))]
+    made = spark.createDataFrame(known, "doc_id bigint, digest binary, size bigint, bands array<bigint>, sig binary")
+    monkeypatch.setattr(near_dedup, "signatures_of", lambda docs: made)
+    got = near_dedup.near_groups(spark.createDataFrame(rows, DOCS)).collect()
+    assert {g.group_id for g in got} == {1} and {g.group_size for g in got} == {23}
+
+
 def test_bagminhash_is_unbiased():
     rng = random.Random(7)
     errors = []
