@@ -1,7 +1,7 @@
 """Operator 3: license scans by ordered signature rules over a text's words.
 
 Rules are regular expressions over the lower-cased words joined by single spaces. Names of licenses times forms of
-reference give most of them; passages of license texts give the rest. A rule is tried only where its keyword occurs.
+reference give most of them; passages of license texts give the rest. A rule is tried only where one of its keywords occurs.
 Detections are taken by priority, then length; one that lies within a detection taken before is suppressed.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from lodestone.plans.session import table
 from lodestone.plans.shared import text_batches
 
-# Base phrases with labels; license names as SPDX id, keyword and pattern over words; forms of reference; passages.
+# Base phrases with labels; license names as SPDX id, keywords (each alternative of the pattern holds one) and pattern over words; forms of reference; passages.
 BASE = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
 NAMES = [
     ("AFL-3.0", "academic", r"academic free license( v| version)? 3( 0)?"),
@@ -35,7 +35,7 @@ NAMES = [
     ("CC-BY-NC-4.0", "commons", r"creative commons attribution non ?commercial 4 0( international)?( license)?"),
     ("CC-BY-ND-4.0", "commons", r"creative commons attribution no ?deriv(ative)?s 4 0( international)?( license)?"),
     ("CC-BY-NC-SA-4.0", "commons", r"creative commons attribution non ?commercial share ?alike 4 0( international)?( license)?"),
-    ("CDDL-1.0", "cddl", r"(common development and distribution license( version)? 1 0|cddl( v)? ?1 0)"),
+    ("CDDL-1.0", "cddl|common development", r"(common development and distribution license( version)? 1 0|cddl( v)? ?1 0)"),
     ("CECILL-2.1", "cecill", r"cecill( license)?( version)? 2( 1)?"),
     ("EPL-1.0", "eclipse", r"eclipse public license( v| version)? ?1( 0)?"),
     ("EPL-2.0", "eclipse", r"eclipse public license( v| version)? ?2( 0)?"),
@@ -57,7 +57,7 @@ NAMES = [
     ("OFL-1.1", "sil", r"sil open font license( version)?( 1 1)?"),
     ("OSL-3.0", "open software", r"open software license( v| version)? ?3( 0)?"),
     ("PostgreSQL", "postgresql", r"postgresql license"),
-    ("PSF-2.0", "python", r"(python software foundation|psf) license( version)?( 2)?"),
+    ("PSF-2.0", "python|psf", r"(python software foundation|psf) license( version)?( 2)?"),
     ("Unlicense", "unlicense", r"(the )?unlicense"),
     ("WTFPL", "what the", r"do what the [a-z]+ you want to public license"),
     ("Zlib", "zlib", r"zlib license"),
@@ -83,11 +83,11 @@ PASSAGES = [
 ]
 #: Words of a text: lower-cased ASCII letters and digits and every byte of a character beyond ASCII.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-GATE = (b"licen", b"spdx", b"public domain", b"hereby granted", b"redistribut", b"rights reserved", b"warranty", b"cc0", b"creative commons", b"bsd", b"cddl", b"fee is")
+GATE = (b"licen", b"spdx", b"public domain", b"hereby granted", b"redistribut", b"rights reserved", b"warranty", b"cc0", b"creative commons", b"bsd", b"cddl", b"fee is", b"cecill", b"no attribution")
 
 
 def rules() -> list[tuple[int, float, str, str, re.Pattern]]:
-    """(priority, confidence, label, keyword, pattern) in order of priority."""
+    """(priority, confidence, label, keywords, pattern) in order of priority."""
     out = []
     for label, keyword, name in NAMES:
         tag = re.sub(r"[^a-z0-9]+", " ", label.lower())
@@ -106,7 +106,7 @@ def detect(words: str, signature_rules) -> list[tuple[int, int, int, float, str]
     """(start, end, priority, confidence, label) that stay, over words padded by spaces."""
     found = []
     for p, c, label, keyword, pattern in signature_rules:
-        if keyword in words:
+        if any(k in words for k in keyword.split("|")):
             found += [(m.start(), m.end(), p, c, label) for m in pattern.finditer(words)]
     found.sort(key=lambda d: (d[2], d[0] - d[1], d[0], d[4]))
     kept: list[tuple[int, int, int, float, str]] = []

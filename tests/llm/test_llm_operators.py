@@ -136,6 +136,11 @@ def test_license_containment_keeps_the_higher_priority():
     assert [d[4] for d in kept] == ["Apache-2.0"]
 
 
+def test_license_alternatives_stand_alone():
+    texts = {"Released under MIT No Attribution": "MIT-0", "CeCILL 2.1": "CECILL-2.1", "PSF License": "PSF-2.0", "Common Development and Distribution License 1.0": "CDDL-1.0"}
+    assert {t: licenses.judge_text(t, licenses.rules())[5] for t in texts} == texts
+
+
 # 4 exact dedup
 def exact_brute(rows, keep=max):
     groups = defaultdict(list)
