@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import records, text, vector
 from lodestone.operators import clustering, coverage, ingest, metrics, proposals, retrieval, rules, sessions
 from lodestone.plans.session import table
+from lodestone.plans.shared import text_batches
 
 TAU = 0.33
 QUERIES: dict = {}
@@ -422,7 +423,9 @@ def section_chunks(spark, sf):
 
 @query()
 def diff_spans(spark, sf):
-    d = table(spark, sf, "documents").where("n_chars < 400").select("doc_id", "source", "text")
+    text_batches(spark)
+    d = table(spark, sf, "documents").select("doc_id", "source", "text")
     w = Window.partitionBy("source").orderBy("doc_id")
-    pairs = d.withColumn("next", F.lead("text").over(w)).where("next is not null")
-    return pairs.withColumn("c", proposals.compare(F.col("text"), F.col("next"))).select("doc_id", F.round("c.ratio", 6).alias("ratio"), F.size("c.spans").alias("n_spans"))
+    pairs = d.withColumn("next", F.lead(F.struct("text")).over(w)).where("next is not null")
+    pairs = pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    return pairs.withColumn("c", proposals.compare(F.col("text"), F.col("next.text"))).select("doc_id", F.round("c.ratio", 6).alias("ratio"), F.size("c.spans").alias("n_spans"))

@@ -1,5 +1,6 @@
 """Operators on the survey's fixtures, and the library's queries on small data."""
 
+import difflib
 import random
 from datetime import datetime, timedelta
 
@@ -156,6 +157,18 @@ def test_proposals(spark):
     assert {r.proposal_id: r.status for r in proposals.apply_decisions(p, d).collect()} == {"ap_0001": "rejected", "ap_0002": "pending"}
 
 
+def test_diff_spans_takes_every_document(spark, monkeypatch):
+    long = " ".join(f"word{i % 37}" for i in range(300))
+    texts = ["abc", long, long.replace("word7 ", "edited "), None, "abcd"]
+    docs = spark.createDataFrame([(i, t, "s", None if i == 0 else len(t or "")) for i, t in enumerate(texts)], "doc_id bigint, text string, source string, n_chars bigint")
+    monkeypatch.setattr(catalog, "table", lambda *a: docs)
+    want = {}
+    for i, (a, b) in enumerate(zip(texts, texts[1:])):
+        m = difflib.SequenceMatcher(a=a or "", b=b or "", autojunk=False)
+        want[i] = (round(m.ratio(), 6), sum(o[0] != "equal" for o in m.get_opcodes()))
+    assert {r.doc_id: (r.ratio, r.n_spans) for r in catalog.QUERIES["diff_spans"](spark, "").collect()} == want
+
+
 def test_store(spark, tmp_path):
     s = store.Store(spark, str(tmp_path / "s"), "id bigint, name string")
     assert s.read().count() == 0 and s.next_id == 1
