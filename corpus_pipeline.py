@@ -28,9 +28,11 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays; documents without an id stay."""
-    dropped = near_dedup.near_groups(docs).where("not kept and doc_id is not null").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near duplicates the document with the smallest id stays; rows are known by their id and text."""
+    key = lambda text: F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), text)
+    dropped = near_dedup.near_groups(docs).where("not kept").select(key(F.col("text_key")).alias(KEY)).distinct()
+    keyed = docs.withColumn(KEY, key(F.md5(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))))
+    return keyed.join(dropped, KEY, "left_anti").select(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
