@@ -1,8 +1,12 @@
 """Operator 8: secret scans with assignment-aware lexing.
 
-Besides the three base patterns, lines of source or configuration syntax are read into pairs of a name and a value. A
-value is a literal, a name bound earlier in the text, or several of these joined by plus signs; bound names stand for
-what they were bound to. A literal is scored by its target name and by how random it looks.
+Besides the three base patterns, source and configuration syntax is read into pairs of a name and a value: ``name = v``,
+``name: v``, ``name := v``, ``name => v``, ``name: Type = v``, ``"name": v``, ``table["name"] = v``, ``--name=v``,
+``#define name v`` and ``<name>v</name>``. A value is a literal, a name bound earlier in the text, or several of these
+joined (``+``, ``..``, ``||``, neighbouring strings, over line ends too); a list gives its name to each item; strings may
+hold names (``${name}``, ``{name}``). Bound names stand for what they were bound to: a value keeps its length, its counts
+of bytes and links to its parts, never a copy of them, so the work is linear in the text however names are doubled. A
+literal is scored by its target name, or the name of the section around it, and by how random the whole value looks.
 """
 
 from __future__ import annotations
@@ -26,21 +30,64 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 STEMS = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "secret": 1.0, "credential": 0.9, "token": 0.9, "apikey": 0.9, "accesskey": 0.9, "privatekey": 1.0, "authkey": 0.8, "signingkey": 0.8, "pwd": 0.7}
 PLACEHOLDERS = re.compile(r"(?i)^(x+|\*+|\.+|changeme|example|placeholder|your[-_ ].*|<.*>|none|null|true|false|undefined|test|dummy|redacted|secret|password|token)$")
-PAIR = re.compile(r"""(?:["']([A-Za-z_][\w.-]{0,63})["']|\b([A-Za-z_][\w.-]{0,63}))[ \t]*(?::=|=>|[:=](?![:=/]))[ \t]*""")
-PART = re.compile(r"""(?P<q>["'`])(?P<s>(?:\\.|(?!(?P=q))[^\n\\])*)(?P=q)|(?P<w>[A-Za-z0-9_][A-Za-z0-9+/_.=-]*)""")
-PLUS = re.compile(r"[ \t]*\+[ \t]*")
+NAME = r"[A-Za-z_][A-Za-z0-9_.-]*+"
+PAIR = re.compile(rf"""(?:["'](?P<key>{NAME})["'][ \t]*+\]?|\#define[ \t]++(?P<macro>{NAME})(?=[ \t])|<(?P<tag>{NAME})>|(?<![\w.-])-{{0,2}}(?P<name>{NAME}))(?(macro)|(?(tag)|[ \t]*+(?P<op>:=|=>|[:=](?![:=/]))))(?(op)(?:(?<=:)[ \t]*+[&*]?[A-Za-z_][\w.:<>\[\]|?]*+[ \t]++=(?!=))?)[ \t]*+""")
+STRING = r"""(?P<q>["'`])(?P<s>(?:\\.|(?!(?P=q))[^\n\\])*+)(?P=q)"""
+PART = re.compile(rf"""[ \t]*+(?:{STRING}|(?P<w>[A-Za-z0-9_][A-Za-z0-9+/_.=-]*+)(?![(\[]))""")
+OPEN = re.compile(r"[ \t]*+(?:\\?\r?\n[ \t]*+)?[(\[]\s*+")
+PLUS = re.compile(r"""[ \t]*+(?:\\?\r?\n[ \t]*+)?(?:\+|\.\.|\|\|)[ \t]*+(?:\\?\r?\n[ \t]*+)?|(?<=["'`])[ \t]*+(?:\\?\r?\n[ \t]*+)?(?=["'`](?!["'`]?[ \t]*[:=]))""")
+COMMA = re.compile(r"\s*+,\s*+")
+INNER = re.compile(r"\$?\{([A-Za-z_]\w*+)\}|\$([A-Za-z_]\w*+)")
+CHAIN = re.compile(r"[A-Za-z_]+(?:\.[A-Za-z_]+)+\.?$")
 THRESHOLD = 0.6
+#: Weight of a sensitive section's name for the names inside it.
+INSIDE = 0.9
+HEAD = 64
 HEX_BYTES = bytes(104 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
+#: What names hold besides letters; a text without these still has every stem that a name in it has.
+JOINTS = dict.fromkeys(map(ord, "_.-0123456789"))
 
 
-def randomness(value: str) -> float:
-    """0 to 1: entropy of the characters against that of 16 distinct ones, for values of 8 or more."""
-    if len(value) < 8 or PLACEHOLDERS.match(value):
-        return 0.0
-    n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    mixed = sum(bool(re.search(p, value)) for p in (r"[a-z]", r"[A-Z]", r"\d", r"[^A-Za-z0-9]"))
-    return min(1.0, entropy / 4) * (1.0 if mixed >= 2 else 0.7)
+class Value:
+    """A bound value: its first characters, last one, length and counts of bytes, own spans, and the values it is made of."""
+
+    __slots__ = ("head", "last", "length", "counts", "spans", "parts")
+
+    def __init__(self, head: str, last: str, length: int, counts: Counter, spans: list, parts: list):
+        self.head, self.last, self.length, self.counts, self.spans, self.parts = head, last, length, counts, spans, parts
+
+    @classmethod
+    def literal(cls, text: str, span: tuple[int, int]) -> Value:
+        return cls(text[:HEAD], text[-1:], len(text), Counter(text.encode("utf-8", "surrogatepass")), [span], [])
+
+    @classmethod
+    def joined(cls, parts: list[Value]) -> Value:
+        if len(parts) == 1:
+            return parts[0]
+        head = ""
+        for p in parts:
+            head = (head + p.head)[:HEAD]
+            if p.length > HEAD:
+                break
+        counts: Counter = Counter()
+        for p in parts:
+            counts.update(p.counts)
+        return cls(head, next((p.last for p in reversed(parts) if p.last), ""), sum(p.length for p in parts), counts, [], parts)
+
+    def placeholder(self) -> bool:
+        if self.length <= HEAD:
+            return bool(PLACEHOLDERS.match(self.head))
+        alike = len(self.counts) == 1 or set(self.counts) == set(b"xX")
+        return alike and self.head[0] in "xX*." or bool(re.match(r"(?i)your[-_ ]", self.head)) or self.head[0] == "<" and self.last == ">"
+
+    def randomness(self) -> float:
+        """0 to 1: entropy of the bytes against that of 16 distinct ones, for values of 8 or more characters."""
+        if self.length < 8 or self.placeholder():
+            return 0.0
+        n = sum(self.counts.values())
+        entropy = -sum(c / n * math.log2(c / n) for c in self.counts.values() if c / n > 0)
+        kinds = {1 if 97 <= b <= 122 else 2 if 65 <= b <= 90 else 3 if 48 <= b <= 57 else 4 for b in self.counts}
+        return min(1.0, entropy / 4) * (1.0 if len(kinds) >= 2 else 0.7)
 
 
 def sensitivity(name: str) -> float:
@@ -49,33 +96,80 @@ def sensitivity(name: str) -> float:
     return max((w for s, w in STEMS.items() if s in plain), default=0.0)
 
 
+def expression(text: str, at: int, bound: dict[str, Value]) -> tuple[Value | None, int]:
+    """The value that starts at ``at`` and the place after it."""
+    parts: list[Value] = []
+    while part := PART.match(text, at):
+        word, end = part["w"], part.end()
+        if word is None:
+            own, inner = part["s"], []
+            if "{" in own or "$" in own:
+                inner = [bound[n] for n in (m[1] or m[2] for m in INNER.finditer(own)) if n in bound]
+                own = INNER.sub(lambda m: "" if (m[1] or m[2]) in bound else m[0], own)
+            parts.append(Value.joined([*([Value.literal(own, part.span("s"))] if own or not inner else []), *inner]))
+        else:
+            name = word.partition("+")[0]
+            if name in bound and name != word:
+                word, end = name, part.start("w") + len(name)
+            if word in bound:
+                parts.append(bound[word])
+            elif not parts and not CHAIN.match(word):
+                parts.append(Value.literal(word, (part.start("w"), end)))
+            else:
+                break
+        at = end
+        if not (plus := PLUS.match(text, at)):
+            break
+        at = plus.end()
+    return (Value.joined(parts) if parts else None), at
+
+
 def lexed(text: str) -> list[tuple[int, int]]:
     """Spans of literals whose value reaches a sensitive name with a score of THRESHOLD or more."""
-    bound: dict[str, tuple[str, list[tuple[int, int]]]] = {}
-    out: set[tuple[int, int]] = set()
-    at = 0
+    bound: dict[str, Value] = {}
+    sections: list[tuple[int, float]] = []  # indentation and weight of the sections around a pair
+    reached: list[Value] = []
+    at = line = 0
     while m := PAIR.search(text, at):
-        name, at = m[1] or m[2], m.end()
-        value, spans, first = "", [], True
-        while part := PART.match(text, at):
-            word = part["w"]
-            if word is not None:
-                if word in bound:
-                    value, spans = value + bound[word][0], spans + bound[word][1]
-                elif first:
-                    value, spans = value + word, [*spans, part.span("w")]
-                else:
+        name = m["key"] or m["macro"] or m["tag"] or m["name"]
+        line = max(line, text.rfind("\n", at, m.start()) + 1)
+        indent = m.start() - line
+        while sections and sections[-1][0] >= indent:
+            sections.pop()
+        weight = max(sensitivity(name), max((w for _, w in sections), default=0.0) * INSIDE)
+        at = m.end()
+        listed = None if m["tag"] else OPEN.match(text, at)
+        values = []
+        if m["tag"]:
+            close = text.find("<", at)
+            if close >= 0 and text.startswith(f"</{name}>", close) and (inner := text[at:close]).strip():
+                values, at = [Value.literal(inner, (at, close))], close
+        elif listed:
+            at = listed.end()
+            while True:
+                value, at = expression(text, at, bound)
+                if value is None:
                     break
-            else:
-                value, spans = value + part["s"], [*spans, part.span("s")]
-            at, first = part.end(), False
-            if not (plus := PLUS.match(text, at)):
-                break
-            at = plus.end()
-        if value:
-            bound[name] = (value, spans[:64])
-            if sensitivity(name) * randomness(value) >= THRESHOLD:
-                out.update(s for s in spans if s[1] > s[0])
+                values.append(value)
+                if not (comma := COMMA.match(text, at)):
+                    break
+                at = comma.end()
+        else:
+            value, at = expression(text, at, bound)
+            values = [] if value is None else [value]
+        if values:
+            bound[name] = Value.joined(values)
+            reached += [v for v in values if weight * v.randomness() >= THRESHOLD]
+        elif weight and not m["tag"]:
+            sections.append((indent, sensitivity(name) or weight))
+    out: set[tuple[int, int]] = set()
+    seen: set[int] = set()
+    while reached:
+        v = reached.pop()
+        if id(v) not in seen:
+            seen.add(id(v))
+            out.update(s for s in v.spans if s[1] > s[0])
+            reached += v.parts
     return sorted(out)
 
 
@@ -89,7 +183,7 @@ def scan(text: str) -> list[tuple[int, int, int]]:
         out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 16]
     if b"h" * 32 in text.encode("utf-8", "surrogatepass").translate(HEX_BYTES):
         out += [(m.start(), 2, m.end()) for m in HEX.finditer(text) if m.end() - m.start() >= 32]
-    if ("=" in text or ":" in text) and any(s in low for s in ("pass", "secret", "cred", "token", "key", "pwd")):
+    if ("=" in text or ":" in text or "<" in text or "#" in text) and any(s in plain for plain in (low, low.translate(JOINTS)) for s in STEMS):
         out += [(a, 3, b) for a, b in lexed(text)]
     return sorted(out)
 

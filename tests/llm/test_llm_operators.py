@@ -383,6 +383,37 @@ def test_constants_propagate_to_sensitive_names():
     assert secrets.lexed("colour = 'aK9$kd03Qz8'\nsecret = 'changeme'") == []
 
 
+LEXED = {
+    '{"db": {"password": "aK9$kd03Qz8"}}': ["aK9$kd03Qz8"],
+    "secrets:\n  stripe: sk_live_9a8b7c6d\nother: sk_live_9a8b7c6d": ["sk_live_9a8b7c6d"],
+    'config["api_key"] = "aK9$kd03Qz8"': ["aK9$kd03Qz8"],
+    'let token: String = "aK9$kd03Qz8";': ["aK9$kd03Qz8"],
+    "<password>aK9$kd03Qz8</password>": ["aK9$kd03Qz8"],
+    '#define API_TOKEN "aK9$kd03Qz8"': ["aK9$kd03Qz8"],
+    's_e_c_r_e_t = "aK9$kd03Qz8"': ["aK9$kd03Qz8"],
+    'tokens = ["aK9$kd03Qz8", "zz91kkQmP0"]': ["aK9$kd03Qz8", "zz91kkQmP0"],
+    'password = os.getenv("DB_PASSWORD")': [],
+    'a = "aK9$"\nb = "kd03Qz"\nurl_token = "${a}${b}"': ["aK9$", "kd03Qz"],
+    'token = ("aK9$kd03"\n   "Qz81mm2x")': ["aK9$kd03", "Qz81mm2x"],
+    'pw = "aK9$kd03" \\\n + "Q1z"\nx = 1\npassword = pw': ["aK9$kd03", "Q1z"],
+    'secret = "a\\"K9$kd03Qz8"': ['a\\"K9$kd03Qz8'],
+}
+
+
+def test_lexing_of_source_and_configuration_forms():
+    assert {t: [t[a:b] for _, k, b in secrets.scan(t) if k == 3 for a in [_]] for t in LEXED} == LEXED
+
+
+def test_bound_names_double_and_join_in_linear_time():
+    lines = ['key0 = "aK9$kd03"'] + ["key0 = key0 + key0"] * 2000 + ["secret = key0"]
+    text = "\n".join(lines)
+    assert [text[a:b] for a, b in secrets.lexed(text)] == ["aK9$kd03"]
+    text = 'k = "aK9$"\n' + "\n".join(f'k = k + "q{i}"' for i in range(3000)) + "\nsecret = k"
+    assert len(secrets.lexed(text)) == 3001
+    long_name = "x" * 500 + "_secret"
+    assert len(secrets.lexed(f'{long_name} = "aK9$kd03"')) == 1
+
+
 def test_redaction_keeps_columns_and_clean_texts(odd, spark):
     got = secrets.redact(odd.union(spark.createDataFrame([(9, "a token = ZZZZZZZZ9 b", "en", "s", 1)], DOCS)))
     assert got.columns == odd.columns
