@@ -1,134 +1,114 @@
 """Operator 3: license scans by ordered signature rules over a text's words.
 
-Rules are regular expressions over the lower-cased words joined by single spaces. Names of licenses times forms of
-reference give most of them; passages of license texts give the rest. A rule is tried only where one of its keywords occurs.
-Detections are taken by priority, then length; one that lies within a detection taken before is suppressed.
+Rules are regular expressions over the lower-cased words joined by single spaces (``license_rules``): names and short forms
+of licenses, passages of license texts, identifiers, weak notices. A rule is tried only where one of its keywords occurs.
+A form of reference right before a name widens its detection and raises its priority. Detections are taken by priority,
+then length; one that lies within a detection taken before is suppressed. All steps are linear in the text, but for a
+logarithm.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.license_rules import FORMS, NAMES, PASSAGES, WEAK, V
 from lodestone.plans.session import table
 from lodestone.plans.shared import text_batches
 
-# Base phrases with labels; license names as SPDX id, keywords (each alternative of the pattern holds one) and pattern over words; forms of reference; passages.
+# Base phrases with labels; labels that "mit" and others have after a word that makes them a license.
 BASE = [("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")]
-NAMES = [
-    ("AFL-3.0", "academic", r"academic free license( v| version)? 3( 0)?"),
-    ("AGPL-3.0", "affero", r"(gnu )?affero general public license( v| version)? ?3( 0)?"),
-    ("Apache-1.1", "apache", r"apache( software)? license( version)? 1 1"),
-    ("Apache-2.0", "apache", r"apache( software)? license( version)? 2( 0)?"),
-    ("Artistic-2.0", "artistic", r"artistic license( version)? 2( 0)?"),
-    ("BSD-2-Clause", "bsd", r"(2 clause bsd|bsd 2 clause|simplified bsd|freebsd)( license)?"),
-    ("BSD-3-Clause", "bsd", r"(3 clause bsd|bsd 3 clause|new bsd|modified bsd|revised bsd)( license)?"),
-    ("BSL-1.0", "boost", r"boost software license( version)?( 1 0)?"),
-    ("CC0-1.0", "cc0", r"(creative commons )?cc0( 1 0)?( universal)?"),
-    ("CC-BY-3.0", "commons", r"creative commons attribution 3 0( unported)?( license)?"),
-    ("CC-BY-4.0", "commons", r"creative commons attribution 4 0( international)?( license)?"),
-    ("CC-BY-SA-3.0", "commons", r"creative commons attribution share ?alike 3 0( unported)?( license)?"),
-    ("CC-BY-SA-4.0", "commons", r"creative commons attribution share ?alike 4 0( international)?( license)?"),
-    ("CC-BY-NC-4.0", "commons", r"creative commons attribution non ?commercial 4 0( international)?( license)?"),
-    ("CC-BY-ND-4.0", "commons", r"creative commons attribution no ?deriv(ative)?s 4 0( international)?( license)?"),
-    ("CC-BY-NC-SA-4.0", "commons", r"creative commons attribution non ?commercial share ?alike 4 0( international)?( license)?"),
-    ("CDDL-1.0", "cddl|common development", r"(common development and distribution license( version)? 1 0|cddl( v)? ?1 0)"),
-    ("CECILL-2.1", "cecill", r"cecill( license)?( version)? 2( 1)?"),
-    ("EPL-1.0", "eclipse", r"eclipse public license( v| version)? ?1( 0)?"),
-    ("EPL-2.0", "eclipse", r"eclipse public license( v| version)? ?2( 0)?"),
-    ("EUPL-1.2", "european", r"european union public licen[cs]e( v| version)? ?1 2"),
-    ("GFDL-1.3", "documentation", r"gnu free documentation license( version)? 1 3"),
-    ("GPL-2.0", "general", r"(gnu )?general public license( v| version)? ?2( 0)?"),
-    ("GPL-3.0", "general", r"(gnu )?general public license( v| version)? ?3( 0)?"),
-    ("ISC", "isc", r"isc license"),
-    ("LGPL-2.1", "lesser", r"(gnu )?lesser general public license( v| version)? ?2 1"),
-    ("LGPL-3.0", "lesser", r"(gnu )?lesser general public license( v| version)? ?3( 0)?"),
-    ("LPPL-1.3c", "latex", r"latex project public license( version)?( 1 3c?)?"),
-    ("MIT", "mit", r"mit license"),
-    ("MIT-0", "mit", r"mit no attribution( license)?"),
-    ("MPL-1.1", "mozilla", r"mozilla public license( v| version)? ?1 1"),
-    ("MPL-2.0", "mozilla", r"mozilla public license( v| version)? ?2( 0)?"),
-    ("MS-PL", "microsoft", r"microsoft public license"),
-    ("NCSA", "ncsa", r"(university of illinois ncsa|ncsa) open source license"),
-    ("ODbL-1.0", "database", r"open (data commons )?open database license|open database license( v1 0)?"),
-    ("OFL-1.1", "sil", r"sil open font license( version)?( 1 1)?"),
-    ("OSL-3.0", "open software", r"open software license( v| version)? ?3( 0)?"),
-    ("PostgreSQL", "postgresql", r"postgresql license"),
-    ("PSF-2.0", "python|psf", r"(python software foundation|psf) license( version)?( 2)?"),
-    ("Unlicense", "unlicense", r"(the )?unlicense"),
-    ("WTFPL", "what the", r"do what the [a-z]+ you want to public license"),
-    ("Zlib", "zlib", r"zlib license"),
-    ("ZPL-2.1", "zope", r"zope public license( version)? 2( 1)?"),
-]
-FORMS = [
-    (2, 0.98, r"(licensed|released|distributed|published|available|provided|redistributed) (to you )?under( the)?( terms( and conditions)? of)?( the)? {}"),
-    (2, 0.98, r"(is|are|be) (licensed|released|distributed|governed|covered) (under|by)( the)?( terms of)?( the)? {}"),
-    (3, 0.95, r"subject to( the)?( terms( and conditions)? of)?( the)? {}"),
-    (3, 0.95, r"(a copy of|under the terms of|see|compliance with)( the)? {}"),
-    (4, 0.8, r"(license|licence) {}"),
-    (5, 0.7, r"{}"),
-]
-PASSAGES = [
-    ("MIT", "hereby granted", 0.9, r"permission is hereby granted free of charge to any person obtaining a copy"),
-    ("BSD", "redistribution", 0.9, r"redistribution and use in source and binary forms with or without modification are permitted"),
-    ("ISC", "fee is", 0.9, r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("Zlib", "express or implied", 0.9, r"this software is provided as is without any express or implied warranty"),
-    ("GPL", "redistribute it", 0.9, r"free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("public-domain", "public domain", 0.8, r"(released|dedicated|placed) (in|into|to) the public domain"),
-    ("all-rights-reserved", "rights reserved", 0.5, r"all rights reserved"),
-    ("warranty-disclaimer", "warranty", 0.4, r"without warranty of any kind"),
-]
+SHORT = r"(?:licen[cs]e|licen[cs]es|licen[cs]ed under|under|license type)(?: is| the)? (mit|isc|bsd|zlib|wtfpl|unlicense)(?! license)"
+SHORT_LABELS = {"mit": "MIT", "isc": "ISC", "bsd": "BSD", "zlib": "Zlib", "wtfpl": "WTFPL", "unlicense": "Unlicense"}
 #: Words of a text: lower-cased ASCII letters and digits and every byte of a character beyond ASCII.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-GATE = (b"licen", b"spdx", b"public domain", b"hereby granted", b"redistribut", b"rights reserved", b"warranty", b"cc0", b"creative commons", b"bsd", b"cddl", b"fee is", b"cecill", b"no attribution")
 
 
-def rules() -> list[tuple[int, float, str, str, re.Pattern]]:
+@lru_cache(maxsize=1)
+def rules() -> list[tuple[int, float, str, tuple[str, ...], re.Pattern]]:
     """(priority, confidence, label, keywords, pattern) in order of priority."""
+    lines = [(5, 0.8, line) for line in NAMES.strip().splitlines()] + [(3, 0.9, line) for line in PASSAGES.strip().splitlines()] + [(6, c, line) for c, line in WEAK]
     out = []
-    for label, keyword, name in NAMES:
+    for p, c, line in lines:
+        label, keywords, pattern = line.split(" | ", 2)
+        out.append((p, c, label, tuple(keywords.split(",")), pattern.replace("V", V + " ?")))
+    for label in sorted({r[2] for r in out if r[0] == 5}):
         tag = re.sub(r"[^a-z0-9]+", " ", label.lower())
-        out.append((1, 1.0, label, "spdx", rf"spdx license identifier {tag}( only| or later)?"))
-        out += [(p, c, label, keyword, form.format(f"(?:{name})")) for p, c, form in FORMS]
-    out += [(3, c, label, keyword, p) for label, keyword, c, p in PASSAGES]
+        out.append((1, 1.0, label, ("spdx",), rf"spdx license identifier {tag}(?: only| or later)?"))
     out.sort(key=lambda r: r[0])
-    return [(p, c, label, keyword, re.compile(rf"(?<= ){pattern}(?= )")) for p, c, label, keyword, pattern in out]
+    return [(p, c, label, keywords, re.compile(rf"(?<= ){pattern}(?= )")) for p, c, label, keywords, pattern in out]
+
+
+@lru_cache(maxsize=1)
+def keywords() -> tuple[bytes, ...]:
+    return tuple(sorted({k.encode() for r in rules() for k in r[3]} | {b"licen", b"under"}))
+
+
+@lru_cache(maxsize=1)
+def forms() -> list[tuple[int, float, re.Pattern]]:
+    return [(p, c, re.compile(rf"(?<= ){pattern} ")) for p, c, pattern in FORMS]
 
 
 def folded(text: str) -> bytes:
     return b" ".join(text.encode("utf-8", "surrogatepass").translate(FOLD).split())
 
 
-def detect(words: str, signature_rules) -> list[tuple[int, int, int, float, str]]:
-    """(start, end, priority, confidence, label) that stay, over words padded by spaces."""
-    found = []
-    for p, c, label, keyword, pattern in signature_rules:
-        if any(k in words for k in keyword.split("|")):
-            found += [(m.start(), m.end(), p, c, label) for m in pattern.finditer(words)]
-    found.sort(key=lambda d: (d[2], d[0] - d[1], d[0], d[4]))
-    kept: list[tuple[int, int, int, float, str]] = []
+def uncontained(found: list[tuple]) -> list[tuple]:
+    """Of (start, end, ...) in order of precedence those that lie within none taken before, by the largest end of all starts up to a place."""
+    starts = sorted({d[0] for d in found})
+    reach = [-1] * (len(starts) + 1)
+    kept = []
     for d in found:
-        if not any(k[0] <= d[0] and d[1] <= k[1] for k in kept):
+        at = place = bisect_left(starts, d[0]) + 1
+        within = False
+        while at and not within:
+            within = reach[at] >= d[1]
+            at &= at - 1
+        if not within:
             kept.append(d)
-    return sorted(kept)
+            while place < len(reach):
+                reach[place] = max(reach[place], d[1])
+                place += place & -place
+    return kept
+
+
+def detect(words: str, present: set[str]) -> list[tuple[int, int, int, float, str]]:
+    """(start, end, priority, confidence, label) that stay, over words padded by spaces; ``present`` are the keywords that occur."""
+    found = [(m.start(), m.end(), p, c, label) for p, c, label, needed, pattern in rules() if not present.isdisjoint(needed) for m in pattern.finditer(words)]
+    if "licen" in present or "under" in present:
+        found += [(m.start(), m.end(), 4, 0.9, SHORT_LABELS[m[1]]) for m in re.finditer(rf"(?<= ){SHORT}(?= )", words)]
+    if any(d[2] == 5 for d in found):
+        before: dict[int, tuple[int, int, float]] = {}
+        for p, c, pattern in reversed(forms()):
+            before |= {m.end(): (m.start(), p, c) for m in pattern.finditer(words)}
+        found = [(*before[d[0]][:1], d[1], *before[d[0]][1:], d[4]) if d[2] == 5 and d[0] in before else d for d in found]
+    found.sort(key=lambda d: (d[2], d[0] - d[1], d[0], d[4]))
+    return sorted(uncontained(found))
 
 
-def judge_text(text: str, signature_rules) -> tuple:
+def judge_text(text: str) -> tuple:
     """n_words, n_base, first_word, last_word, base_labels, labels, score, detections."""
     raw = folded(text)
     n = raw.count(b" ") + 1 if raw else 0
-    if not any(g in raw for g in GATE):
+    present = {k.decode() for k in keywords() if k in raw}
+    if not present:
         return n, 0, None, None, "", "", 0.0, []
     words = f" {raw.decode('utf-8', 'surrogatepass')} "
     places = [(m.start(), label) for phrase, label in BASE for m in re.finditer(f"(?= {phrase} )", words)]
-    starts = [words.count(" ", 0, at) for at, _ in places]
+    kept = detect(words, present)
+    if not places and not kept:
+        return n, 0, None, None, "", "", 0.0, []
+    spaces = [m.start() for m in re.finditer(" ", words)]
+    number = lambda at: bisect_left(spaces, at)  # noqa: E731  of spaces before the place
+    starts = [number(at) for at, _ in places]
     base = {label for _, label in places}
-    kept = detect(words, signature_rules)
     score = max([0.6 * bool(base), *(d[3] for d in kept)])
-    return n, len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | {d[4] for d in kept})), score, [(words.count(" ", 0, a) - 1, words.count(" ", 0, b), label) for a, b, _, _, label in kept]
+    return n, len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(base | {d[4] for d in kept})), score, [(number(a) - 1, number(b), label) for a, b, _, _, label in kept]
 
 
 def scan(docs: DataFrame, with_detections: bool = False) -> DataFrame:
@@ -143,9 +123,8 @@ def scan(docs: DataFrame, with_detections: bool = False) -> DataFrame:
     more = pa.list_(pa.struct([("first", pa.int64()), ("past", pa.int64()), ("label", pa.string())]))
 
     def run(batches):
-        signature_rules = rules()
         for b in batches:
-            got = [(doc, *judge_text(t, signature_rules)) for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            got = [(doc, *judge_text(t)) for doc, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
             cols = list(zip(*got)) or [[]] * 9
             arrays = [pa.array(c, t) for c, t in zip(cols[:8], types)]
             if with_detections:
