@@ -9,6 +9,7 @@ follows, the parts stay together as one run.
 from __future__ import annotations
 
 import base64
+import contextlib
 from array import array
 from functools import lru_cache
 
@@ -89,6 +90,19 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts]
 
 
+def trim() -> None:
+    """Give freed memory back, where the C library can."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 class Coder:
     """Encoder and decoder of one vocabulary: a tokenizers JSON file, or a rank file with its split pattern."""
 
@@ -123,6 +137,13 @@ class Coder:
         self.old: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
+        self.most = CACHE_PARTS
+
+    def release(self) -> None:
+        """Drop what is cached and hand the memory back to the system."""
+        for kept in (self.young, self.old, self.tails, self.runs):
+            kept.clear()
+        trim()
 
     def _raw(self, texts: list[str]) -> list[list[int]]:
         out = [x.ids for x in self.inner.encode_batch_fast(texts, add_special_tokens=False)]
@@ -167,7 +188,7 @@ class Coder:
 
     def _lookup(self, words: list[str]) -> list[bytes]:
         """Packed ids of each distinct word; what no cache has is encoded in one call of the library."""
-        if len(self.young) > CACHE_PARTS:  # two generations: what is still in use moves to the young one
+        if len(self.young) > self.most:  # two generations: what is still in use moves to the young one
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
         found = list(map(young.get, words))
@@ -190,7 +211,7 @@ class Coder:
                 new[body] = None
             tail = w[len(body) :]
             if tail and tail not in self.tails:
-                if len(self.tails) > CACHE_PARTS:
+                if len(self.tails) > self.most:
                     self.tails.clear()
                 self.tails[tail] = array("I", self._raw([tail])[0]).tobytes()
         for w, ids in zip(new, self._encode_new(list(new))):
@@ -206,7 +227,7 @@ class Coder:
 
     def _lookup_runs(self, runs: list[str]) -> list[bytes]:
         """Packed ids of each distinct run of parts; a leading line break is an id of its own."""
-        if len(self.runs) > CACHE_PARTS:
+        if len(self.runs) > self.most:
             self.runs.clear()
         found = list(map(self.runs.get, runs))
         missing = [i for i, ids in enumerate(found) if ids is None]

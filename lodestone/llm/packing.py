@@ -1,9 +1,9 @@
 """Operator 1: packing token sequences into windows by Karmarkar-Karp multiway differencing.
 
 A document's whole windows of tokens stand alone. What is left of each document is dealt evenly over groups of about a
-thousand rests. Within a group the partial partitions of widest spread are merged first, the largest sums of one with
-the smallest of the other, which leaves near-equal windows. Where a window is over capacity, either its excess is cut
-and put where room is left, or, where cuts are not allowed, the number of windows rises until all fit.
+thousand rests, and cut into pieces of at most 128 ids where cuts are allowed. Within a group the partial partitions of
+widest spread are merged first, the largest sums of one with the smallest of the other, which leaves near-equal windows.
+While a window is over capacity, the number of windows rises and the group is dealt anew.
 """
 
 from __future__ import annotations
@@ -17,12 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.bpe import coder
-from lodestone.llm.tokens import ROWS, chunks
+from lodestone.llm.bpe import CACHE_PARTS, coder
+from lodestone.llm.tokens import CHUNK_CHARS, ROWS, chunks
 from lodestone.plans.session import table
 from lodestone.plans.shared import text_batches
 
 GROUP_RESTS = 1000
+#: Longest piece of a rest that is dealt to a window; short pieces leave sums so near that few windows are added.
+PIECE_IDS = 128
+#: Characters encoded at a time and parts cached by a ``lean`` worker.
+LEAN_CHARS, LEAN_PARTS = 1_500_000, 60_000
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
@@ -52,47 +56,42 @@ def difference(sizes: list[int], k: int) -> list[list[int]]:
     return parts + [[] for _ in range(k - len(parts))]
 
 
-def windows(sizes: list[int], capacity: int, cut: bool = True) -> list[list[tuple[int, int, int]]]:
-    """Windows of (item, start, length), each of at most ``capacity`` in all."""
-    if not sizes:
+def windows(sizes: list[int], capacity: int, piece: int | None = PIECE_IDS) -> list[list[tuple[int, int, int]]]:
+    """Windows of (item, start, length), each of at most ``capacity`` in all.
+
+    Items longer than ``piece`` are cut into pieces of that length and a rest (never with None, where an item may be as
+    long as ``capacity``). The number of windows begins at the least that could do and rises while one is over capacity.
+    """
+    parts = [(i, a, min(piece or n, n - a)) for i, n in enumerate(sizes) for a in range(0, n, piece or max(n, 1))]
+    if not parts:
         return []
-    total = sum(sizes)
-    k = -(-total // capacity)
+    lengths = [p[2] for p in parts]
+    k = -(-sum(lengths) // capacity)
     while True:
-        parts = difference(sizes, k)
-        over = [sum(sizes[i] for i in p) - capacity for p in parts]
-        if cut or max(over) <= 0:
-            break
-        k += max(1, sum(x for x in over if x > 0) // capacity)
-    out: list[list[tuple[int, int, int]]] = []
-    loose: list[tuple[int, int, int]] = []
-    for p, x in zip(parts, over):
-        pieces = [(i, 0, sizes[i]) for i in sorted(p)]
-        while x > 0:
-            i, start, length = pieces.pop()
-            off = min(x, length)
-            if length > off:
-                pieces.append((i, start, length - off))
-            loose.append((i, start + length - off, off))
-            x -= off
-        out.append(pieces)
-    room = [(sum(p[2] for p in w) - capacity, n) for n, w in enumerate(out)]
-    heapq.heapify(room)
-    for i, start, length in sorted(loose, key=lambda p: -p[2]):
-        while length:
-            used, n = heapq.heappop(room)
-            put = min(-used, length)
-            out[n].append((i, start, put))
-            start, length = start + put, length - put
-            heapq.heappush(room, (used + put, n))
-    return [w for w in out if w]
-
-
-def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 0, cut: bool = True) -> DataFrame:
+        dealt = difference(lengths, k)
+        most = max(sum(lengths[i] for i in w) for w in dealt)
+        if most <= capacity:
+            return [joined(sorted(parts[i] for i in w)) for w in dealt if w]
+        k += max(1, k * (most - capacity) // (2 * capacity))
+
+
+def joined(pieces: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Sorted pieces, neighbours of one item as one."""
+    out = pieces[:1]
+    for i, start, length in pieces[1:]:
+        if out[-1][0] == i and out[-1][1] + out[-1][2] == start:
+            out[-1] = (i, out[-1][1], out[-1][2] + length)
+        else:
+            out.append((i, start, length))
+    return out
+
+
+def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 0, piece: int | None = PIECE_IDS, lean: bool = False) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (gapless in its sequence).
 
     A document is its ids and ``end_id``; null counts as the empty text, which is ``end_id`` alone. Every row of the
-    table is packed, repeated rows each on their own. Null ids stay null. An empty table gives no rows.
+    table is packed, repeated rows each on their own. Null ids stay null. An empty table gives no rows. ``lean`` keeps a
+    Python worker's memory low, for jobs that do more than packing: smaller chunks and caches, which go with the task.
     """
     spark = docs.sparkSession
     text_batches(spark, ROWS)
@@ -102,9 +101,10 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 0, cut:
         from pyspark import TaskContext
 
         c, row = coder(path), TaskContext.get().partitionId() * 7919
+        c.most = LEAN_PARTS if lean else CACHE_PARTS
         wide = "<u2" if len(c.bytes_of) <= 1 << 16 else "<u4"
         for b in batches:
-            for keys, texts in chunks(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for keys, texts in chunks(b.column(0).to_pylist(), b.column(1).to_pylist(), LEAN_CHARS if lean else CHUNK_CHARS):
                 out: list[list] = [[] for _ in range(7)]
                 for doc, ids in zip(keys, c.encode(texts)):
                     row += 1
@@ -116,12 +116,15 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 0, cut:
                         for col, v in zip(out, (row % groups, doc, start, len(part), zlib.crc32(part.tobytes()) if whole else None, n, None if whole else part.astype(wide).tobytes())):
                             col.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types)], names=names)
+        if lean:
+            c.release()
 
     names = ["grp", "doc_id", "start", "length", "crc", "doc_tokens", "ids"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "start", "doc_tokens"], kind="stable").reset_index(drop=True)
+        # rows of one id may have different texts: the ids themselves decide, whatever order the rows arrived in
+        pdf = pdf.sort_values(["doc_id", "start", "doc_tokens", "crc", "ids"], kind="stable").reset_index(drop=True)
         whole = pdf.ids.isna().to_numpy()
         base = int(pdf.grp.iloc[0]) << 32
         full = pdf[whole]
@@ -130,7 +133,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 0, cut:
         rows = []
         docs_, starts, totals, data = rest.doc_id.tolist(), rest.start.tolist(), rest.doc_tokens.tolist(), rest.ids.tolist()
         lengths = rest.length.tolist()
-        for w, pieces in enumerate(windows(lengths, capacity, cut)):
+        for w, pieces in enumerate(windows(lengths, capacity, piece)):
             at = 0
             for i, start, length in pieces:
                 wide = len(data[i]) // lengths[i]

@@ -63,13 +63,18 @@ def test_packing_covers_every_id_once(spark, odd, sf):
     assert len(sequences) * 1024 <= used * 1.02 + 1024
 
 
-def test_packing_without_cuts_raises_the_number_of_windows():
+def test_packing_raises_the_number_of_windows():
     rng = random.Random(2)
     for capacity in (10, 64):
         sizes = [rng.randint(1, capacity) for _ in range(200)]
-        got = packing.windows(sizes, capacity, cut=False)
+        got = packing.windows(sizes, capacity, None)
         assert sorted(i for w in got for i, _, _ in w) == list(range(200))
         assert all(sum(p[2] for p in w) <= capacity for w in got)
+    sizes = [rng.randint(1, 1023) for _ in range(1000)] + [0]
+    got = packing.windows(sizes, 1024)
+    covered = sorted(p for w in got for p in w)
+    assert all(sum(p[2] for p in w) <= 1024 for w in got) and len(got) * 1024 * 0.99 <= sum(sizes)
+    assert all(a[0] != b[0] or a[1] + a[2] == b[1] for a, b in zip(covered, covered[1:])) and sum(p[2] for p in covered) == sum(sizes)
 
 
 def test_differencing_is_near_equal():
@@ -80,6 +85,11 @@ def test_differencing_is_near_equal():
     assert packing.windows([], 8) == []
 
 
+def test_packing_lean_gives_the_same_pieces(odd):
+    path = P.path("byte_bpe_50k.json")
+    assert Counter(map(tuple, packing.pack(odd, path, lean=True).collect())) == Counter(map(tuple, packing.pack(odd, path).collect()))
+
+
 def test_packing_empty(empty):
     assert packing.pack(empty, P.path("byte_bpe_50k.json")).count() == 0
 
