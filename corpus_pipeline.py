@@ -42,7 +42,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences of at most 1024 ids."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), lean=True)
 
 
 STAGES = [("language_id", language_id), ("exact_dedup", exact_dedup_stage), ("near_dedup", near_dedup_stage), ("secret_scan", secret_scan), ("packing", pack)]
