@@ -13,26 +13,59 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.records import histogram
 from lodestone.functions.text import member_key
-from lodestone.functions.vector import cosine
-from lodestone.operators.retrieval import small
+from lodestone.operators.retrieval import block_cosines, blocks_of
 from lodestone.plans.components import components
 
 
-def similar_pairs(vectors: DataFrame, least: float, blocks: int = 32) -> DataFrame:
-    """[J9] i < j with sim >= ``least``. ``vectors``: id, vec. Broadcast where the table is small, else block by block."""
-    a, b = vectors.toDF("i", "vi"), vectors.toDF("j", "vj")
-    if small(vectors):
-        pairs = a.join(F.broadcast(b), F.col("i") < F.col("j"))
-    else:
-        deal = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
-        every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-        pairs = a.withColumn("bi", deal("i")).withColumn("bj", every).join(b.withColumn("bj", deal("j")).withColumn("bi", every), ["bi", "bj"]).where("i < j")
-    return pairs.select("i", "j", cosine(F.col("vi"), F.col("vj")).alias("sim")).where(F.col("sim") >= least)
+def vector_blocks(vectors: DataFrame) -> DataFrame:
+    """``vectors`` (id, vec) dealt to pairs of blocks _i <= _j; _side is 0 on the left, 1 on the right, 2 where both blocks are one."""
+    n = blocks_of(vectors)
+    own = vectors.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other"))
+    side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
+    return own.select("id", "vec", F.least("own", "other").alias("_i"), F.greatest("own", "other").alias("_j"), side.alias("_side"))
+
+
+def similar(block: pd.DataFrame, least: float):
+    """Ids, places of the left rows, and for each left row the places of right rows of a similarity of ``least`` or more."""
+    block = block.sort_values("id").reset_index(drop=True)
+    side = block._side.to_numpy()
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    sims = block_cosines(block.vec.iloc[left], block.vec.iloc[right])
+    return block.id.to_numpy(), left, right, sims, sims >= least
+
+
+def similar_pairs(vectors: DataFrame, least: float) -> DataFrame:
+    """[J9] i < j with sim >= ``least``. ``vectors``: id, vec."""
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        ids, left, right, sims, near = similar(block, least)
+        x, y = np.nonzero(near & (left[:, None] != right[None, :]) & ((block._side.iloc[0] != 2) | (left[:, None] < right[None, :])))
+        a, b = ids[left[x]], ids[right[y]]
+        return pd.DataFrame({"i": np.minimum(a, b), "j": np.maximum(a, b), "sim": sims[x, y]})
+
+    return vector_blocks(vectors).groupBy("_i", "_j").applyInPandas(run, "i bigint, j bigint, sim double")
+
+
+def joining_pairs(vectors: DataFrame, least: float) -> DataFrame:
+    """a, b: enough similar pairs to join what all of them join; a block gives at most one for each row."""
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        ids, left, right, _, near = similar(block, least)
+        group, found = np.arange(len(ids)), []
+        for i, row in zip(left.tolist(), near):
+            j = right[row]
+            other, first = np.unique(group[j], return_index=True)
+            new = other != group[i]
+            found += [(ids[i], ids[k]) for k in j[first[new]].tolist()]
+            group[np.isin(group, other[new])] = group[i]
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    return vector_blocks(vectors).groupBy("_i", "_j").applyInPandas(run, "a bigint, b bigint")
 
 
 def linked_components(vectors: DataFrame, least: float) -> DataFrame:
     """id and component (its smallest id) of every vector."""
-    found = components(similar_pairs(vectors, least).select(F.col("i").alias("a"), F.col("j").alias("b")))
+    found = components(joining_pairs(vectors, least))
     return vectors.select("id").join(found.toDF("id", "component"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 

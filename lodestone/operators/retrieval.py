@@ -1,30 +1,56 @@
-"""Dense, lexical and hybrid retrieval [R1-R3, W1-W4, T1, T2]."""
+"""Dense, lexical and hybrid retrieval [R1-R3, W1-W4, T1, T2].
+
+Cosine similarities of many vectors are matrix products over blocks of both sides, in tasks that Spark deals out; a block
+keeps only what can matter outside it (a query's best chunks, a corpus's best score, links that join), before any shuffle.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import tokenize
-from lodestone.functions.vector import cosine
 
-#: A side of a comparison of all queries with all chunks is broadcast up to this many rows (about 8 MB of vectors of 64 doubles).
-BROADCAST_ROWS = 16_000
+#: Rows of each side of a block of comparisons.
+BLOCK = 4096
+
+
+def block_cosines(left: pd.Series, right: pd.Series, digits: int | None = None) -> np.ndarray:
+    """[M2] cosine of every left with every right vector; 0 for null and empty ones, unequal lengths, zero norms and
+    components that are not finite."""
+    out = np.zeros((len(left), len(right)))
+    size = lambda s: np.array([0 if v is None else len(v) for v in s], dtype=int)
 
+    def units(side: pd.Series, at: np.ndarray) -> np.ndarray:
+        m = np.array([side.iloc[i] for i in at.tolist()], dtype=float)
+        m[~np.isfinite(m).all(axis=1)] = 0
+        length = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
 
-def small(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
-    """Whether a table has at most ``most`` rows; reads no further."""
-    return df.limit(most + 1).count() <= most
+    sl, sr = size(left), size(right)
+    for n in (set(sl.tolist()) & set(sr.tolist())) - {0}:
+        i, j = np.flatnonzero(sl == n), np.flatnonzero(sr == n)
+        out[np.ix_(i, j)] = units(left, i) @ units(right, j).T
+    return out if digits is None else np.round(out, digits)
 
 
-def all_queries(queries: DataFrame, chunks: DataFrame, blocks: int = 64) -> DataFrame:
-    """Every query with every chunk: queries of a checked size are broadcast; more of them are dealt in blocks, and each
-    block's chunks are met by an equi-join on the block."""
-    if small(queries):
-        return chunks.crossJoin(F.broadcast(queries))
-    q = queries.withColumn("_block", F.pmod(F.xxhash64(*queries.columns), F.lit(blocks)))
-    c = chunks.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>")))
-    return c.join(q, "_block").drop("_block")
+def blocks_of(df: DataFrame, rows: int | None = None) -> int:
+    return max(1, -(-df.count() // (rows or BLOCK)))
+
+
+def by_blocks(queries: DataFrame, chunks: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``run`` over every block of queries (qid, qvec) with every block of chunks (cid, cvec and others)."""
+    nq, nc = blocks_of(queries), blocks_of(chunks)
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select("qid", "qvec", deal("qid", nq).alias("_q"), every(nc).alias("_c"))
+    c = chunks.withColumn("_c", deal("cid", nc)).withColumn("_q", every(nq))
+    none = lambda left, right: run(left, right) if len(left) and len(right) else pd.DataFrame(columns=[f.split()[0] for f in schema.split(", ")])
+    return q.groupBy("_q", "_c").cogroup(c.groupBy("_q", "_c")).applyInPandas(none, schema)
 
 
 def top_per(df: DataFrame, key: list[str], order: list, n: int, name: str = "rank") -> DataFrame:
@@ -33,10 +59,43 @@ def top_per(df: DataFrame, key: list[str], order: list, n: int, name: str = "ran
     return df.withColumn(name, F.row_number().over(w) - 1).where(F.col(name) < n)
 
 
+def kind(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
 def dense(queries: DataFrame, chunks: DataFrame, n: int, digits: int = 6) -> DataFrame:
-    """[R1] qid, cid, sim, dense_rank of the n nearest chunks. ``queries``: qid, qvec; ``chunks``: cid, cvec. Exact: every pair is scored."""
-    pairs = all_queries(queries, chunks).select("qid", "cid", F.round(cosine(F.col("qvec"), F.col("cvec")), digits).alias("sim"))
-    return top_per(pairs, ["qid"], [F.desc("sim"), "cid"], n, "dense_rank")
+    """[R1] qid, cid, sim, dense_rank of the n nearest chunks. ``queries``: qid, qvec; ``chunks``: cid, cvec. Exact: every
+    pair is scored; a chunk with the query's own id counts too."""
+
+    def best(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        order = np.argsort(c.cid.to_numpy(), kind="stable")  # places then rank ids, for ties
+        cid, sims = c.cid.to_numpy()[order], block_cosines(q.qvec, c.cvec.iloc[order], digits)
+        rows = []
+        for qid, s in zip(q.qid.tolist(), sims):
+            least = np.partition(s, len(s) - n)[len(s) - n] if len(s) > n else -np.inf
+            at = np.flatnonzero(s >= least)
+            at = at[np.argsort(-s[at], kind="stable")][:n]
+            rows += zip([qid] * len(at), cid[at].tolist(), s[at].tolist())
+        return pd.DataFrame(rows, columns=["qid", "cid", "sim"])
+
+    found = by_blocks(queries, chunks.select("cid", "cvec"), best, f"qid {kind(queries, 'qid')}, cid {kind(chunks, 'cid')}, sim double")
+    return top_per(found, ["qid"], [F.desc("sim"), "cid"], n, "dense_rank")
+
+
+def best_by_corpus(queries: DataFrame, chunks: DataFrame, digits: int = 6) -> DataFrame:
+    """qid, corpus, sim: hits that hold each corpus's best similarity, for ``coverage.best_scores``. ``chunks``: cid, corpus, cvec.
+    A chunk with the query's own id is left out."""
+
+    def best(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for corpus, part in c.groupby("corpus"):
+            sims = block_cosines(q.qvec, part.cvec, digits)
+            sims[q.qid.to_numpy()[:, None] == part.cid.to_numpy()[None, :]] = np.nan
+            at = np.flatnonzero(~np.isnan(sims).all(axis=1))
+            rows += zip(q.qid.to_numpy()[at].tolist(), [corpus] * len(at), np.nanmax(sims[at], axis=1).tolist())
+        return pd.DataFrame(rows, columns=["qid", "corpus", "sim"])
+
+    return by_blocks(queries, chunks.select("cid", "corpus", "cvec"), best, f"qid {kind(queries, 'qid')}, corpus string, sim double")
 
 
 def bm25(queries: DataFrame, chunks: DataFrame, n: int, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
@@ -45,16 +104,16 @@ def bm25(queries: DataFrame, chunks: DataFrame, n: int, k1: float = 1.5, b: floa
     Counts are of the whole corpus; only postings of words that a query has are scored. Words with a negative inverse
     frequency get ``epsilon`` times the mean one. A query's repeated words count each time.
     """
-    tf = chunks.select("cid", F.explode(tokenize(F.col("text"))).alias("word")).groupBy("cid", "word").agg(F.count("*").alias("tf"))
-    lengths = chunks.select("cid", F.size(tokenize(F.col("text"))).alias("dl"))
-    size = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    words = chunks.select("cid", tokenize(F.col("text")).alias("words"))
+    tf = words.select("cid", F.size("words").alias("dl"), F.explode("words").alias("word")).groupBy("cid", "word").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
+    size = words.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("avgdl"))
     df = tf.groupBy("word").agg(F.count("*").alias("df"))
     raw = df.crossJoin(F.broadcast(size)).select("word", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     mean = raw.agg(F.avg("idf").alias("mean"))
     asked = queries.select("qid", F.explode(tokenize(F.col("text"))).alias("word")).groupBy("qid", "word").agg(F.count("*").alias("times"))
     idf = raw.crossJoin(F.broadcast(mean)).select("word", F.when(F.col("idf") < 0, epsilon * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
     weighed = asked.join(idf, "word")
-    posted = tf.join(weighed, "word").join(lengths, "cid").crossJoin(F.broadcast(size.select("avgdl")))
+    posted = tf.join(weighed, "word").crossJoin(F.broadcast(size.select("avgdl")))
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scores = posted.groupBy("qid", "cid").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
     return top_per(scores, ["qid"], [F.desc("score"), "cid"], n, "lex_rank")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import records, text, vector
-from lodestone.operators import clustering, coverage, ingest, metrics, proposals, retrieval, rules, sessions
+from lodestone.operators import clustering, coverage, ingest, metrics, proposals, retrieval, rules, sessions, verbatim
 from lodestone.plans.session import table
 from lodestone.plans.shared import text_batches
 
@@ -30,24 +30,22 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _sides(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """Every fifth vector is a query, the others are chunks of the corpus that their label's parity names."""
+    """Vectors whose id 50 divides are the queries, all vectors are chunks of the corpus that their label's parity names."""
     e = _vectors(spark, sf)
-    q = e.where("vec_id % 5 = 0").select(F.col("vec_id").alias("qid"), F.col("v").alias("qvec"))
-    c = e.where("vec_id % 5 <> 0").select(F.col("vec_id").alias("cid"), F.when(F.col("label") % 2 == 0, "policy").otherwise("legal").alias("corpus"), F.col("v").alias("cvec"))
+    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("v").alias("qvec"))
+    c = e.select(F.col("vec_id").alias("cid"), F.when(F.col("label") % 2 == 0, "policy").otherwise("legal").alias("corpus"), F.col("v").alias("cvec"))
     return q, c
 
 
 def _scores(spark, sf) -> DataFrame:
-    q, c = _sides(spark, sf)
-    hits = retrieval.all_queries(q, c).select("qid", "corpus", F.round(vector.cosine(F.col("qvec"), F.col("cvec")), 6).alias("sim"))
-    return coverage.best_scores(hits)
+    return coverage.best_scores(retrieval.best_by_corpus(*_sides(spark, sf)))
 
 
 VECTORS = "v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)"
-PAIRS = f"""{VECTORS}, q AS (SELECT vec_id AS qid, v AS qvec FROM v WHERE vec_id % 5 = 0),
-c AS (SELECT vec_id AS cid, CASE WHEN label % 2 = 0 THEN 'policy' ELSE 'legal' END AS corpus, v AS cvec FROM v WHERE vec_id % 5 <> 0),
+PAIRS = f"""{VECTORS}, q AS (SELECT vec_id AS qid, v AS qvec FROM v WHERE vec_id % 50 = 0),
+c AS (SELECT vec_id AS cid, CASE WHEN label % 2 = 0 THEN 'policy' ELSE 'legal' END AS corpus, v AS cvec FROM v),
 p AS (SELECT qid, cid, corpus, round(list_cosine_similarity(qvec, cvec), 6) AS sim FROM q, c)"""
-SCORES = f"{PAIRS}, s AS (SELECT qid, max(CASE WHEN corpus = 'policy' THEN sim END) AS policy, max(CASE WHEN corpus = 'legal' THEN sim END) AS legal FROM p GROUP BY qid)"
+SCORES = f"{PAIRS}, s AS (SELECT qid, max(CASE WHEN corpus = 'policy' THEN sim END) AS policy, max(CASE WHEN corpus = 'legal' THEN sim END) AS legal FROM p WHERE qid <> cid GROUP BY qid)"
 CLASS = "CASE WHEN policy >= {0} AND legal >= {1} THEN 'covered' WHEN legal >= {1} THEN 'legal_only' WHEN policy >= {0} THEN 'policy_only' ELSE 'uncovered' END"
 
 
@@ -147,23 +145,19 @@ def hybrid_rrf(spark, sf):
 NORMAL = "trim(regexp_replace({}, '[\\s\\x{{A0}}]+', ' ', 'g'))"
 
 
-def _containments(spark, sf):
-    """Documents with the benchmark passages that may stand in them: they share the passage's first normalised line's words."""
-    d = table(spark, sf, "documents").select("doc_id", "text")
-    b = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("quote"))
-    return retrieval.all_queries(b, d)
+def _quotes(spark, sf) -> tuple[DataFrame, DataFrame]:
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("quote")), table(spark, sf, "documents").select(F.col("doc_id").alias("sid"), "text")
 
 
 @query(f"SELECT doc_id, item_id FROM documents d, benchmark b WHERE contains(lower({NORMAL.format('d.text')}), lower({NORMAL.format('b.text')}))")
 def verbatim_hits(spark, sf):
-    return _containments(spark, sf).where(text.is_verbatim(F.col("quote"), F.col("text"))).select("doc_id", "item_id")
+    return verbatim.verbatim_pairs(*_quotes(spark, sf)).select(F.col("sid").alias("doc_id"), F.col("qid").alias("item_id"))
 
 
 @query(f"SELECT doc_id, item_id, strpos(d.text, b.text) - 1 AS \"start\", strpos(d.text, b.text) - 1 + length(b.text) AS \"end\" FROM documents d, benchmark b WHERE contains(lower({NORMAL.format('d.text')}), lower({NORMAL.format('b.text')}))")
 def verbatim_spans(spark, sf):
-    hits = _containments(spark, sf).where(text.is_verbatim(F.col("quote"), F.col("text")))
-    s = hits.withColumn("s", text.verbatim_span(F.col("quote"), F.col("text")))
-    return s.select("doc_id", "item_id", F.col("s.start").cast("bigint").alias("start"), F.col("s.end").cast("bigint").alias("end"))
+    s = verbatim.verbatim_spans(*_quotes(spark, sf))
+    return s.select(F.col("sid").alias("doc_id"), F.col("qid").alias("item_id"), F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"))
 
 
 @query("""WITH b AS (SELECT doc_id, trim(text, E' \\n\\t\\r') AS body FROM documents), c AS (SELECT *, left(body, 400) AS cut FROM b),
@@ -350,10 +344,10 @@ def fifo_cap(spark, sf):
     return sessions.last_rows(table(spark, sf, "events"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).select("user_id", "event_id")
 
 
-@query("SELECT event_id, ts FROM events ORDER BY ts DESC, event_id LIMIT 100")
+@query("SELECT event_id, ts FROM events ORDER BY ts DESC, event_id")
 def newest_first(spark, sf):
     e = table(spark, sf, "events").withColumnsRenamed({"event_id": "proposal_id", "ts": "created_at"})
-    return proposals.listed(e).limit(100).select(F.col("proposal_id").alias("event_id"), F.col("created_at").alias("ts"))
+    return proposals.listed(e).select(F.col("proposal_id").alias("event_id"), F.col("created_at").alias("ts"))
 
 
 @query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus <> 'F')")
@@ -383,9 +377,18 @@ def text_functions(spark, sf):
     return d.select("doc_id", F.size(text.tokenize(F.col("text"))).cast("bigint").alias("n_tokens"), text.estimated_tokens(F.col("text")).cast("bigint").alias("est_tokens"), text.slugify(F.col("source")).alias("slug"))
 
 
-@query(f"WITH {LINES} SELECT doc_id, n FROM l WHERE trim(line) <> '' AND length(trim(line)) <= 120 AND len(list_filter(regexp_split_to_array(line, '\\s+'), lambda x: x <> '')) <= 12 AND NOT regexp_matches(trim(line), '^\\d+$') AND (regexp_matches(trim(line), '(?i)^(section\\s+)?\\d+(\\.\\d+)*[.:\\s]') OR regexp_matches(trim(line), '^[A-Z][A-Z\\s\\-&,/]{{2,}}$'))")
+HEADER = "trim(line) <> '' AND length(trim(line)) <= 120 AND len(list_filter(regexp_split_to_array(line, '\\s+'), lambda x: x <> '')) <= 12 AND NOT regexp_matches(trim(line), '^\\d+$') AND (regexp_matches(trim(line), '(?i)^(section\\s+)?\\d+(\\.\\d+)*[.:\\s]') OR regexp_matches(trim(line), '^[A-Z][A-Z\\s\\-&,/]{2,}$') OR lower(trim(line)) = 'cold widget')"
+
+
+@query(f"""WITH {LINES}, p AS (SELECT p_partkey, unnest(['t', 'n', 's', 'z']) AS form, unnest([p_type, p_name, 'Section ' || p_size || '.1: ' || p_name, CAST(p_size AS VARCHAR)]) AS line FROM part),
+a AS (SELECT 'document' AS kind, doc_id AS id, CAST(n AS VARCHAR) AS n, line FROM l UNION ALL SELECT 'part', p_partkey, form, line FROM p) SELECT kind, id, n FROM a WHERE {HEADER}""")
 def header_lines(spark, sf):
-    return _lines(spark, sf).where(text.likely_header(F.col("line"), ["introduction"])).select("doc_id", "n")
+    p = table(spark, sf, "part")
+    size = F.col("p_size").cast("string")
+    forms = {"t": F.col("p_type"), "n": F.col("p_name"), "s": F.concat(F.lit("Section "), size, F.lit(".1: "), F.col("p_name")), "z": size}
+    parts = p.select(F.lit("part").alias("kind"), F.col("p_partkey").alias("id"), F.explode(F.array(*[F.struct(F.lit(k).alias("n"), v.alias("line")) for k, v in forms.items()])).alias("x")).select("kind", "id", "x.n", "x.line")
+    lines = _lines(spark, sf).select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.col("n").cast("string").alias("n"), "line")
+    return lines.union(parts).where(text.likely_header(F.col("line"), ["cold widget"])).select("kind", "id", "n")
 
 
 @query("SELECT count(*) AS n_chunks, count(DISTINCT source) AS n_sections, min(n_chars) AS min_words, max(n_chars) AS max_words, CAST(sum(n_chars) // count(*) AS BIGINT) AS avg_words FROM documents")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import clustering, coverage, ingest, metrics, proposals, rerank, retrieval, rules, sessions
+from lodestone.operators import clustering, coverage, ingest, metrics, proposals, rerank, retrieval, rules, sessions, verbatim
 from lodestone.plans import catalog
 from lodestone.plans.components import components
 from lodestone.sources import store
@@ -40,10 +40,38 @@ def test_bm25_edges(spark):
     assert [(r.qid, r.cid) for r in retrieval.bm25(q, c, 3).collect()] == [(1, 1)]
 
 
-def test_large_query_sets_meet_by_blocks(spark, monkeypatch):
-    monkeypatch.setattr(retrieval.small, "__defaults__", (2,))
-    q = spark.range(5).select(F.col("id").alias("qid"))
-    assert retrieval.all_queries(q, spark.range(7).select(F.col("id").alias("cid")), 4).distinct().count() == 35
+def test_vectors_meet_by_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    vecs = [(i, rng.normal(size=4).round(1).tolist()) for i in range(30)] + [(30, None), (31, []), (32, [0.0] * 4), (33, [1.0, 2.0]), (34, [float("nan")] * 4)]
+    v = spark.createDataFrame(vecs, "id bigint, vec array<double>")
+    unit = {i: np.array(x) / np.linalg.norm(x) for i, x in vecs[:30]}
+    sims = {(i, j): round(float(unit[i] @ unit[j]), 6) if max(i, j) < 30 else 1.0 if i == j == 33 else 0.0 for i in range(35) for j in range(35)}
+    for block in (4096, 7):
+        monkeypatch.setattr(retrieval, "BLOCK", block)
+        got = {}
+        q, c = v.toDF("qid", "qvec"), v.toDF("cid", "cvec")
+        for r in retrieval.dense(q, c, 3).orderBy("dense_rank").collect():
+            got.setdefault(r.qid, []).append((r.cid, r.sim))
+        assert got == {i: sorted(((j, sims[i, j]) for j in range(35)), key=lambda x: (-x[1], x[0]))[:3] for i in range(35)}
+        best = {(r.qid, r.corpus): r.sim for r in retrieval.best_by_corpus(q, c.withColumn("corpus", F.when(F.col("cid") % 2 == 0, "policy").otherwise("legal"))).groupBy("qid", "corpus").agg(F.max("sim").alias("sim")).collect()}
+        assert best == {(i, k): max(sims[i, j] for j in range(m, 35, 2) if j != i) for i in range(35) for k, m in (("policy", 0), ("legal", 1))}
+        pairs = {(r.i, r.j) for r in clustering.similar_pairs(v, 0.8).collect()}
+        assert pairs == {(i, j) for i in range(35) for j in range(i + 1, 35) if sims[i, j] >= 0.8}
+        label = {i: i for i in range(35)}
+        for i, j in sorted(pairs) * 35:
+            label[i] = label[j] = min(label[i], label[j])
+        assert {r.id: r.component for r in clustering.linked_components(v, 0.8).collect()} == label
+
+
+def test_verbatim_pairs_by_brute_force(spark):
+    words = "the cat sat on mat and saw a rat near".split()
+    rng = random.Random(5)
+    sources = [(i, " ".join(rng.choice(words) for _ in range(40)) if i else None) for i in range(12)] + [(12, ""), (13, "The  CAT\n sat\u2019s on")]
+    cut = lambda t: t[(a := rng.randint(0, 60)) : a + rng.randint(1, 80)]
+    quotes = [(i, cut(sources[1 + i % 11][1])) for i in range(60)] + [(60, None), (61, ""), (62, " "), (63, "t sat's o"), (64, "nowhere in any of the sources at all")]
+    norm = lambda t: " ".join(t.replace("\u2019", "'").split()).lower()
+    got = {(r.qid, r.sid) for r in verbatim.verbatim_pairs(spark.createDataFrame(quotes, "qid bigint, quote string"), spark.createDataFrame(sources, "sid bigint, text string")).collect()}
+    assert got == {(q, s) for q, a in quotes for s, t in sources if a and t and norm(a) and norm(a) in norm(t)}
 
 
 def test_rerank_shapes(spark):
