@@ -16,16 +16,21 @@ from pyspark.sql import DataFrame, SparkSession
 TEXT_BATCH_ROWS = 500
 
 
+#: Temporary folders of local applications that have no spark.checkpoint.dir, by application id; that setting is fixed once a session runs.
+LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; in local mode without one, a temporary folder that is set for the session."""
+    """The folder in spark.checkpoint.dir; in local mode without one, a temporary folder of the application."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    found = tempfile.mkdtemp(prefix="lodestone-")
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    name = spark.sparkContext.applicationId
+    if name not in LOCAL:
+        LOCAL[name] = tempfile.mkdtemp(prefix="lodestone-")
+    return LOCAL[name]
 
 
 def delete(spark: SparkSession, path: str) -> None:

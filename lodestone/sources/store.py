@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +21,7 @@ class Store:
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/current")
         if not hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
             return None
-        row = self.spark.read.json(f"{self.path}/current", schema="version string, next_id bigint", mode="FAILFAST").collect()
+        row = self.spark.read.json(f"{self.path}/current", schema="version string, next_id bigint", mode="PERMISSIVE").collect()
         if len(row) != 1 or row[0].version is None:
             raise ValueError(f"{self.path} is corrupt")
         return row[0].version, row[0].next_id
@@ -36,6 +37,19 @@ class Store:
         found = self._pointer()
         return self.spark.createDataFrame([], self.schema) if found is None else self.spark.read.schema(self.schema).parquet(f"{self.path}/{found[0]}")
 
+    def read_or_empty(self) -> tuple[DataFrame, int]:
+        """[S3] rows and the next id for stores that may be lost: missing, corrupt and misshapen ones are empty and begin at 1,
+        and a counter that is behind the ids is moved past them."""
+        try:
+            found = self._pointer()
+        except (PySparkException, ValueError):
+            found = None
+        if found is None:
+            return self.spark.createDataFrame([], self.schema), 1
+        rows = self.spark.read.schema(self.schema).options(ignoreCorruptFiles=True, ignoreMissingFiles=True).parquet(f"{self.path}/{found[0]}")
+        last = rows.agg(F.max("id"), F.count("*")).first()
+        return rows, max(found[1] or 1, (last[0] or 0) + 1, last[1] + 1)
+
     def replace(self, rows: DataFrame, next_id: int | None = None, expected: int | None = None) -> None:
         """[K4, K5] writes a version, checks its count and makes it current."""
         next_id = self.next_id if next_id is None else next_id

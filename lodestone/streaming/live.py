@@ -1,4 +1,4 @@
-"""Structured Streaming forms of the standing metrics and of session state [ST2, ST5-ST7]."""
+"""Structured Streaming forms of the standing metrics and of session state [ST2, ST5-ST8]."""
 
 from __future__ import annotations
 
@@ -33,6 +33,50 @@ def session_state(messages: DataFrame, most: int = 50) -> DataFrame:
     return messages.groupBy("conv_id").applyInPandasWithState(step, "conv_id bigint, n_messages bigint, n_chars bigint, last_role string", "n bigint, chars bigint, roles string", "update", GroupStateTimeout.NoTimeout)
 
 
+def exhaustion_state(events: DataFrame) -> DataFrame:
+    """[ST7, D3] event_id and whether its key has failed before on the same UTC day. ``events``: key, event_id, ts, failed.
+    State is the last day and whether it had a failure, so it never grows; events of a batch are taken in order of time,
+    and one from an earlier day than the state's changes nothing and counts as not exhausted."""
+
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        day, out = state.get if state.exists else ("", False)
+        for pdf in batches:
+            rows = []
+            pdf = pdf.sort_values(["ts", "event_id"])
+            for i, at, failed in zip(pdf.event_id.tolist(), pdf.ts.dt.strftime("%Y-%m-%d").tolist(), pdf.failed.fillna(False).astype(bool).tolist()):
+                if at > day:
+                    day, out = at, False
+                rows.append((i, out and at == day))
+                out = out or failed and at == day
+            yield pd.DataFrame(rows, columns=["event_id", "exhausted"])
+        state.update((day, bool(out)))
+
+    return events.groupBy("key").applyInPandasWithState(step, "event_id bigint, exhausted boolean", "day string, out boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def embedded(rows: DataFrame, embed, column: str = "text", size: int = 25, tries: int = 3) -> DataFrame:
+    """[ST8] ``rows`` with ``vec``: ``embed`` takes up to ``size`` texts at a time and is asked again up to ``tries`` times."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+
+    def ask(texts: list) -> list:
+        for left in range(tries - 1, -1, -1):
+            try:
+                return embed(texts)
+            except Exception:
+                if not left:
+                    raise
+        return []
+
+    def run(batches):
+        for pdf in batches:
+            vecs: list = []
+            for at in range(0, len(pdf), size):
+                vecs += ask(pdf[column].iloc[at : at + size].tolist())
+            yield pdf.assign(vec=vecs)
+
+    return rows.mapInPandas(run, f"{schema}, vec array<double>")
+
+
 def upsert_batches(stream: DataFrame, apply, checkpoint: str, available_now: bool = True):
     """[ST3, ST6] runs ``apply(batch, batch_id)`` on each micro-batch; an idempotent ``apply`` makes a re-run harmless."""
     w = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
