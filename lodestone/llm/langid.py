@@ -20,8 +20,9 @@ from lodestone.plans.shared import text_batches
 
 WINDOW = 256
 WIDTHS, FILTERS, EMBEDDING = (2, 3, 4), 16, 8
-#: Bounds of the training sample: documents of a language, languages (the most frequent), characters of each document's window.
-PER_LANGUAGE, LANGUAGES, SAMPLE_CHARS = 1200, 200, 240
+#: Bounds of the training sample: documents of a language, documents in all, languages (the most frequent), characters of
+#: each document's window. Up to 200 languages have PER_LANGUAGE documents each, more have equal shares of SAMPLE.
+PER_LANGUAGE, SAMPLE, LANGUAGES, SAMPLE_CHARS = 1200, 240_000, 4000, 240
 EPOCHS, BATCH, RATE = 6, 64, 0.01
 LETTER = re.compile("[A-Za-z]")
 
@@ -150,19 +151,20 @@ class Scorer:
 
 def train(docs: DataFrame) -> Network:
     """A network for the languages of ``docs`` outside the held-out fold. The sample takes about PER_LANGUAGE documents of each
-    language by a hash of the id, and from each a window at a place that the hash gives."""
+    language, fewer where there are very many, by a hash of the id, and from each a window at a place that the hash gives."""
     usable = docs.where((fold() != 2) & F.col("lang").isNotNull() & (F.length("text") > 0)).select("doc_id", "text", "lang")
     counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     languages = sorted(r["lang"] for r in counts)
     net = Network(languages)
     if len(languages) < 1:
         return net
-    chance = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, PER_LANGUAGE / r["count"]))])
+    each = min(PER_LANGUAGE, SAMPLE // len(languages))
+    chance = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], min(1.0, each / r["count"]))])
     h = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(3)), F.lit(1 << 30))
     room = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0)) + 1
     picked = usable.where(F.lit(1.0 * (1 << 30)) * F.coalesce(chance[F.col("lang")], F.lit(0.0)) > h)
     piece = F.substring(F.col("text"), (F.pmod(h, room) + 1).cast("int"), F.lit(SAMPLE_CHARS))
-    rows = picked.select(h.alias("h"), "lang", piece.alias("piece")).orderBy("h", "piece").limit(2 * PER_LANGUAGE * len(languages)).collect()
+    rows = picked.select(h.alias("h"), "lang", piece.alias("piece")).orderBy("h", "piece").limit(2 * each * len(languages)).collect()
     rng = np.random.default_rng(1)
     number = {x: i for i, x in enumerate(languages)}
     x, y = [], []

@@ -132,7 +132,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Attention:
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(rows[0], len(rows)), pa.array(kept, pa.binary())], names=["quality", "bag"])
 
     chosen = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(some), "doc_id").select(F.col("quality").cast("int").alias("quality"), "text")
-    rows = chosen.mapInArrow(run, "quality int, bag binary").limit(3 * PER_LABEL).collect()
+    bags = chosen.mapInArrow(run, "quality int, bag binary")  # ids that repeat give more bags than ids; a hash says which stay
+    rows = bags.orderBy(F.xxhash64("bag", "quality"), "bag", "quality").limit(3 * PER_LABEL).collect()
     model = Attention()
     if rows:
         rows.sort(key=lambda r: (r["quality"], bytes(r["bag"])))  # the fit does not depend on the order of tasks

@@ -15,6 +15,7 @@ from lodestone.llm import bagminhash, bpe, exact_dedup, langid, licenses, near_d
 from lodestone.plans.session import table
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+DOCS_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 ODD = ["", None, " ", "a", "\n\n", "  two  spaces ", "same", "same", "ünï cödé\u00a0x", "x" * 5000, "word " * 3000, "日本語 テキスト", "tab\tand\r\nbreak", "😀 emoji"]
 
 
@@ -521,6 +522,94 @@ def test_network_tables_equal_the_convolution():
     assert np.allclose(langid.softmax(h @ net.params["d"] + net.params["b"]), langid.Scorer(net).windows(x), atol=1e-4)
 
 
+def test_language_scores_by_brute_force():
+    """The whole scorer against a plain forward pass, window by window and byte by byte."""
+    net = langid.Network(["a", "b", "c"])
+    p = net.params
+    texts = ["plain words " * 40, "é日本 mixed", "x", "12 !", "", "long " * 500]
+    for text, (lang, score) in zip(texts, langid.Scorer(net).score(texts)):
+        raw = text.encode()
+        if not any(ch.isalpha() for ch in text):
+            assert (lang, score) == ("und", 0.0)
+            continue
+        total = np.zeros(3)
+        for at in range(0, len(raw), langid.WINDOW):
+            window = raw[at : at + langid.WINDOW]
+            e = p["e"][list(window.ljust(langid.WINDOW, b"\0"))]
+            h = []
+            for w in langid.WIDTHS:
+                for f in range(langid.FILTERS):
+                    h.append(max(0, max(float(e[i : i + w].ravel() @ p[f"w{w}"][:, f]) + p[f"c{w}"][f] for i in range(langid.WINDOW - w + 1))))
+            z = np.exp(np.array(h) @ p["d"] + p["b"])
+            total += z / z.sum() * sum(b != 0 for b in window)
+        total /= total.sum()
+        assert lang == net.languages[int(total.argmax())] and score == pytest.approx(total.max(), abs=1e-3)
+
+
+def test_attention_by_brute_force_and_its_gradient():
+    m = quality.Attention(3)
+    p = m.params
+    x, counts = quality.passages(["Some words here. " * 90, "", "x|y|z " * 300])
+    x = x.astype(float)
+    y, *_ = m.forward(x, counts)
+    at = 0
+    for n, got in zip(counts.tolist(), y):
+        h = [np.tanh(row @ p["w"] + p["b"]) for row in x[at : at + n]]
+        gate = [float(np.sum(np.tanh(v @ p["v"]) / (1 + np.exp(-(v @ p["u"]))) * p["a"])) for v in h]
+        share = np.exp(gate) / np.sum(np.exp(gate))
+        z = sum(a * v for a, v in zip(share, h))
+        assert got == pytest.approx(1 / (1 + np.exp(-(z @ p["o"] + p["c"][0]))))
+        at += n
+    target = np.array([1.0, 0.0, 1.0])
+
+    def loss():
+        y = m.forward(x, counts)[0]
+        return -np.mean(target * np.log(y) + (1 - target) * np.log(1 - y))
+
+    rng = np.random.default_rng(4)
+    for k, g in m.gradient(x, counts, target).items():
+        for _ in range(6):
+            i = tuple(int(rng.integers(n)) for n in p[k].shape)
+            old, step = p[k][i], 1e-5
+            p[k][i] = old + step
+            up = loss()
+            p[k][i] = old - step
+            down = loss()
+            p[k][i] = old
+            assert g[i] == pytest.approx((up - down) / (2 * step), abs=1e-6)
+
+
+CLASHING = "digest string, grp int, key string, sig string, component string, size int, bands int, rep int, ids string, spans string, labels string, score double, held_out string, text_sha256 string, kept int, tkey string, _p int"
+
+
+def test_operators_take_clashing_columns_and_very_long_texts(spark):
+    """Columns that operators use inside, and a text of over a megabyte, change nothing in their results."""
+    long = "the mit license says token = 'aK9$kd03Qz8' and more words " * 20_000
+    plain = spark.createDataFrame([(1, long, "en", "s", 1), (2, "short text of the same words", "en", "s", 1), (3, long + "end", "fr", "s", 1), (4, None, None, None, None)], DOCS)
+    more = [f"CAST(1 AS {t}) AS {n}" for n, t in (c.rsplit(" ", 1) for c in CLASHING.split(", "))]
+    clashing = plain.selectExpr(*more, *plain.columns)
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id bigint, quality int, toxic int")
+    path, multi = P.path("byte_bpe_50k.json"), P.path("byte_bpe_multi_50k.tiktoken")
+    net, model = langid.train(clashing), quality.train(clashing, labels)
+    for f in (
+        lambda d: packing.pack(d, path), licenses.scan, exact_dedup.exact_groups, near_dedup.near_groups, lambda d: tokens.round_trip(d, multi, P.PATTERN), secrets.digest,
+        lambda d: quality.classify(d, model), lambda d: langid.identify(d, net), lambda d: secrets.redact(d).select(*DOCS_COLUMNS), lambda d: langid.keep_identified(d, net).select(*DOCS_COLUMNS),
+    ):
+        got = f(clashing).collect()
+        assert Counter(map(tuple, got)) == Counter(map(tuple, f(plain).collect())) and got
+    groups = {r.doc_id: r.group_id for r in near_dedup.near_groups(clashing).collect()}
+    assert groups == {1: 1, 2: 2, 3: 1, 4: 4}
+    vectors = spark.createDataFrame([(i, [float(i), 1.0], "x", 1, 2) for i in range(60)], "vec_id bigint, embedding array<float>, vec string, dims int, rank int")
+    v = topk.quantise(vectors)
+    assert topk.top_k(v, v.where("vec_id % 50 = 0")).count() == 10
+
+
+def test_quality_without_labels(spark, odd):
+    labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    rows = quality.classify(odd, quality.train(odd, labels)).collect()
+    assert len(rows) == odd.count() and all(0 <= r.score <= 1 for r in rows)
+
+
 def test_every_operator_has_a_query():
     assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in queries.QUERIES) == list(range(1, 11))
     assert set(queries.SQL) <= set(queries.QUERIES)
