@@ -68,6 +68,17 @@ def test_stages_by_brute_force(spark, docs):
     assert pieces == {d: len(c.encode([t])[0]) + 1 for d, t in texts.items()}
 
 
+def test_stages_with_one_id_on_several_texts(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(80)) for x in "ab")
+    stages = dict(corpus_pipeline.STAGES)
+    rows = [(5, b, "en", "s", 1), (7, b.replace("b40", "c"), "en", "s", 1), (7, a, "en", "s", 1), (None, a + " d", "en", "s", 1), (None, "alone here", "en", "s", 1)]
+    got = stages["near_dedup"](spark, spark.createDataFrame(rows, DOCS), "")
+    assert Counter((r.doc_id, r.text[:5]) for r in got.collect()) == Counter([(5, "b0 b1"), (7, "a0 a1"), (None, "alone")])
+    rows = [(1, "t", "fr", "s", 1), (1, "t", "en", "s", 1), (1, "t", "en", "s", 1), (1, "u", None, None, None), (None, "t", "en", "s", 1), (None, "v", "en", "s", 1)]
+    got = stages["exact_dedup"](spark, spark.createDataFrame(rows, DOCS), "")
+    assert Counter(map(tuple, got.collect())) == Counter([(1, "t", "en", "s", 1), (1, "u", None, None, None), (None, "v", "en", "s", 1)])
+
+
 def test_run_and_empty_table(spark, docs):
     whole = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert whole.count() > 0
