@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm import exact_dedup, langid, near_dedup, packing, secrets
 from lodestone.plans.session import table
 from lodestone.plans.shared import materialise
 
-KEY = "_lodestone_row_key"
+KEY, PLACE = "_lodestone_row_key", "_lodestone_place"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,12 +19,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of identical texts the document with the largest id stays, once even where its row repeats."""
+    """Of identical texts the document with the largest id stays, once even where its row repeats; of rows that share id and
+    text but not the other columns, the first by those columns."""
     groups = exact_dedup.exact_groups(docs)
     key = lambda sha: F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), sha)
     dropped = groups.where("not kept").select(key(F.col("text_sha256")).alias(KEY))
     keyed = docs.withColumn(KEY, key(F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)))
-    return keyed.join(dropped, KEY, "left_anti").dropDuplicates([KEY]).select(*docs.columns)
+    others = F.to_json(F.struct(F.lit(1).alias("_"), *[c for c in docs.columns if c not in ("doc_id", "text")]))
+    place = F.row_number().over(Window.partitionBy(KEY).orderBy(others))
+    return keyed.join(dropped, KEY, "left_anti").withColumn(PLACE, place).where(F.col(PLACE) == 1).select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
