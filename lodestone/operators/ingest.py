@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import likely_header, strip_glyphs, strip_section_prefix, trimmed, verbatim_span, word_count
+from lodestone.functions.text import format_table, likely_header, strip_glyphs, strip_section_prefix, trimmed, verbatim_span, word_count
 
 MIN_WORDS, MAX_WORDS = 100, 350
 
@@ -99,6 +99,16 @@ def offsets(blocks: DataFrame, key: str, order: str, joint: int = 2) -> DataFram
     return blocks.withColumn("char_start", start).withColumn("char_end", start + F.length("text"))
 
 
+def page_texts(pages: DataFrame, tables: DataFrame, least: int = 10) -> DataFrame:
+    """[S7, U4] doc, page, place, kind, text: each page's cleaned text (place 0), then its tables of ``least`` words or more as
+    pages of their own. ``pages``: doc, page, text; ``tables``: doc, page, idx (from 1), rows (arrays of cells). Blank pages
+    are left out, their tables are not."""
+    text = trimmed(strip_glyphs(F.coalesce("text", F.lit(""))))
+    plain = pages.select("doc", "page", F.lit(0).alias("place"), F.lit("text").alias("kind"), text.alias("text")).where("text <> ''")
+    cells = tables.select("doc", "page", F.col("idx").cast("int").alias("place"), F.lit("table").alias("kind"), format_table(F.col("rows")).alias("text"))
+    return plain.unionByName(cells.where(word_count(F.col("text")) >= least))
+
+
 def statute_chunks(blocks: DataFrame) -> DataFrame:
     """[E8, U3] chunks of pages' articles: paragraphs below a heading in groups of at most MAX_WORDS, title first, later parts
     marked as continued; with chunk_id and place in the canonical text. ``blocks``: page_id, i, kind, text."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions import forms
-from lodestone.operators import analysis, coverage, retrieval
+from lodestone.operators import analysis, coverage, ingest, retrieval
 from lodestone.plans import catalog
 from lodestone.plans.catalog import query
 from lodestone.plans.session import table
@@ -165,3 +165,16 @@ def policy_quotes(spark, sf):
     answers = c.groupBy("qid").agg(F.to_json(F.struct(F.collect_list(F.struct(F.col("idx").alias("index"), (10 - F.col("idx")).cast("double").alias("score"))).alias("scores"))).alias("raw"))
     extracted = c.select("qid", "idx").join(q.withColumnRenamed("query", "extracted"), "qid")
     return analysis.policy_quotes(q, c, answers, extracted).select("qid", "quote", "section", "error")
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, o_orderstatus || ' | ' || o_orderpriority AS line, o_orderstatus || ' ' || o_orderpriority AS words FROM orders),
+t AS (SELECT o_custkey AS page, string_agg(line, chr(10) ORDER BY o_orderkey) AS text, sum(len(list_filter(string_split(words, ' '), lambda x: x <> '')) + 1) AS n FROM o GROUP BY 1)
+SELECT c_nationkey AS doc, c_custkey AS page, CAST(0 AS INTEGER) AS place, 'text' AS kind, c_name || ' of ' || c_mktsegment AS text FROM customer WHERE c_custkey % 3 <> 0
+UNION ALL SELECT c_nationkey, c_custkey, 1, 'table', t.text FROM t JOIN customer ON c_custkey = t.page WHERE t.n >= 10""")
+def page_texts(spark, sf):
+    """Customers as pages, every third without text, and their orders as a table of two cells a row."""
+    c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
+    pages = c.select(F.col("c_nationkey").alias("doc"), F.col("c_custkey").alias("page"), F.when(F.col("c_custkey") % 3 == 0, " (cid:7) ").otherwise(F.concat("c_name", F.lit("(cid:12)of  "), "c_mktsegment")).alias("text"))
+    rows = o.groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", F.array("o_orderstatus", "o_orderpriority").alias("cells")))), lambda r: r["cells"]).alias("rows"))
+    tables = rows.join(c, rows.o_custkey == c.c_custkey).select(F.col("c_nationkey").alias("doc"), F.col("c_custkey").alias("page"), F.lit(1).alias("idx"), "rows")
+    return ingest.page_texts(pages, tables)
