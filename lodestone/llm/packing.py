@@ -25,6 +25,8 @@ from lodestone.plans.shared import text_batches
 GROUP_RESTS = 1000
 #: Longest piece of a rest that is dealt to a window; short pieces leave sums so near that few windows are added.
 PIECE_IDS = 128
+#: Room for unequal sums in the first count of windows that is tried.
+SPREAD_IDS = 4
 #: Characters encoded at a time and parts cached by a ``lean`` worker.
 LEAN_CHARS, LEAN_PARTS = 1_500_000, 60_000
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
@@ -60,13 +62,15 @@ def windows(sizes: list[int], capacity: int, piece: int | None = PIECE_IDS) -> l
     """Windows of (item, start, length), each of at most ``capacity`` in all.
 
     Items longer than ``piece`` are cut into pieces of that length and a rest (never with None, where an item may be as
-    long as ``capacity``). The number of windows begins at the least that could do and rises while one is over capacity.
+    long as ``capacity``). The number of windows begins near the least that could do and rises while one is over capacity.
     """
+    piece = min(piece, capacity) if piece else None
     parts = [(i, a, min(piece or n, n - a)) for i, n in enumerate(sizes) for a in range(0, n, piece or max(n, 1))]
     if not parts:
         return []
     lengths = [p[2] for p in parts]
-    k = -(-sum(lengths) // capacity)
+    # short pieces leave sums that differ by a few ids, so a count without room for that would have to rise
+    k = -(-sum(lengths) // max(capacity - (SPREAD_IDS if piece else 0), 1))
     while True:
         dealt = difference(lengths, k)
         most = max(sum(lengths[i] for i in w) for w in dealt)
