@@ -15,6 +15,7 @@ from lodestone.functions.records import histogram
 from lodestone.functions.text import member_key
 from lodestone.operators.retrieval import block_cosines, blocks_of
 from lodestone.plans.components import components
+from lodestone.plans.numbering import numbered
 
 
 def vector_blocks(vectors: DataFrame) -> DataFrame:
@@ -149,7 +150,8 @@ def stable_ids(clusters: DataFrame, stored: DataFrame, next_seq: int) -> DataFra
     keyed = clusters.withColumn("key", member_key(F.col("member_ids")))
     old = stored.select(member_key(F.col("member_ids")).alias("key"), "cluster_id", "status").dropDuplicates(["key"])
     both = keyed.join(old, "key", "left")
-    new = both.where("cluster_id is null").select("key", "member_ids", F.format_string("cc_%04d", F.row_number().over(Window.orderBy("key")) + F.lit(next_seq - 1)).alias("cluster_id"), F.lit("open").alias("status"))
+    fresh = numbered(both.where("cluster_id is null").select("key", "member_ids"), ["key"])
+    new = fresh.select("key", "member_ids", F.format_string("cc_%04d", F.col("number") + F.lit(next_seq)).alias("cluster_id"), F.lit("open").alias("status"))
     return both.where("cluster_id is not null").select("key", "member_ids", "cluster_id", "status").unionByName(new).drop("key")
 
 

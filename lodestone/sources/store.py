@@ -9,9 +9,12 @@ from __future__ import annotations
 import uuid
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.plans.numbering import numbered
+from lodestone.plans.shared import materialise
+
 
 class Store:
     def __init__(self, spark: SparkSession, path: str, schema: str):
@@ -60,21 +63,11 @@ class Store:
         self.spark.createDataFrame([(version, next_id)], "version string, next_id bigint").coalesce(1).write.mode("overwrite").json(f"{self.path}/current")
 
     def create(self, rows: DataFrame, order: list[str]) -> None:
-        """[K1, K8, K15] appends rows with the next ids, in the given order. ``rows`` has all columns but id.
-
-        Numbers are dealt by partition: rows are sorted across partitions, each partition's count is summed, and a row
-        gets its partition's start and its place there, so no task sees all rows.
-        """
-        old = self.read()
-        parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-        from lodestone.plans.shared import materialise
-
-        parts = materialise(parts, "new-rows")
-        counts = parts.groupBy("_p").agg(F.count("*").alias("_n"))
-        starts = counts.withColumn("_start", F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).drop("_n")
-        numbered = parts.join(F.broadcast(starts), "_p").withColumn("id", F.row_number().over(Window.partitionBy("_p").orderBy(*order)) + F.col("_start") + F.lit(self.next_id - 1))
-        added = parts.count()
-        self.replace(old.unionByName(numbered.select(*old.columns)), self.next_id + added)
+        """[K1, K8, K15] appends rows with the next ids, in the given order. ``rows`` has all columns but id."""
+        old, first = self.read(), self.next_id
+        new = materialise(numbered(rows, order), "new-rows")
+        ids = new.withColumn("id", F.col("number") + F.lit(first))
+        self.replace(old.unionByName(ids.select(*old.columns)), first + new.count())
 
     def update(self, changes: DataFrame) -> DataFrame:
         """[K2, K9] rows with the non-null fields of ``changes`` (id and some columns); returns id and found of each change."""
