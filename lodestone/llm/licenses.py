@@ -13,6 +13,7 @@ import re
 from bisect import bisect_left
 from functools import lru_cache
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,8 +46,28 @@ def rules() -> list[tuple[int, float, str, tuple[str, ...], re.Pattern]]:
 
 
 @lru_cache(maxsize=1)
-def keywords() -> tuple[bytes, ...]:
-    return tuple(sorted({k.encode() for r in rules() for k in r[3]} | {b"licen", b"under"}))
+def by_keyword() -> dict[str, list[int]]:
+    """Numbers of the rules that a keyword opens."""
+    out: dict[str, list[int]] = {k: [] for k in SHORT_LABELS}
+    for n, r in enumerate(rules()):
+        for k in r[3]:
+            out.setdefault(k, []).append(n)
+    return out
+
+
+@lru_cache(maxsize=1)
+def automaton() -> ahocorasick.Automaton:
+    """Finds all keywords in one pass over a text."""
+    found = ahocorasick.Automaton()
+    for k in by_keyword():
+        found.add_word(k, k)
+    found.make_automaton()
+    return found
+
+
+def present_in(words: str) -> set[str]:
+    """The keywords that occur."""
+    return {k for _, k in automaton().iter(words)}
 
 
 @lru_cache(maxsize=1)
@@ -79,8 +100,9 @@ def uncontained(found: list[tuple]) -> list[tuple]:
 
 def detect(words: str, present: set[str]) -> list[tuple[int, int, int, float, str]]:
     """(start, end, priority, confidence, label) that stay, over words padded by spaces; ``present`` are the keywords that occur."""
-    found = [(m.start(), m.end(), p, c, label) for p, c, label, needed, pattern in rules() if not present.isdisjoint(needed) for m in pattern.finditer(words)]
-    if "licen" in present or "under" in present:
+    known, opened = rules(), sorted({n for k in present for n in by_keyword()[k]})
+    found = [(m.start(), m.end(), p, c, label) for p, c, label, _, pattern in map(known.__getitem__, opened) for m in pattern.finditer(words)]
+    if not present.isdisjoint(SHORT_LABELS) and ("licen" in words or "under" in words):
         found += [(m.start(), m.end(), 4, 0.9, SHORT_LABELS[m[1]]) for m in re.finditer(rf"(?<= ){SHORT}(?= )", words)]
     if any(d[2] == 5 for d in found):
         before: dict[int, tuple[int, int, float]] = {}
@@ -95,10 +117,10 @@ def judge_text(text: str) -> tuple:
     """n_words, n_base, first_word, last_word, base_labels, labels, score, detections."""
     raw = folded(text)
     n = raw.count(b" ") + 1 if raw else 0
-    present = {k.decode() for k in keywords() if k in raw}
+    words = f" {raw.decode('utf-8', 'surrogatepass')} "
+    present = present_in(words)
     if not present:
         return n, 0, None, None, "", "", 0.0, []
-    words = f" {raw.decode('utf-8', 'surrogatepass')} "
     places = [(m.start(), label) for phrase, label in BASE for m in re.finditer(f"(?= {phrase} )", words)]
     kept = detect(words, present)
     if not places and not kept:
