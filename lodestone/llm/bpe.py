@@ -246,11 +246,13 @@ class Coder:
             return []
         lines = pc.replace_substring(pa.array(["\n" + t for t in texts], pa.large_string()), "\n", " \n")
         parts = pc.split_pattern(pc.utf8_slice_codeunits(lines, 1), " ")
+        del lines
         coded = parts.values.dictionary_encode() if isinstance(parts, pa.LargeListArray) else parts.flatten().dictionary_encode()
         ends = parts.offsets.to_numpy(zero_copy_only=False)
         ends = ends - ends[0]
-        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        del parts
+        words = coded.dictionary.to_pylist()
+        index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
         held = pc.match_substring_regex(coded.dictionary, HELD).to_numpy(zero_copy_only=False).astype(bool)
         joined = held[index]
         first = np.zeros(len(index), dtype=bool)
@@ -272,13 +274,18 @@ class Coder:
             packed[i] = ids
         packed.append(b"")
         packed += self._lookup_runs(list(runs))
-        sizes = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // 4
-        place = np.cumsum(sizes) - sizes
+        sizes = np.fromiter(map(len, packed), dtype=np.int32, count=len(packed)) // 4
+        place = np.cumsum(sizes, dtype=np.int32) - sizes
         pool = np.frombuffer(b"".join(packed), dtype="<u4")
+        del packed, words, coded
         count = sizes[use]
-        upto = np.concatenate([[0], np.cumsum(count)])
-        ids = pool[np.repeat(place[use] - upto[:-1], count) + np.arange(upto[-1])]
+        upto = np.zeros(len(use) + 1, dtype=np.int32)  # a chunk has far fewer ids than 2**31
+        np.cumsum(count, out=upto[1:])
+        from_ = np.repeat(place[use] - upto[:-1], count)
         at = upto[ends]
+        del use, upto, count
+        from_ += np.arange(len(from_), dtype=np.int32)
+        ids = pool[from_]
         return [ids[a + 1 : b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())]  # less the line break put before each text
 
     def decode(self, ids) -> bytes:

@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.bpe import CACHE_PARTS, coder
-from lodestone.llm.tokens import CHUNK_CHARS, ROWS, chunks
+from lodestone.llm.bpe import coder
+from lodestone.llm.tokens import ROWS, chunks
 from lodestone.plans.session import table
 from lodestone.plans.shared import text_batches
 
@@ -27,7 +27,8 @@ GROUP_RESTS = 1000
 PIECE_IDS = 128
 #: Room for unequal sums in the first count of windows that is tried.
 SPREAD_IDS = 4
-#: Characters encoded at a time and parts cached by a ``lean`` worker.
+#: Characters encoded at a time and parts cached: larger chunks repeat more words, which costs less CPU and more memory.
+PACK_CHARS, PACK_PARTS = 16_000_000, 100_000
 LEAN_CHARS, LEAN_PARTS = 1_500_000, 60_000
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
@@ -105,10 +106,10 @@ def pack(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 0, piec
         from pyspark import TaskContext
 
         c, row = coder(path), TaskContext.get().partitionId() * 7919
-        c.most = LEAN_PARTS if lean else CACHE_PARTS
+        c.most = LEAN_PARTS if lean else PACK_PARTS
         wide = "<u2" if len(c.bytes_of) <= 1 << 16 else "<u4"
         for b in batches:
-            for keys, texts in chunks(b.column(0).to_pylist(), b.column(1).to_pylist(), LEAN_CHARS if lean else CHUNK_CHARS):
+            for keys, texts in chunks(b.column(0).to_pylist(), b.column(1).to_pylist(), LEAN_CHARS if lean else PACK_CHARS):
                 out: list[list] = [[] for _ in range(7)]
                 for doc, ids in zip(keys, c.encode(texts)):
                     row += 1
