@@ -20,12 +20,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.bpe import trim
 from lodestone.plans.numbering import numbered
 from lodestone.plans.session import table
 from lodestone.plans.shared import materialise, text_batches
 
 #: UTF-8 bytes of texts that are counted together in a task, and counts held before they are passed on.
-FLUSH_BYTES, HELD = 8_000_000, 3_000_000
+FLUSH_BYTES, HELD = 3_000_000, 3_000_000
 HASH_BITS = 48
 #: Bits of the filter: at least 16 for each frequent hash, within these powers of two (64 MB at most).
 LEAST_BITS, MOST_BITS = 23, 29
@@ -56,8 +57,7 @@ class Words:
         starts = np.flatnonzero(first)
         self.piece = np.cumsum(kinds == 2, dtype=np.int32)[starts]
         body = data[inside]
-        places = (np.cumsum(inside, dtype=np.int64) - 1)[starts]
-        ends = np.append(places, len(body)).astype(np.int64)
+        ends = np.append((np.cumsum(inside, dtype=np.int32) - 1)[starts], np.int32(len(body))).astype(np.int64)
         array = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(body.tobytes())])
         coded = array.dictionary_encode()
         self.codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
@@ -115,28 +115,33 @@ def frequent_hashes(docs: DataFrame, most: int, least: int) -> DataFrame:
     def run(batches):
         kept: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            h, c = (np.concatenate(x) for x in zip(*kept))
-            order = np.argsort(h, kind="stable")
-            h, c = h[order], c[order]
-            first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, dtype=int)
-            return h[first], np.add.reduceat(c, first) if len(first) else c
-
-        def made(h, c):
-            for i in range(0, len(h), 500_000):
-                yield pa.RecordBatch.from_arrays([pa.array(h[i : i + 500_000].astype(np.int64)), pa.array(c[i : i + 500_000])], names=["h", "c"])
+        def summed(h: np.ndarray, c: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+            """Distinct hashes and the sums of their counts (1 each without counts)."""
+            if c is None:
+                h.sort()
+            else:
+                order = np.argsort(h)
+                h, c = h[order], c[order]
+            first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, dtype=np.int64)
+            counts = np.diff(np.append(first, len(h))) if c is None else np.add.reduceat(c, first) if len(first) else c
+            return h[first], counts.astype(np.int32)
+
+        def made(h: np.ndarray, c: np.ndarray):
+            for i in range(0, len(h), 250_000):
+                yield pa.RecordBatch.from_arrays([pa.array(h[i : i + 250_000].astype(np.int64)), pa.array(c[i : i + 250_000].astype(np.int64))], names=["h", "c"])
 
         for lang, texts in by_language(batches):
             words = Words(texts)
-            every = np.concatenate([h for _, _, h in grams(words, words.hashes(lang), most)])
-            h, c = np.unique(every, return_counts=True)
-            kept.append((h, c.astype(np.int64)))
+            kept.append(summed(np.concatenate([h for _, _, h in grams(words, words.hashes(lang), most)]), None))
+            del words
             if sum(len(x) for x, _ in kept) > HELD:
-                kept = [merged()]
-                if len(kept[0][0]) > HELD // 2:
+                kept = [summed(*(np.concatenate(x) for x in zip(*kept)))]
+                if len(kept[0][0]) > HELD * 3 // 4:
                     yield from made(*kept.pop())
         if kept:
-            yield from made(*merged())
+            yield from made(*summed(*(np.concatenate(x) for x in zip(*kept))))
+        kept.clear()
+        trim()
 
     return thin(docs).mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= least).select("h")
 
