@@ -30,6 +30,8 @@ FLUSH_BYTES, HELD = 3_000_000, 3_000_000
 HASH_BITS = 48
 #: Bits of the filter: at least 16 for each frequent hash, within these powers of two (64 MB at most).
 LEAST_BITS, MOST_BITS = 23, 29
+#: Languages whose two numbers are broadcast.
+MOST_LANGUAGES = 100_000
 # The bytes that end a piece and those that part words.
 PIECE_ENDS, GAPS = b".,;:!?\n\x0b\x0c\r", b" \t"
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -222,10 +224,11 @@ def collocations(docs: DataFrame, most: int = 3, least: int = 10, first: int = 2
     kept = found.join(covered, ["lang", "phrase"], "left_anti")
     placed = numbered(kept.withColumns({"down": -F.col("score"), "fewer": -F.col("a")}), ["lang", "down", "fewer", "phrase"], "place")
     placed = materialise(placed, "phrase-places")
-    starts = placed.groupBy("lang").agg(F.min("place").alias("start"))
-    sizes = all_counts.where("k = 0").select("lang", F.col("f").alias("n"))
-    ranked = placed.join(starts, "lang").withColumn("rank", F.col("place") - F.col("start") + 1).where(F.col("rank") <= first)
-    return ranked.join(sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+    langs = placed.groupBy("lang").agg(F.min("place").alias("start")).join(all_counts.where("k = 0").select("lang", F.col("f").alias("n")), "lang")
+    if langs.count() <= MOST_LANGUAGES:  # else languages are many and so no hot keys
+        langs = F.broadcast(langs)
+    ranked = placed.join(langs, "lang").withColumn("rank", F.col("place") - F.col("start") + 1).where(F.col("rank") <= first)
+    return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
