@@ -81,9 +81,9 @@ def utc_minute(ts) -> Column:
     return F.date_format(ts, "yyyy-MM-dd HH:mm 'UTC'")
 
 
-def report_file_name(rid, ts) -> Column:
-    """[P15]"""
-    return F.format_string("whistleblowing-report-id%d-%s.pdf", rid, F.date_format(ts, "yyyyMMdd'T'HHmmss'Z'"))
+def report_file_name(rid, ts, prefix: str = "report") -> Column:
+    """[P15] ``prefix`` names the kind of report."""
+    return F.format_string(f"{prefix.replace('%', '%%')}-id%d-%s.pdf", rid, F.date_format(ts, "yyyyMMdd'T'HHmmss'Z'"))
 
 
 def without_secrets(settings, hidden: list[str], defaults: dict[str, str]) -> Column:

@@ -1,29 +1,30 @@
-"""Evidence-gated clusters of gap inputs [G1-G4, J5-J7, J9, A6-A9, K7].
-
-Greedy average linkage is sequential, but an average over cross pairs reaches the threshold only if a pair does: merges
-never leave a connected component of the threshold graph, so components are clustered side by side with equal results.
-"""
+"""Evidence-gated clusters of gap inputs [G1-G4, J5-J7, J9, A6-A9, K7]."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions import vector
 from lodestone.functions.records import histogram
 from lodestone.functions.text import member_key
+from lodestone.operators import vector_index
 from lodestone.operators.retrieval import block_cosines, blocks_of
 from lodestone.plans.components import components
 from lodestone.plans.numbering import numbered
+from lodestone.plans.shared import materialise
 
 
-def vector_blocks(vectors: DataFrame) -> DataFrame:
-    """``vectors`` (id, vec) dealt to pairs of blocks _i <= _j; _side is 0 on the left, 1 on the right, 2 where both blocks are one."""
+def vector_blocks(vectors: DataFrame, *more: str) -> DataFrame:
+    """``vectors`` (id, vec and ``more``) dealt to pairs of blocks _i <= _j; _side is 0 on the left, 1 on the right, 2 where both blocks are one."""
     n = blocks_of(vectors)
-    own = vectors.select("id", "vec", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other"))
+    own = vectors.select("id", "vec", *more, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other"))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
-    return own.select("id", "vec", F.least("own", "other").alias("_i"), F.greatest("own", "other").alias("_j"), side.alias("_side"))
+    return own.select("id", "vec", *more, F.least("own", "other").alias("_i"), F.greatest("own", "other").alias("_j"), side.alias("_side"))
 
 
 def similar(block: pd.DataFrame, least: float):
@@ -35,8 +36,13 @@ def similar(block: pd.DataFrame, least: float):
     return block.id.to_numpy(), left, right, sims, sims >= least
 
 
-def similar_pairs(vectors: DataFrame, least: float) -> DataFrame:
-    """[J9] i < j with sim >= ``least``. ``vectors``: id, vec."""
+def dealt(vectors: DataFrame, least: float, pruned: bool) -> DataFrame:
+    """Blocks of vectors with all others, or, with ``pruned``, those of a coarse index that may hold a pair of ``least`` (above 0)."""
+    return vector_index.block_pairs(vector_index.build(vectors.select("id", "vec"), "vec", "id"), least) if pruned else vector_blocks(vectors)
+
+
+def similar_pairs(vectors: DataFrame, least: float, pruned: bool = False) -> DataFrame:
+    """[J9] i < j with sim >= ``least``. ``vectors``: id, vec. As many rows as there are such pairs."""
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
         ids, left, right, sims, near = similar(block, least)
@@ -44,10 +50,10 @@ def similar_pairs(vectors: DataFrame, least: float) -> DataFrame:
         a, b = ids[left[x]], ids[right[y]]
         return pd.DataFrame({"i": np.minimum(a, b), "j": np.maximum(a, b), "sim": sims[x, y]})
 
-    return vector_blocks(vectors).groupBy("_i", "_j").applyInPandas(run, "i bigint, j bigint, sim double")
+    return dealt(vectors, least, pruned).groupBy("_i", "_j").applyInPandas(run, "i bigint, j bigint, sim double")
 
 
-def joining_pairs(vectors: DataFrame, least: float) -> DataFrame:
+def joining_pairs(vectors: DataFrame, least: float, pruned: bool = False) -> DataFrame:
     """a, b: enough similar pairs to join what all of them join; a block gives at most one for each row."""
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
@@ -61,54 +67,76 @@ def joining_pairs(vectors: DataFrame, least: float) -> DataFrame:
             group[np.isin(group, other[new])] = group[i]
         return pd.DataFrame(found, columns=["a", "b"])
 
-    return vector_blocks(vectors).groupBy("_i", "_j").applyInPandas(run, "a bigint, b bigint")
+    return dealt(vectors, least, pruned).groupBy("_i", "_j").applyInPandas(run, "a bigint, b bigint")
 
 
-def linked_components(vectors: DataFrame, least: float) -> DataFrame:
+def linked_components(vectors: DataFrame, least: float, pruned: bool = False) -> DataFrame:
     """id and component (its smallest id) of every vector."""
-    found = components(joining_pairs(vectors, least))
+    found = components(joining_pairs(vectors, least, pruned))
     return vectors.select("id").join(found.toDF("id", "component"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def average_linkage(sims: np.ndarray, least: float) -> list[list[int]]:
-    """Greedy merges of the pair of clusters with the highest mean similarity while it is at least ``least``; the first pair wins ties.
+def nearest(clusters: DataFrame, least: float) -> DataFrame:
+    """c, other, sim: each cluster's nearest one by mean similarity of members, the smaller id on ties, where it is ``least`` or
+    more. ``clusters``: id, n, vec (the sum of its members' unit vectors, so a mean over pairs is one product). A block of
+    clusters gives a row for each of them at most."""
 
-    Sums between clusters are kept and added on a merge, so a merge costs one row.
-    """
-    n = len(sims)
-    sums, size, members = sims.astype(float).copy(), np.ones(n), [[i] for i in range(n)]
-    alive = np.ones(n, dtype=bool)
-    while alive.sum() > 1:
-        at = np.flatnonzero(alive)
-        mean = np.round(sums[np.ix_(at, at)] / np.outer(size[at], size[at]), 12)
-        mean[np.tril_indices(len(at))] = -np.inf
-        best = int(mean.argmax())
-        x, y = divmod(best, len(at))
-        if mean[x, y] < least:
-            break
-        i, j = at[x], at[y]
-        members[i] += members[j]
-        sums[i] += sums[j]
-        sums[:, i] += sums[:, j]
-        size[i] += size[j]
-        alive[j] = False
-    return [sorted(members[i]) for i in np.flatnonzero(alive)]
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("id").reset_index(drop=True)
+        ids, side, n = block.id.to_numpy(), block._side.to_numpy(), block.n.to_numpy(dtype=float)
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        v = np.array(block.vec.tolist(), dtype=float).reshape(len(block), -1)
+        sims = np.round(v[left] @ v[right].T / np.outer(n[left], n[right]), 12)
+        sims[left[:, None] == right[None, :]] = -np.inf
+        out = []
+        for own, others, s in ((left, right, sims),) if side[0] == 2 else ((left, right, sims), (right, left, sims.T)):
+            if len(own) and len(others):
+                best = s.argmax(axis=1)  # the first of equals has the smallest id
+                top = s[np.arange(len(own)), best]
+                good = top >= least
+                out.append(pd.DataFrame({"c": ids[own][good], "other": ids[others[best]][good], "sim": top[good]}))
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"c": [], "other": [], "sim": []}).astype({"c": "int64", "other": "int64"})
+
+    found = vector_blocks(clusters, "n").groupBy("_i", "_j").applyInPandas(run, "c bigint, other bigint, sim double")
+    best = found.groupBy("c").agg(F.max(F.struct("sim", (-F.col("other")).alias("other"))).alias("b"))
+    return best.select("c", (-F.col("b.other")).alias("other"), "b.sim")
 
 
 def cluster(vectors: DataFrame, least: float = 0.75) -> DataFrame:
-    """[G2] id and cluster (its smallest id) of every vector. A component's similarities are one task's work."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        v = np.array(pdf.vec.tolist(), dtype=float)
-        length = np.linalg.norm(v, axis=1, keepdims=True)
-        v = np.divide(v, length, out=np.zeros_like(v), where=length > 0)
-        out = pd.DataFrame({"id": pdf.id, "cluster": pdf.id})
-        for m in average_linkage(v @ v.T, least):
-            out.loc[m, "cluster"] = pdf.id[m[0]]
-        return out
-
-    return vectors.join(linked_components(vectors, least), "id").groupBy("component").applyInPandas(run, "id bigint, cluster bigint")
+    """[G2, M5] id and cluster (its smallest id) of every vector, by greedy average linkage: the pair of clusters with the highest
+    mean similarity is merged while that is ``least`` (above 0) or more; of equal pairs the one of smaller ids is first.
+
+    Average linkage is reducible: a merge brings no cluster nearer to a third one than the nearer of its halves was. So two
+    clusters that are each other's nearest stay so until they merge, whatever is merged elsewhere, and all such pairs merge
+    in one round with the result of merging one at a time. A cluster whose nearest is below ``least`` is done. Clusters are
+    kept as sums of unit vectors and counts; rounds are written to the shared folder. Equal vectors are one cluster from the
+    start. Null, empty and zero vectors and those with components that are not finite stay alone.
+    """
+    if least <= 0:
+        raise ValueError("least must be above 0")
+    doubles = F.transform("vec", lambda x: x.cast("double"))
+    good = F.coalesce(F.forall("vec", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))), F.lit(False)) & (vector.norm(F.col("vec")) > 0)
+    units = vectors.select("id", doubles.alias("vec")).where(good).select("id", F.transform(vector.unit(F.col("vec")), lambda x: x + 0.0).alias("vec"))
+    copies = materialise(units.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("n")), "copies")
+    active = copies.select("id", "n", F.transform("vec", lambda x: x * F.col("n")).alias("vec"))
+    merged = []
+    while True:
+        best = materialise(nearest(active, least), "nearest")
+        mutual = best.alias("a").join(best.alias("b"), F.expr("a.c = b.other and a.other = b.c and a.c < b.c")).select(F.col("a.c").alias("into"), F.col("b.c").alias("id"))
+        pairs = materialise(mutual, "merged")
+        if pairs.isEmpty():
+            break
+        merged.append(pairs)
+        left = active.join(best.select(F.col("c").alias("id")), "id", "left_semi").join(pairs, "id", "left").select(F.coalesce("into", "id").alias("id"), "n", "vec")
+        two = left.groupBy("id").agg(F.sum("n").alias("n"), F.collect_list("vec").alias("vs"))  # one or two sums
+        active = materialise(two.select("id", "n", F.when(F.size("vs") == 1, F.element_at("vs", 1)).otherwise(F.zip_with(F.element_at("vs", 1), F.try_element_at("vs", F.lit(2)), lambda x, y: x + y)).alias("vec")), "clusters")
+    own = units.join(copies.select("vec", F.col("id").alias("copy")), "vec").select("id", "copy")
+    if merged:
+        links = reduce(DataFrame.union, merged).toDF("a", "b")
+        own = own.join(components(links).toDF("copy", "component"), "copy", "left").select("id", F.coalesce("component", "copy").alias("cluster"))
+    else:
+        own = own.select("id", F.col("copy").alias("cluster"))
+    return vectors.select("id").join(own, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
 
 
 def centroids(rows: DataFrame, group: str, digits: int = 6) -> DataFrame:

@@ -26,20 +26,21 @@ def run_length(words: Column) -> Column:
 
 
 def runs_of(words: Column, n: int) -> Column:
-    """(n, hash) of every run of ``n`` words; null where there are fewer."""
-    run = lambda i: F.struct(F.lit(n).alias("n"), F.xxhash64(F.slice(words, i, n)).alias("run"))
+    """A hash, n included, of every run of ``n`` words; null where there are fewer."""
+    run = lambda i: F.xxhash64(F.lit(n), F.slice(words, i, n))
     return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), run))
 
 
 def candidates(quotes: DataFrame, sources: DataFrame) -> DataFrame:
     """qid and sid of pairs that may match. ``quotes``: qid, quote; ``sources``: sid, text. Null and empty sides never do."""
     q = quotes.select("qid", "quote", words_of(F.col("quote")).alias("words")).where(F.size("words") > 0).withColumn("n", run_length(F.col("words")))
-    keys = q.where("n > 0").select("qid", "n", F.xxhash64(F.slice("words", F.lit(2), F.col("n"))).alias("run"))
+    keys = q.where("n > 0").select("qid", "n", F.xxhash64("n", F.slice("words", F.lit(2), F.col("n"))).alias("run"))
     lengths = sorted(r.n for r in keys.select("n").distinct().collect())  # at most RUN values
-    empty = F.array().cast("array<struct<n:int,run:bigint>>")
+    empty = F.array().cast("array<bigint>")
+    # distinct over plain integers goes by hash; over structs Spark compares all with all
     every = F.array_distinct(F.concat(empty, *[F.coalesce(runs_of(F.col("words"), n), empty) for n in lengths]))
-    held = sources.select("sid", words_of(F.col("text")).alias("words")).select("sid", F.explode(every).alias("r")).select("sid", "r.n", "r.run")
-    met = held.join(keys, ["n", "run"]).select("qid", "sid")
+    held = sources.select("sid", words_of(F.col("text")).alias("words")).select("sid", F.explode(every).alias("run"))
+    met = held.join(keys, "run").select("qid", "sid")
     short = q.where("n <= 0").select("qid", F.lower(normalize("quote")).alias("quote"))
     blocks = -(-short.count() // SHORT_BLOCK)
     if blocks:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import records, text, vector
-from lodestone.operators import clustering, coverage, ingest, metrics, proposals, retrieval, rules, sessions, verbatim
+from lodestone.operators import clustering, coverage, ingest, metrics, proposals, retrieval, rules, sessions, vector_index, verbatim
 from lodestone.plans.session import table
 from lodestone.plans.shared import text_batches
 
@@ -55,6 +55,12 @@ def dense_topk(spark, sf):
     return retrieval.dense(q, c.drop("corpus"), 8)
 
 
+@query(SQL["dense_topk"])
+def pruned_topk(spark, sf):
+    q, c = _sides(spark, sf)
+    return vector_index.search(vector_index.build(c.drop("corpus")), q, 8)
+
+
 @query(f"WITH {SCORES} SELECT qid, policy, legal, {CLASS.format(TAU, TAU)} AS classification FROM s")
 def coverage_classes(spark, sf):
     return coverage.coverage(_scores(spark, sf), TAU, TAU).drop("absence_notices")
@@ -306,10 +312,10 @@ def _members(spark, sf):
     return _vectors(spark, sf).select(F.col("vec_id").alias("id"), F.col("v").alias("vec"))
 
 
-@query(f"""WITH RECURSIVE {VECTORS}, p AS (SELECT a.vec_id AS i, b.vec_id AS j FROM v a, v b WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.45),
+@query(f"""WITH RECURSIVE {VECTORS}, p AS (SELECT a.vec_id AS i, b.vec_id AS j FROM v a, v b WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.40),
 r AS (SELECT vec_id AS id, vec_id AS low FROM v UNION SELECT p.j, r.low FROM r JOIN p ON p.i = r.id) SELECT id, min(low) AS component FROM r GROUP BY id""")
 def cluster_components(spark, sf):
-    return clustering.linked_components(_members(spark, sf), 0.45)
+    return clustering.linked_components(_members(spark, sf), 0.40)
 
 
 @query()

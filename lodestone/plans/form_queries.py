@@ -60,7 +60,7 @@ def filled_fields(spark, sf):
     return forms.filled_and_unfilled(_reports(spark, sf), _catalogue(spark)).select("rid", F.array_join("filled", ",").alias("filled"), F.array_join("unfilled", ",").alias("unfilled"))
 
 
-@query("SELECT event_id, CASE WHEN user_id % 5 = 0 THEN 'Anonymous' WHEN user_id % 5 = 1 THEN 'Blank Name' ELSE event_type END AS reporter, strftime(ts, '%Y-%m-%d %H:%M UTC') AS shown, 'whistleblowing-report-id' || event_id || '-' || strftime(ts, '%Y%m%dT%H%M%SZ') || '.pdf' AS file FROM events")
+@query("SELECT event_id, CASE WHEN user_id % 5 = 0 THEN 'Anonymous' WHEN user_id % 5 = 1 THEN 'Blank Name' ELSE event_type END AS reporter, strftime(ts, '%Y-%m-%d %H:%M UTC') AS shown, 'report-id' || event_id || '-' || strftime(ts, '%Y%m%dT%H%M%SZ') || '.pdf' AS file FROM events")
 def feed_rows(spark, sf):
     e = table(spark, sf, "events")
     name = F.when(F.col("user_id") % 5 > 1, F.col("event_type"))
