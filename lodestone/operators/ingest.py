@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import format_table, likely_header, strip_glyphs, strip_section_prefix, trimmed, verbatim_span, word_count
+from lodestone.plans.shared import materialise
 
 MIN_WORDS, MAX_WORDS = 100, 350
+#: Consecutive places that one task sums, and lines of a document that are grouped in its row.
+BLOCK_ROWS, LONG_LINES = 100_000, 5000
 
 
 class Blocks(HTMLParser):
@@ -79,24 +82,93 @@ def page_blocks(pages: DataFrame) -> DataFrame:
 
 
 def groups_of_words(sizes, most: int = MAX_WORDS):
-    """[W11] a group number for each size: a new group starts where a non-empty one would exceed ``most``; the running total
-    starts again there, so this is a fold and no running sum."""
-    step = F.struct(F.lit(0).alias("g"), F.lit(0).cast("bigint").alias("w"), F.array().cast("array<int>").alias("out"))
+    """[W11] a group number for each size of an array: a new group starts where a non-empty one would exceed ``most``. The fold
+    keeps the groups' first places only, and the numbers are spread out at the end."""
+    zero = F.lit(0).cast("bigint")
+    start = F.struct(zero.alias("at"), zero.alias("w"), F.array(F.lit(0).cast("bigint")).alias("firsts"))
 
     def fold(s, n):
         n = n.cast("bigint")
         new = (s["w"] > 0) & (s["w"] + n > most)
-        g = F.when(new, s["g"] + 1).otherwise(s["g"])
-        return F.struct(g.alias("g"), F.when(new, n).otherwise(s["w"] + n).alias("w"), F.concat(s["out"], F.array(g)).alias("out"))
-
-    return F.aggregate(sizes, step, fold, lambda s: s["out"])
+        firsts = F.when(new, F.concat(s["firsts"], F.array(s["at"]))).otherwise(s["firsts"])
+        return F.struct((s["at"] + 1).alias("at"), F.when(new, n).otherwise(s["w"] + n).alias("w"), firsts.alias("firsts"))
+
+    def spread(s):
+        ends = F.concat(F.slice(s["firsts"], 2, F.size(s["firsts"])), F.array(s["at"]))
+        places = F.sequence(F.lit(1), F.size(s["firsts"]))
+        numbers = F.transform(places, lambda i: F.array_repeat(i - 1, (F.element_at(ends, i) - F.element_at(s["firsts"], i)).cast("int")))
+        return F.flatten(numbers)
+
+    return F.aggregate(sizes, start, fold, spread)
+
+
+def segmented_sums(rows: DataFrame, key: str, order: str, value: str, block: int = BLOCK_ROWS) -> DataFrame:
+    """[W8, W12] ``rows`` with ``before``: the sum of ``value`` over earlier rows of the key. Two levels: places are summed inside
+    blocks of ``block`` consecutive values of ``order`` (whole numbers, each once in its key), and block totals, a row each, between
+    blocks; so a hot key is spread over tasks."""
+    placed = rows.withColumn("_b", F.floor(F.col(order) / F.lit(block)))
+    inner = Window.partitionBy(key, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(key, F.floor(F.col(order) / F.lit(block)).alias("_b")).agg(F.sum(value).alias("_t"))
+    outer = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    firsts = totals.select(F.col(key).alias("_k"), F.col("_b").alias("_o"), F.coalesce(F.sum("_t").over(outer), F.lit(0)).alias("_f"))
+    own = placed.withColumn("_s", F.coalesce(F.sum(value).over(inner), F.lit(0)))
+    both = own.join(firsts, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_b") == F.col("_o")))
+    return both.withColumn("before", F.col("_s") + F.col("_f")).drop("_b", "_s", "_k", "_o", "_f")
+
+
+def next_starts(lines: DataFrame, key: str, most: int) -> DataFrame:
+    """key, n, next: where a group that starts at each line ends (the place after the last line for the last group). ``lines``: key, n
+    (from 0), words, before (as of ``segmented_sums``). The line that holds the first word beyond the budget is met by an
+    equi-join on buckets of ``most`` words; a line longer than the budget is a group with the empty lines before it."""
+    spans = lines.where("words > 0").select(key, F.col("n").alias("m"), F.col("before").alias("low"), (F.col("before") + F.col("words")).alias("high"))
+    held = spans.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("low") / most), F.floor((F.col("high") - 1) / most))))
+    asked = lines.select(F.col(key).alias("_k"), "n", "before", (F.col("before") + most).alias("beyond")).withColumn("_b", F.floor(F.col("beyond") / most))
+    met = asked.join(held, F.col("_k").eqNullSafe(F.col(key)) & (F.col("_b") == F.col("bucket"))).where("low <= beyond and beyond < high")
+    return met.select(key, "n", F.when(F.col("low") == F.col("before"), F.col("m") + 1).otherwise(F.col("m")).alias("next"))
+
+
+def group_starts(lines: DataFrame, key: str, most: int = MAX_WORDS) -> DataFrame:
+    """[W11] key, n of every group's first line, by pointer doubling: the lines reached so far are joined with pointers that skip twice
+    as many groups in each round, so rounds grow with the logarithm of a document's groups and no task folds a document."""
+    last = lines.groupBy(key).agg(F.max("n").alias("last"))
+    jumps = next_starts(lines, key, most).join(last, key).where("next <= last").select(key, "n", "next")
+    jumps = materialise(jumps, "jumps")
+    reached = materialise(lines.where("n = 0").select(key, "n"), "reached")
+    while not jumps.isEmpty():
+        more = reached.join(jumps, [key, "n"]).select(key, F.col("next").alias("n"))
+        reached = materialise(reached.union(more).distinct(), "reached")
+        far = jumps.select(F.col(key).alias("_k"), F.col("n").alias("_n"), F.col("next").alias("_far"))
+        jumps = materialise(jumps.join(far, (F.col(key) == F.col("_k")) & (F.col("next") == F.col("_n"))).select(key, "n", F.col("_far").alias("next")), "jumps")
+    return reached
+
+
+def long_groups(lines: DataFrame, key: str, most: int = MAX_WORDS) -> DataFrame:
+    """``lines`` (key, not null; n from 0 without gaps; words) with ``grp``, equal to ``groups_of_words`` but spread over tasks."""
+    summed = materialise(segmented_sums(lines, key, "n", "words"), "summed")
+    starts = group_starts(summed, key, most).withColumn("first", F.lit(1))
+    marked = summed.join(starts, [key, "n"], "left").withColumn("first", F.coalesce("first", F.lit(0)))
+    counted = segmented_sums(marked.drop("before"), key, "n", "first")
+    return counted.select(*lines.columns, (F.col("before") + F.col("first") - 1).alias("grp"))
+
+
+def grouped_lines(docs: DataFrame, key: str, sizes: str, most: int = MAX_WORDS, long: int = LONG_LINES) -> DataFrame:
+    """[W11, E7] key, n, words, grp for every line of ``docs`` (key, and an array of the lines' words): documents of up to ``long`` lines
+    are grouped in their row, longer ones over tasks."""
+    short = docs.where(F.size(sizes) <= long)
+    z = short.select(key, F.posexplode(F.arrays_zip(F.col(sizes).alias("words"), groups_of_words(F.col(sizes), most).alias("grp"))).alias("n", "x"))
+    inside = z.select(key, F.col("n").cast("bigint").alias("n"), F.col("x.words").cast("bigint").alias("words"), F.col("x.grp").cast("bigint").alias("grp"))
+    far = docs.where(F.size(sizes) > long)
+    if far.isEmpty():
+        return inside
+    lines = far.select(key, F.posexplode(sizes).alias("n", "words")).select(key, F.col("n").cast("bigint").alias("n"), F.col("words").cast("bigint").alias("words"))
+    return inside.unionByName(long_groups(lines, key, most).select(key, "n", "words", "grp"))
 
 
 def offsets(blocks: DataFrame, key: str, order: str, joint: int = 2) -> DataFrame:
-    """[W12] char_start and char_end of each block in the canonical text, which joins blocks by ``joint`` characters."""
-    w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.length("text") + joint).over(w), F.lit(0))
-    return blocks.withColumn("char_start", start).withColumn("char_end", start + F.length("text"))
+    """[W12] char_start and char_end of each block in the canonical text, which joins blocks by ``joint`` characters. ``order`` holds
+    whole numbers, each once in its key."""
+    summed = segmented_sums(blocks.withColumn("_size", F.length("text") + joint), key, order, "_size")
+    return summed.withColumn("char_start", F.col("before")).withColumn("char_end", F.col("before") + F.length("text")).drop("before", "_size")
 
 
 def page_texts(pages: DataFrame, tables: DataFrame, least: int = 10) -> DataFrame:

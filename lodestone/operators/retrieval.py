@@ -10,10 +10,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import tokenize
+from lodestone.operators.lexical_index import bm25
+from lodestone.plans.ranking import kind, top_per
 
 #: Rows of each side of a block of comparisons.
 BLOCK = 4096
@@ -53,16 +54,6 @@ def by_blocks(queries: DataFrame, chunks: DataFrame, run: Callable[[pd.DataFrame
     return q.groupBy("_q", "_c").cogroup(c.groupBy("_q", "_c")).applyInPandas(none, schema)
 
 
-def top_per(df: DataFrame, key: list[str], order: list, n: int, name: str = "rank") -> DataFrame:
-    """The n first rows of a key; Spark keeps n a partition before it shuffles. ``name`` counts from 0."""
-    w = Window.partitionBy(*key).orderBy(*order)
-    return df.withColumn(name, F.row_number().over(w) - 1).where(F.col(name) < n)
-
-
-def kind(df: DataFrame, column: str) -> str:
-    return df.schema[column].dataType.simpleString()
-
-
 def dense(queries: DataFrame, chunks: DataFrame, n: int, digits: int = 6) -> DataFrame:
     """[R1] qid, cid, sim, dense_rank of the n nearest chunks. ``queries``: qid, qvec; ``chunks``: cid, cvec. Exact: every
     pair is scored; a chunk with the query's own id counts too."""
@@ -98,27 +89,6 @@ def best_by_corpus(queries: DataFrame, chunks: DataFrame, digits: int = 6) -> Da
     return by_blocks(queries, chunks.select("cid", "corpus", "cvec"), best, f"qid {kind(queries, 'qid')}, corpus string, sim double")
 
 
-def bm25(queries: DataFrame, chunks: DataFrame, n: int, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
-    """[R2] qid, cid, score, lex_rank: Okapi scores above 0. ``queries``: qid, text; ``chunks``: cid, text.
-
-    Counts are of the whole corpus; only postings of words that a query has are scored. Words with a negative inverse
-    frequency get ``epsilon`` times the mean one. A query's repeated words count each time.
-    """
-    words = chunks.select("cid", tokenize(F.col("text")).alias("words"))
-    tf = words.select("cid", F.size("words").alias("dl"), F.explode("words").alias("word")).groupBy("cid", "word").agg(F.count("*").alias("tf"), F.max("dl").alias("dl"))
-    size = words.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("avgdl"))
-    df = tf.groupBy("word").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(size)).select("word", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    mean = raw.agg(F.avg("idf").alias("mean"))
-    asked = queries.select("qid", F.explode(tokenize(F.col("text"))).alias("word")).groupBy("qid", "word").agg(F.count("*").alias("times"))
-    idf = raw.crossJoin(F.broadcast(mean)).select("word", F.when(F.col("idf") < 0, epsilon * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
-    weighed = asked.join(idf, "word")
-    posted = tf.join(weighed, "word").crossJoin(F.broadcast(size.select("avgdl")))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scores = posted.groupBy("qid", "cid").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
-    return top_per(scores, ["qid"], [F.desc("score"), "cid"], n, "lex_rank")
-
-
 def fuse(dense_hits: DataFrame, lexical_hits: DataFrame, n: int, floor: float, k: int = 60) -> DataFrame:
     """[R3, J1, W3, F2, W4] reciprocal-rank fusion over the dense window; lexical hits outside it are left out. The floor
     is applied in fused order, so what is below takes no place. qid, cid, sim, fused, rank."""

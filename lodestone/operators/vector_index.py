@@ -16,7 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.retrieval import block_cosines, kind, top_per
+from lodestone.operators.retrieval import block_cosines
+from lodestone.plans.ranking import kind, top_per
 from lodestone.plans.shared import materialise
 
 #: Vectors of a cell on average, the most centroids (their number bounds what the driver holds and broadcasts), and rows of a

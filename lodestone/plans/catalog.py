@@ -199,8 +199,14 @@ UNION ALL SELECT w.doc_id, w.n, w.words, CASE WHEN f.run > 0 AND f.run + w.words
 SELECT doc_id, grp, count(*) AS lines, CAST(sum(words) AS BIGINT) AS words FROM f GROUP BY 1, 2""")
 def greedy_chunks(spark, sf):
     lines = table(spark, sf, "documents").select("doc_id", F.transform(F.split("text", "\n"), text.word_count).alias("sizes"))
-    z = lines.select("doc_id", F.explode(F.arrays_zip(F.col("sizes").alias("s"), ingest.groups_of_words(F.col("sizes")).alias("g"))).alias("x"))
-    return z.groupBy("doc_id", F.col("x.g").cast("bigint").alias("grp")).agg(F.count("*").alias("lines"), F.sum("x.s").cast("bigint").alias("words"))
+    return ingest.grouped_lines(lines, "doc_id", "sizes").groupBy("doc_id", "grp").agg(F.count("*").alias("lines"), F.sum("words").cast("bigint").alias("words"))
+
+
+@query(SQL["greedy_chunks"])
+def long_chunks(spark, sf):
+    """As greedy_chunks, with every document's lines spread over tasks."""
+    lines = _lines(spark, sf).select("doc_id", "n", text.word_count(F.col("line")).cast("bigint").alias("words"))
+    return ingest.long_groups(lines, "doc_id").groupBy("doc_id", "grp").agg(F.count("*").alias("lines"), F.sum("words").cast("bigint").alias("words"))
 
 
 def _events(spark, sf):
