@@ -14,9 +14,10 @@ def history(messages: DataFrame, system_tokens: int = 0, context: int = 8192, re
     Costs are positive, so stopping at the first overflow is a bound on the running sum.
     """
     newest = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
+    # the last rows first, of which Spark keeps no more than ``most`` a task and key before it shuffles; then their sums
+    last = messages.withColumn("back", F.row_number().over(newest)).where(F.col("back") <= most)
     spent = F.sum(estimated_tokens(F.col("text")) + 20).over(newest.rowsBetween(Window.unboundedPreceding, 0))
-    ranked = messages.withColumn("spent", spent).withColumn("back", F.row_number().over(newest))
-    return ranked.where((F.col("spent") <= context - system_tokens - reserved - 100) & (F.col("back") <= most))
+    return last.withColumn("spent", spent).where(F.col("spent") <= context - system_tokens - reserved - 100)
 
 
 def digest(messages: DataFrame, last: int = 4, chars: int = 80, most: int = 200) -> DataFrame:
