@@ -4,9 +4,9 @@ Besides the three base patterns, source and configuration syntax is read into pa
 ``name: v``, ``name := v``, ``name => v``, ``name: Type = v``, ``"name": v``, ``table["name"] = v``, ``--name=v``,
 ``#define name v`` and ``<name>v</name>``. A value is a literal, a name bound earlier in the text, or several of these
 joined (``+``, ``..``, ``||``, neighbouring strings, over line ends too); a list gives its name to each item; strings may
-hold names (``${name}``, ``{name}``). Bound names stand for what they were bound to: a value keeps its length, its counts
-of bytes and links to its parts, never a copy of them, so the work is linear in the text however names are doubled. A
-literal is scored by its target name, or the name of the section around it, and by how random the whole value looks.
+hold names (``${name}``, ``{name}``). Bound names stand for what they were bound to: a value keeps its length and links to its
+parts, never a copy of them, and lengths and counts are numbers of a fixed size, so time and memory are linear in the text
+however names are doubled. A literal is scored by its target name, or the name of the section around it, and by how random the whole value looks.
 """
 
 from __future__ import annotations
@@ -43,36 +43,72 @@ THRESHOLD = 0.6
 #: Weight of a sensitive section's name for the names inside it.
 INSIDE = 0.9
 HEAD = 64
+#: Sizes up to which bytes are counted in whole numbers, and the largest size that is told apart.
+EXACT, LARGEST = 2**53, 1e250
 HEX_BYTES = bytes(104 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 #: What names hold besides letters; a text without these still has every stem that a name in it has.
 JOINTS = dict.fromkeys(map(ord, "_.-0123456789"))
 
 
 class Value:
-    """A bound value: its first characters, last one, length and counts of bytes, own spans, and the values it is made of."""
+    """A bound value: its first characters, last one, length, size in bytes, own spans, and the values it is made of. Counts of bytes
+    are made when a sensitive name asks for them, once for each value; they are whole numbers up to EXACT bytes, and floats beyond,
+    which never outgrow a fixed size."""
 
-    __slots__ = ("head", "last", "length", "counts", "spans", "parts")
+    __slots__ = ("head", "last", "length", "size", "said", "made", "spans", "parts")
 
-    def __init__(self, head: str, last: str, length: int, counts: Counter, spans: list, parts: list):
-        self.head, self.last, self.length, self.counts, self.spans, self.parts = head, last, length, counts, spans, parts
+    def __init__(self, head: str, last: str, length: float, size: float, said: bytes | None, spans: tuple, parts: tuple):
+        self.head, self.last, self.length, self.size, self.said, self.spans, self.parts = head, last, length, size, said, spans, parts
+        self.made: dict[int, float] | None = None
 
     @classmethod
     def literal(cls, text: str, span: tuple[int, int]) -> Value:
-        return cls(text[:HEAD], text[-1:], len(text), Counter(text.encode("utf-8", "surrogatepass")), [span], [])
+        said = text.encode("utf-8", "surrogatepass")
+        return cls(text[:HEAD], text[-1:], len(text), len(said), said, (span,), ())
 
     @classmethod
     def joined(cls, parts: list[Value]) -> Value:
         if len(parts) == 1:
             return parts[0]
-        head = ""
-        for p in parts:
-            head = (head + p.head)[:HEAD]
-            if p.length > HEAD:
+        head = parts[0].head
+        for p in parts[1:]:
+            if len(head) >= HEAD:
                 break
-        counts: Counter = Counter()
-        for p in parts:
-            counts.update(p.counts)
-        return cls(head, next((p.last for p in reversed(parts) if p.last), ""), sum(p.length for p in parts), counts, [], parts)
+            head = (head + p.head)[:HEAD]
+        length, size = (min(sum(getattr(p, k) for p in parts), LARGEST) for k in ("length", "size"))
+        made = cls(head, next((p.last for p in reversed(parts) if p.last), ""), length, size, None, (), tuple(parts))
+        if len(set(map(id, parts))) == 1 and length > EXACT:
+            # a long value joined with itself has the shares and the spans that it had
+            made.made, made.parts = parts[0].counts, (parts[0],) if parts[0].spans or len(parts[0].parts) != 1 else parts[0].parts
+        return made
+
+    @property
+    def counts(self) -> dict[int, float]:
+        stack = [self]
+        while stack:
+            v = stack[-1]
+            if v.made is None and v.said is not None:
+                v.made = dict(Counter(v.said))
+            elif v.made is None and (missing := [p for p in v.parts if p.made is None]):
+                stack += missing
+                continue
+            elif v.made is None:
+                v.made = v._summed()
+            stack.pop()
+        return self.made
+
+    def _summed(self) -> dict[int, float]:
+        out: dict[int, float] = {}
+        for p in self.parts:
+            n = sum(p.made.values())
+            # beyond EXACT bytes counts are kept as shares of the size
+            times = p.size / n if n and self.size > EXACT else 1
+            for b, c in p.made.items():
+                out[b] = out.get(b, 0) + c * times
+        if self.size > EXACT:
+            n = sum(out.values())
+            out = {b: c / n for b, c in out.items()}
+        return out
 
     def placeholder(self) -> bool:
         if self.length <= HEAD:
@@ -159,7 +195,7 @@ def lexed(text: str) -> list[tuple[int, int]]:
             values = [] if value is None else [value]
         if values:
             bound[name] = Value.joined(values)
-            reached += [v for v in values if weight * v.randomness() >= THRESHOLD]
+            reached += [v for v in values if weight and weight * v.randomness() >= THRESHOLD]
         elif weight and not m["tag"]:
             sections.append((indent, sensitivity(name) or weight))
     out: set[tuple[int, int]] = set()
