@@ -20,16 +20,16 @@ FIRST_DEPTH = 8
 
 
 def quantise(vectors: DataFrame, scale: int = 256) -> DataFrame:
-    """vec_id and vec (array of floor(scale * x)). Null ids, null vectors and vectors with null or non-finite components
-    take no part; of rows with one id, the largest vector stays, so repeated rows count once."""
+    """vec_id and vec (array of floor(scale * x)) of every row. Null ids, null vectors and vectors with null or non-finite components
+    take no part; rows that share an id each do."""
     x = F.transform("embedding", lambda v: v.cast("double"))
     good = F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.forall(x, lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))), F.lit(False)))
     vec = F.transform(x, lambda v: F.floor(v * F.lit(float(scale))).cast("double"))
-    return vectors.where(good).select(F.col("vec_id").cast("bigint").alias("vec_id"), vec.alias("vec")).groupBy("vec_id").agg(F.max("vec").alias("vec"))
+    return vectors.where(good).select(F.col("vec_id").cast("bigint").alias("vec_id"), vec.alias("vec"))
 
 
 def search_block(ids: np.ndarray, block: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """(query_id, vec_id, score) of each query's k best rows of the block other than its own."""
+    """(place of the query, vec_id, score) of each query's k best rows of the block whose id is not its own."""
     order = np.lexsort((ids,))
     ids, block = ids[order], block[order]  # places now rank ids, for ties
     n, dims = block.shape
@@ -38,11 +38,9 @@ def search_block(ids: np.ndarray, block: np.ndarray, query_ids: np.ndarray, quer
     lists = np.argsort(block, axis=0, kind="stable") if small else np.argsort(block.astype(float), axis=0, kind="stable")
     column = np.arange(dims)
     found: list[tuple[int, int, int]] = []
-    for qid, q in zip(query_ids.tolist(), queries):
-        own = np.searchsorted(ids, qid)
+    for place, (qid, q) in enumerate(zip(query_ids.tolist(), queries)):
         seen = np.zeros(n, dtype=bool)
-        if own < n and ids[own] == qid:
-            seen[own] = True
+        seen[np.searchsorted(ids, qid) : np.searchsorted(ids, qid, side="right")] = True
         up = (q > 0).astype(bool)
         best = np.empty(0, dtype=np.int64)
         scores = np.empty(0, dtype=block.dtype)
@@ -66,32 +64,35 @@ def search_block(ids: np.ndarray, block: np.ndarray, query_ids: np.ndarray, quer
             best, scores = np.concatenate([best, new]), np.concatenate([scores, block[new] @ q])
             top = np.lexsort((best, -scores if small else [-s for s in scores]))[:k]
             best, scores = best[top], scores[top]
-        found += [(qid, int(ids[b]), int(s)) for b, s in zip(best, scores)]
+        found += [(place, int(ids[b]), int(s)) for b, s in zip(best, scores)]
     return found
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k best rows of ``vectors`` (vec_id, vec), ties to the smaller id.
 
-    A query meets rows of its own length. Fewer than k candidates give fewer rows, none give none.
+    A query meets rows of its own length whose id is not its own. Rows of ``queries`` that share an id ask each for itself, and give
+    rows of ranks from 1 each. Fewer than k candidates give fewer rows, none give none.
     """
+    queries = queries.withColumn("asked", F.monotonically_increasing_id())
     candidate_blocks = max(1, -(-vectors.count() // BLOCK_ROWS))
     query_blocks = max(1, -(-queries.count() // QUERY_ROWS))
     deal = lambda blocks: F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = vectors.select(F.size("vec").alias("dims"), deal(candidate_blocks).alias("c"), every(query_blocks).alias("q"), "vec_id", "vec")
-    right = queries.select(F.size("vec").alias("dims"), every(candidate_blocks).alias("c"), deal(query_blocks).alias("q"), "vec_id", "vec")
+    right = queries.select(F.size("vec").alias("dims"), every(candidate_blocks).alias("c"), deal(query_blocks).alias("q"), "asked", "vec_id", "vec")
 
     def search(block: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(block) and len(asked):
             stack = lambda x: np.stack(x.vec.to_list()).astype(float).reshape(len(x), -1)
-            rows = search_block(block.vec_id.to_numpy(), stack(block), asked.vec_id.to_numpy(), stack(asked), k)
-        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
+            found = search_block(block.vec_id.to_numpy(), stack(block), asked.vec_id.to_numpy(), stack(asked), k)
+            rows = [(asked.asked.iloc[p], asked.vec_id.iloc[p], v, s) for p, v, s in found]
+        return pd.DataFrame(rows, columns=["asked", "query_id", "vec_id", "score"]).astype("int64")
 
     keys = ["dims", "c", "q"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "query_id bigint, vec_id bigint, score bigint")
-    by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, "asked bigint, query_id bigint, vec_id bigint, score bigint")
+    by_score = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by_score)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -101,9 +102,10 @@ def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = """
-WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(c.v) + 1), lambda i: c.v[i] * q.v[i])) AS BIGINT) AS score
-      FROM e q JOIN e c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id),
-r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+WITH e AS (SELECT row_number() OVER () AS asked, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+      WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(CAST(x AS DOUBLE)))) = len(embedding)),
+s AS (SELECT q.asked, q.vec_id AS query_id, c.vec_id, CAST(coalesce(list_sum(list_transform(range(1, len(c.v) + 1), lambda i: c.v[i] * q.v[i])), 0) AS BIGINT) AS score
+      FROM e q JOIN e c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.v) = len(q.v)),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY asked ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -102,12 +103,16 @@ def test_top_k_brute_force_with_ties_and_odd_rows(spark):
     rows += [(400, None, 0), (401, [1.0, None, 0.0, 0.0], 0), (402, [float("nan")] * 4, 0), (403, [float("inf")] * 4, 0), (None, [1.0] * 4, 0), (50, rows[50][1], 0), (450, [0.0] * 4, 0), (500, [1.0, 2.0], 0)]
     v = topk.quantise(spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int"))
     got = defaultdict(list)
-    for r in topk.top_k(v, v.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.vec_id, r.score))
-    good = {i: [int(np.floor(256 * x)) for x in e] for i, e, _ in rows[:300]} | {450: [0] * 4}
-    for q in [*range(0, 300, 50), 450]:
-        want = sorted(((-sum(a * b for a, b in zip(good[q], e)), i) for i, e in good.items() if i != q))[:5]
-        assert got[q] == [(i, -s) for s, i in want]
+    for r in topk.top_k(v, v.where("vec_id % 50 = 0")).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    good = [(i, [int(np.floor(256 * x)) for x in e]) for i, e, _ in rows if i is not None and e and len(e) == 4 and all(x is not None and np.isfinite(x) for x in e)]
+    want = defaultdict(list)
+    for q, e in good:  # every row of an id asks, and every row of another id answers
+        if q % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(e, f)), i) for i, f in good if i != q)[:5]
+            want[q] += [(rank, i, -s) for rank, (s, i) in enumerate(best, 1)]
+    assert len(want[50]) == len(want[100]) * 2 == 10
+    assert {q: sorted(x) for q, x in got.items()} == {q: sorted(x) for q, x in want.items()}
     assert 500 not in got
     assert topk.top_k(v.limit(0), v.limit(0)).count() == 0
 
@@ -117,12 +122,25 @@ def test_threshold_stops_early_and_stays_exact():
     block = rng.integers(-100, 100, (500, 6)).astype(float)
     block[:, 0] *= 20
     ids = rng.permutation(1000)[:500]
+    ids[7] = ids[3]
     for q in rng.integers(-100, 100, (10, 6)).astype(float):
         got = topk.search_block(ids, block, np.array([ids[0]]), q[None], 5)
         want = sorted((-int(s), int(i)) for s, i in zip(block @ q, ids) if i != ids[0])[:5]
         assert [(-s, i) for _, i, s in got] == want
 
 
+def test_rows_that_share_an_id_all_answer(spark):
+    rows = [(7, [1.0, 0.0]), (7, [0.5, 0.0]), (9, [0.7, 0.1]), (0, [1.0, 1.0]), (0, [1.0, 1.0])]
+    v = topk.quantise(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"))
+    got = sorted((r.rank, r.vec_id, r.score) for r in topk.top_k(v, v.where("vec_id % 50 = 0")).collect())
+    assert got == sorted(2 * [(1, 7, 65536), (2, 9, 256 * (179 + 25)), (3, 7, 32768)])
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE embeddings AS SELECT * FROM (VALUES " + ", ".join(f"({i}, {e}::DOUBLE[])" for i, e in [*rows, (8, "[1.0, NULL]"), (50, "NULL"), (3, "['nan'::DOUBLE, 1.0]")]) + ") t(vec_id, embedding)")
+    assert sorted((r, i, s) for _, r, i, s in con.execute(topk.SQL).fetchall()) == got
+
+
 # 3 licenses
 def test_license_base_columns_by_brute_force(spark, sf, odd):
     extra = ["MIT License", "the mit-license and MIT license, mit\tlicense", "Licensed under the Apache License, Version 2.0.", "under the GNU General Public License, version 3.", "mit mit license é mit license", "SPDX-License-Identifier: BSD-3-Clause"]
@@ -471,11 +489,14 @@ def test_lexing_of_source_and_configuration_forms():
 
 
 def test_bound_names_double_and_join_in_linear_time():
-    lines = ['key0 = "aK9$kd03"'] + ["key0 = key0 + key0"] * 2000 + ["secret = key0"]
+    lines = ['key0 = "aK9$kd03"'] + ["key0 = key0 + key0"] * 200_000 + ["secret = key0"]
     text = "\n".join(lines)
     assert [text[a:b] for a, b in secrets.lexed(text)] == ["aK9$kd03"]
     text = 'k = "aK9$"\n' + "\n".join(f'k = k + "q{i}"' for i in range(3000)) + "\nsecret = k"
     assert len(secrets.lexed(text)) == 3001
+    text = "token = 'aK9$kd03'\nsecret = 'Q9'\n" + "token = token + secret\nsecret = secret + token\n" * 20_000
+    began = time.time()
+    assert len(secrets.lexed(text)) == 2 and time.time() - began < 30
     long_name = "x" * 500 + "_secret"
     assert len(secrets.lexed(f'{long_name} = "aK9$kd03"')) == 1
 
