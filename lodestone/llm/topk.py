@@ -80,14 +80,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     deal = lambda blocks: F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
     every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = vectors.select(F.size("vec").alias("dims"), deal(candidate_blocks).alias("c"), every(query_blocks).alias("q"), "vec_id", "vec")
-    right = queries.select(F.size("vec").alias("dims"), every(candidate_blocks).alias("c"), deal(query_blocks).alias("q"), "asked", "vec_id", "vec")
+    right = queries.select(F.size("vec").alias("dims"), every(candidate_blocks).alias("c"), deal(query_blocks).alias("q"), "asked", F.col("vec_id").alias("query_id"), F.col("vec").alias("query"))
 
     def search(block: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(block) and len(asked):
-            stack = lambda x: np.stack(x.vec.to_list()).astype(float).reshape(len(x), -1)
-            found = search_block(block.vec_id.to_numpy(), stack(block), asked.vec_id.to_numpy(), stack(asked), k)
-            rows = [(asked.asked.iloc[p], asked.vec_id.iloc[p], v, s) for p, v, s in found]
+            stack = lambda x: np.stack(x.to_list()).astype(float).reshape(len(x), -1)
+            found = search_block(block.vec_id.to_numpy(), stack(block.vec), asked.query_id.to_numpy(), stack(asked["query"]), k)
+            rows = [(asked.asked.iloc[p], asked.query_id.iloc[p], v, s) for p, v, s in found]
         return pd.DataFrame(rows, columns=["asked", "query_id", "vec_id", "score"]).astype("int64")
 
     keys = ["dims", "c", "q"]
