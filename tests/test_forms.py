@@ -68,9 +68,10 @@ def test_store_that_may_be_lost(spark, tmp_path):
     assert s.read_or_empty()[0].count() == 0 and s.read_or_empty()[1] == 1
     s.create(spark.createDataFrame([("a",), ("b",)], "v string"), ["v"])
     assert s.read_or_empty()[0].count() == 2 and s.read_or_empty()[1] == 3
-    (tmp_path / "s" / "current").rename(tmp_path / "s" / "old")
-    (tmp_path / "s" / "current").mkdir()
-    (tmp_path / "s" / "current" / "x.json").write_text("{broken")
+    for p in (tmp_path / "s").glob("pointer-*"):
+        p.write_text("{broken")
+    for p in (tmp_path / "s").glob(".pointer-*.crc"):
+        p.unlink()
     assert s.read_or_empty()[0].count() == 0 and s.read_or_empty()[1] == 1
     with pytest.raises(Exception):
         s.read().count()

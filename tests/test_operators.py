@@ -213,6 +213,32 @@ def test_store(spark, tmp_path):
     assert s.read().count() == 0 and s.next_id == 5
 
 
+def test_a_store_outlives_lost_writers(spark, tmp_path):
+    path = tmp_path / "s"
+    s = store.Store(spark, str(path), "id bigint, name string")
+    # a writer that is lost after its table and before the first pointer leaves a new store
+    (path / "vlost").mkdir(parents=True)
+    assert s.read().count() == 0 and s.next_id == 1
+    s.create(spark.createDataFrame([("a",), ("b",)], "name string"), ["name"])
+    # one that is lost while it writes a pointer leaves the table before
+    (path / "pointer-2").write_text('{"vers')
+    assert {tuple(r) for r in s.read().collect()} == {(1, "a"), (2, "b")} and s.next_id == 3
+    base = s.number
+    s.create(spark.createDataFrame([("c",)], "name string"), ["name"])
+    assert {tuple(r) for r in s.read().collect()} == {(1, "a"), (2, "b"), (3, "c")} and s.number == 3
+    # a writer that began before another one ended is refused
+    with pytest.raises(ValueError, match="another writer"):
+        s.replace(s.read().where("id = 1"), base=base)
+    assert s.read().count() == 3
+    # tables without their pointers are an error, not an empty store
+    for p in [*path.glob("pointer-*"), *path.glob(".pointer-*")]:
+        p.unlink()
+    with pytest.raises(ValueError, match="corrupt"):
+        s.read()
+    with pytest.raises(ValueError, match="corrupt"):
+        s.create(spark.createDataFrame([("d",)], "name string"), ["name"])
+
+
 def test_json_import(spark, tmp_path):
     items = "struct<id:bigint,name:string>"
     for text, ids, n in (('[{"id": 7, "name": "x"}]', [7], 8), ('{"next_id": 12, "items": [{"id": 7}]}', [7], 12), ("", [], 1)):
