@@ -73,6 +73,14 @@ def multisets(text: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return text[at], h[at], np.diff(np.append(at, len(h)))
 
 
+def elements(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Text and element of every shingle occurrence, in order of text: the k-th occurrence of a shingle is one element in
+    all texts, so overlaps of multisets are counts of equal elements."""
+    text, h, weight = multisets(*shingles(texts))
+    turn = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
+    return np.repeat(text, weight), np.repeat(h, weight) + turn.astype(np.uint64) * np.uint64(P)
+
+
 def signatures(n: int, text: np.ndarray, h: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """(n, PLACES) times of the earliest points; infinite for a text without shingles."""
     low = np.zeros(len(h), dtype=np.float64)

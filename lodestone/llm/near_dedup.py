@@ -9,8 +9,10 @@
 3. Where a bucket still holds several components, its members are compared in blocks. First signatures alone tell which
    members have a likely partner in another component; only these bring their texts. Then every likely pair of two
    components is checked on whole texts, within the block's task, in the first band the pair shares; what leaves the task
-   are links that join components there, so at most one for each member. Buckets of very many members are first parted
-   by the second band that a pair shares.
+   are links that join components there, so at most one for each member. Members of very large buckets are
+   joined exactly instead, by prefixes: a pair at the threshold shares an element among the first of each text, in an
+   order that puts rare elements first, at places that leave room for the overlap. Passages of a crowd are common and
+   come last, so they bring no pairs together.
 4. Components of the links are the groups.
 """
 
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from lodestone.llm.bagminhash import BANDS, PLACES, ROWS, describe, multisets, shingles, similarities
+from lodestone.llm.bagminhash import BANDS, PLACES, ROWS, describe, elements, similarities
 from lodestone.llm.tokens import chunks
 from lodestone.plans.components import components
 from lodestone.plans.session import table
@@ -34,8 +36,12 @@ THRESHOLD = 0.8
 FIRST_PASS = 0.62
 #: Members of a bucket, and shingles of their texts, that one side of a comparison holds.
 BLOCK, BLOCK_SHINGLES = 512, 2_000_000
-#: Buckets of more members are parted by the second band that a pair shares.
+#: Members of buckets of more than CROWD are joined by prefixes, without signatures.
 CROWD = 8192
+#: Cells that count elements of crowds, for an order by rarity; any counts give the same links, good ones fewer comparisons.
+CELL_BITS = 18
+#: Of two texts at THRESHOLD, the overlap's least share of both sizes together.
+SHARE = THRESHOLD / (1 + THRESHOLD)
 CHUNK_CHARS = 1_500_000
 
 
@@ -148,21 +154,10 @@ def star_pairs(members: DataFrame) -> DataFrame:
     return met.select(F.least("digest", "leader").alias("a"), F.greatest("digest", "leader").alias("b")).distinct()
 
 
-def met_here(key: bytes, same: np.ndarray) -> np.ndarray:
-    """Whether pairs with these equal places are compared in this bucket: ``key`` names the first band they share, or the first two."""
-    shared = same.reshape(-1, BANDS, ROWS).all(axis=2)
-    first = shared.argmax(axis=1)
-    fine = shared[np.arange(len(first)), first] & (first == key[0])
-    if len(key) > ROWS + 1:
-        shared[np.arange(len(first)), first] = False
-        second = shared.argmax(axis=1)
-        fine &= shared[np.arange(len(second)), second] & (second == key[ROWS + 1])
-    return fine
-
-
 def partners(block: pd.DataFrame):
-    """For each left row of one bucket's block: the row's place and those of its likely right partners in other components."""
-    key, sig = bytes(block.key.iloc[0]), stacked(block.sig)
+    """For each left row of one bucket's block: the row's place and those of its likely right partners in other components,
+    where the bucket is the first band that they share."""
+    band_here, sig = bytes(block["key"].iloc[0])[0], stacked(block.sig)
     comp, size, side = pd.factorize(block.component)[0], block["size"].to_numpy(), block.side.to_numpy()
     left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
     for i in left.tolist():
@@ -171,64 +166,172 @@ def partners(block: pd.DataFrame):
             j = j[j > i]
         same = sig[j] == sig[i]
         good = agreement(same) >= FIRST_PASS
-        j, same = j[good], same[good]
-        if len(j) and len(j := j[met_here(key, same)]):
+        j, shared = j[good], same[good].reshape(-1, BANDS, ROWS).all(axis=2)
+        j = j[shared.any(axis=1) & (shared.argmax(axis=1) == band_here)]
+        if len(j):
+            yield i, j
+
+
+def prefix_partners(block: pd.DataFrame):
+    """For each left row of one element's block: the row's place and those of the right rows in other components whose texts
+    are as long or longer and may overlap enough if the element is the first that they share. Rows are in order of digest."""
+    comp, size, side = pd.factorize(block.component)[0], block["size"].to_numpy(), block.side.to_numpy()
+    left, right, rest = np.flatnonzero(side != 1), np.flatnonzero(side != 0), size - block.place.to_numpy()
+    place = np.arange(len(block))
+    for i in left.tolist():
+        j = right[(comp[right] != comp[i]) & (size[i] >= THRESHOLD * size[right])]
+        j = j[(size[j] > size[i]) | (size[j] == size[i]) & (place[j] > i)]
+        j = j[np.minimum(rest[i], rest[j]) >= SHARE * (size[i] + size[j]) - 1e-9]
+        if len(j):
             yield i, j
 
 
+def by_digest(block: pd.DataFrame) -> pd.DataFrame:
+    """The rows in one order, so that a task that runs again finds the same links."""
+    return block.assign(digest=block.digest.map(bytes)).sort_values("digest", kind="stable").reset_index(drop=True)
+
+
 def with_partners(block: pd.DataFrame) -> pd.DataFrame:
-    """The rows of a block that have a likely partner in another component."""
+    """The rows of a bucket's block that have a likely partner in another component."""
     some = np.zeros(len(block), dtype=bool)
     for i, j in partners(block):
         some[i] = some[j] = True
     return block[some]
 
 
-def joining_links(block: pd.DataFrame) -> pd.DataFrame:
-    """Links (a, b) of likely pairs whose texts overlap by THRESHOLD or more; pairs that the block's links have joined are passed over."""
-    text, h, weight = multisets(*shingles(block.text.tolist()))
-    # an element for each time a shingle occurs, numbered within the block, so that an overlap is a count of equal elements
-    turn = np.arange(weight.sum()) - np.repeat(np.cumsum(weight) - weight, weight)
-    text, h = np.repeat(text, weight), np.repeat(h, weight)
-    element = np.unique(h + turn.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_inverse=True)[1]
-    ends = np.searchsorted(text, np.arange(len(block) + 1))
-    size = np.diff(ends)
-    owner = pd.factorize(block.component)[0]
-    found, mark = [], np.zeros(element.max(initial=0) + 1, dtype=bool)
-    for i, j in partners(block):
-        own = element[ends[i] : ends[i + 1]]
-        mark[own] = True
-        j = j[owner[j] != owner[i]]
-        while len(j):
-            now, j = j[:256], j[256:]
-            both = np.array([np.count_nonzero(mark[element[ends[k] : ends[k + 1]]]) for k in now.tolist()])
-            for k in now[both >= THRESHOLD * (size[i] + size[now] - both)].tolist():
-                if owner[k] != owner[i]:
-                    found.append((i, k))
-                    owner[owner == owner[k]] = owner[i]
+def with_prefix_partners(dealt: DataFrame) -> DataFrame:
+    """The rows of elements' blocks that have a partner by the conditions of ``prefix_partners``: on the left as side 0, on
+    the right as side 1. Two semi-joins within (key, i, j), so no pair is made."""
+    columns = ["digest", "component", "size", "place"]
+    part = lambda side, x: dealt.where(F.col("side") != 1 - side).select("key", "i", "j", *[F.col(c).alias(x + c) for c in columns])
+    left, right = part(0, "l_"), part(1, "r_")
+    later = F.expr("r_size > l_size OR (r_size = l_size AND r_digest > l_digest)")
+    room = F.least(F.expr("l_size - l_place"), F.expr("r_size - r_place")) >= SHARE * F.expr("l_size + r_size") - 1e-9
+    fits = F.expr("l_component <> r_component") & (F.col("l_size") >= THRESHOLD * F.col("r_size")) & later & room
+
+    def hit(a: DataFrame, b: DataFrame, x: str, side: int) -> DataFrame:
+        met = (a["key"] == b["key"]) & (a["i"] == b["i"]) & (a["j"] == b["j"])
+        found = a.join(b, met & fits, "left_semi")
+        return found.select("key", "i", "j", *[F.col(x + c).alias(c) for c in columns], F.lit(side).alias("side"))
+
+    return hit(left, right, "l_", 0).union(hit(right, left, "r_", 1))
+
+
+def joining_links(meet):
+    """Links (a, b) of a block's pairs by ``meet`` whose texts overlap by THRESHOLD or more; pairs that the block's links have joined are passed over."""
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        block = by_digest(block)
+        text, element = elements(block.text.tolist())
+        element = np.unique(element, return_inverse=True)[1]
+        ends = np.searchsorted(text, np.arange(len(block) + 1))
+        size = np.diff(ends)
+        owner = pd.factorize(block.component)[0]
+        found, mark = [], np.zeros(element.max(initial=0) + 1, dtype=bool)
+        for i, j in meet(block):
+            own = element[ends[i] : ends[i + 1]]
+            mark[own] = True
             j = j[owner[j] != owner[i]]
-        mark[own] = False
-    digest = block.digest.to_numpy()
-    return pd.DataFrame([sorted((bytes(digest[i]), bytes(digest[k]))) for i, k in found], columns=["a", "b"])
+            while len(j):
+                now, j = j[:256], j[256:]
+                both = np.array([np.count_nonzero(mark[element[ends[k] : ends[k + 1]]]) for k in now.tolist()])
+                for k in now[both >= THRESHOLD * (size[i] + size[now] - both)].tolist():
+                    if owner[k] != owner[i]:
+                        found.append((i, k))
+                        owner[owner == owner[k]] = owner[i]
+                j = j[owner[j] != owner[i]]
+            mark[own] = False
+        digest = block.digest.tolist()
+        return pd.DataFrame([sorted((digest[i], digest[k])) for i, k in found], columns=["a", "b"])
+
+    return run
+
+
+def links_of(some: DataFrame, texts: DataFrame, meet) -> DataFrame:
+    """Links (a, b) within the blocks (key, i, j) of the rows that have a partner, which alone bring their texts."""
+    return materialise(some, "partners").join(texts, "digest").groupBy("key", "i", "j").applyInPandas(joining_links(meet), "a binary, b binary")
+
+
+def blocks_of(n: F.Column) -> F.Column:
+    return F.ceil(F.greatest(n / BLOCK, F.col("all") / BLOCK_SHINGLES)).cast("int")
+
+
+def several(rows: DataFrame, *more: F.Column) -> DataFrame:
+    """The rows of keys that hold more than one component, with the key's number of rows and of their shingles."""
+    held = rows.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("all"), F.min("component").alias("x"), F.max("component").alias("y"), *more)
+    return materialise(rows.join(held.where("x <> y").drop("x", "y"), "key"), "several")
+
+
+def rarity(texts: DataFrame) -> np.ndarray:
+    """How many elements of ``texts`` fall to each of 2**CELL_BITS cells, an array of fixed size."""
+
+    def run(batches):
+        n = np.zeros(1 << CELL_BITS, dtype=np.int64)
+        for b in batches:
+            for _, some in chunks(list(range(b.num_rows)), b.column(0).to_pylist(), CHUNK_CHARS):
+                n += np.bincount((elements(some)[1] >> np.uint64(64 - CELL_BITS)).astype(np.int64), minlength=len(n))
+        cells = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int64()), pa.array(n[cells], pa.int64())], names=["cell", "n"])
+
+    found = texts.select("text").mapInArrow(run, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    n = np.zeros(1 << CELL_BITS, dtype=np.int64)
+    n[found.cell.to_numpy(dtype=np.int64)] = found.n.to_numpy(dtype=np.int64)
+    return n
+
+
+def prefixes(texts: DataFrame) -> DataFrame:
+    """digest, component, size, key (an element) and place of the elements of each text's prefix, rare ones first."""
+    counts = texts.sparkSession.sparkContext.broadcast(rarity(texts))
+
+    def run(batches):
+        n = counts.value
+        for b in batches:
+            for rows, some in chunks(list(range(b.num_rows)), b.column(2).to_pylist(), CHUNK_CHARS):
+                text, element = elements(some)
+                order = np.lexsort((element, n[(element >> np.uint64(64 - CELL_BITS)).astype(np.int64)], text))
+                text, element = text[order], element[order]
+                size = np.bincount(text, minlength=len(some))
+                place = np.arange(len(text)) - (np.cumsum(size) - size)[text]
+                # an overlap of THRESHOLD of the text's size has an element among these
+                first = size[text] - place >= THRESHOLD * size[text] - 1e-9
+                text, element, place = text[first], element[first], place[first]
+                held = b.slice(rows[0], len(rows)).take(pa.array(text, pa.int64()))
+                yield pa.RecordBatch.from_arrays([held.column(0), held.column(1), pa.array(size[text], pa.int64()), pa.array(element.view(np.int64), pa.int64()), pa.array(place, pa.int64())], names=["digest", "component", "size", "key", "place"])
+
+    return texts.select("digest", "component", "text").mapInArrow(run, "digest binary, component binary, size bigint, key bigint, place bigint")
+
+
+def crowd_blocks(crowd: DataFrame) -> DataFrame:
+    """The blocks in which texts (digest, component, text) meet by shared elements of their prefixes.
+
+    The shorter text of a pair holds its first shared element within a prefix of about half the length ("early"), so early
+    rows stand on the left, all on the right, and elements that are early nowhere bring nothing together.
+    """
+    early = F.col("size") - F.col("place") >= 2 * SHARE * F.col("size") - 1e-9
+    rows = several(prefixes(crowd).withColumn("early", early), F.count_if("early").alias("n_early")).where("n_early > 0")
+    spread = lambda n: F.pmod(F.xxhash64("digest"), F.col(n)).cast("int")
+    rows = rows.withColumn("blocks_i", blocks_of(F.col("n_early"))).withColumn("blocks_j", blocks_of(F.col("n")))
+    rows = rows.withColumn("own_i", spread("blocks_i")).withColumn("own_j", spread("blocks_j"))
+    right = F.expr("transform(sequence(0, blocks_i - 1), x -> struct(x AS i, own_j AS j, if(early AND x = own_i, 2, 1) AS side))")
+    left = F.expr("transform(filter(sequence(0, blocks_j - 1), x -> early AND x <> own_j), x -> struct(own_i AS i, x AS j, 0 AS side))")
+    return rows.withColumn("at", F.explode(F.concat(right, left))).select("digest", "key", "component", "size", "place", "at.i", "at.j", "at.side")
 
 
 def cross_links(members: DataFrame, reps: DataFrame, groups: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) between components that share a bucket. Buckets of more than a block are compared block by block."""
+    """Links (a, b) between components that share a bucket. Buckets of more than a block are compared block by block, members of crowds by prefixes."""
     rows = members.select("digest", "key").join(groups.toDF("digest", "component"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
-    rows = rows.join(reps.select("digest", "size", "sig"), "digest")
-    held = lambda x: x.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("all"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").drop("x", "y")
-    mixed = rows.join(held(rows), "key")
-    crowd = mixed.where(F.col("n") > CROWD).drop("n", "all")
-    others = F.filter(F.array(*[band(F.lit(i)) for i in range(BANDS)]), lambda k: k > F.col("key"))
-    parted = crowd.withColumn("key", F.explode(F.transform(others, lambda k: F.concat("key", k))))
-    own = mixed.where(F.col("n") <= CROWD).unionByName(parted.join(held(parted), "key"))
-    blocks = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("all") / BLOCK_SHINGLES)).cast("int")
-    own = own.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
+    mixed = several(rows.join(reps.select("digest", "size"), "digest"))
+    own = mixed.where(F.col("n") <= CROWD).join(reps.select("digest", "sig"), "digest").withColumn("blocks", blocks_of(F.col("n")))
+    own = own.withColumn("own", F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int"))
     # block i meets block j for i <= j; the row stands on the left, on the right, or on both sides of its own block
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
     dealt = own.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select("digest", "key", "component", "size", "sig", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), side.alias("side"))
-    some = materialise(dealt.groupBy("key", "i", "j").applyInPandas(with_partners, dealt.schema), "partners")
-    return materialise(some.join(texts, "digest").groupBy("key", "i", "j").applyInPandas(joining_links, "a binary, b binary").distinct(), "links")
+    links = links_of(dealt.groupBy("key", "i", "j").applyInPandas(with_partners, dealt.schema), texts, partners)
+    crowd = mixed.where(F.col("n") > CROWD).select("digest", "component").distinct()
+    if not crowd.isEmpty():
+        dealt = crowd_blocks(materialise(crowd.join(texts, "digest"), "crowd"))
+        links = links.union(links_of(with_prefix_partners(dealt), texts, prefix_partners))
+    return materialise(links.distinct(), "links")
 
 
 def near_groups(docs: DataFrame) -> DataFrame:

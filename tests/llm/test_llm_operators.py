@@ -322,7 +322,7 @@ def test_near_groups_reach_a_link_that_is_outranked_at_both_ends(spark, monkeypa
 
 @pytest.mark.parametrize("block, crowd", [(4, 1 << 30), (3, 6)])
 def test_near_groups_of_a_crowded_bucket(spark, monkeypatch, block, crowd):
-    """Families around one passage: buckets hold several components, in blocks and parted by second bands."""
+    """Families around one passage: buckets hold several components, in blocks and by prefixes."""
     monkeypatch.setattr(near_dedup, "BLOCK", block)
     monkeypatch.setattr(near_dedup, "CROWD", crowd)
     rng = random.Random(16)
@@ -341,6 +341,37 @@ def test_near_groups_of_a_crowded_bucket(spark, monkeypatch, block, crowd):
     assert {frozenset(g) for g in got.values()} == near_brute([(r[0], r[1]) for r in rows])
 
 
+def test_prefixes_find_every_link_of_a_large_crowd(spark, monkeypatch):
+    """12,000 texts around one passage share a band; families of a second passage link within. Brute force over the own words."""
+    monkeypatch.setattr(near_dedup, "signatures_of", lambda docs: made)
+    rng = random.Random(29)
+    base, rows, own_of = [f"w{i}" for i in range(60)], [], []
+    for d in range(12_000):
+        own = [f"f{d // 3}n{i}" if rng.random() < 0.8 else f"o{d}n{i}" for i in range(14)]
+        own_of.append(own)
+        rows.append((d, " ".join(base + own), "en", "s", 1))
+    digest = lambda d: bytearray(hashlib.md5(f"{d}".encode()).digest())
+    # signatures that share the first band alone, and that all pass, leave the whole work to the prefixes
+    sig = lambda d: bytearray(b"\0" * 5 + hashlib.shake_128(f"{d}".encode()).digest(bagminhash.PLACES - 5))
+    known = [(d, bytearray(hashlib.md5(t.encode()).digest()), digest(d), 70, sig(d)) for d, t, *_ in rows]
+    made = spark.createDataFrame(known, "doc_id bigint, tkey binary, digest binary, size bigint, sig binary")
+    group = {r.doc_id: r.group_key for r in near_dedup.near_groups(spark.createDataFrame(rows, DOCS)).collect()}
+    shingle_set = lambda d: {tuple((base + own_of[d])[i : i + 5]) for i in range(70)}
+    links = [(d, e) for f in range(0, 12_000, 3) for d, e in ((f, f + 1), (f, f + 2), (f + 1, f + 2)) if len(shingle_set(d) & shingle_set(e)) >= 0.8 * len(shingle_set(d) | shingle_set(e))]
+    # texts of different families share the passage's 56 of 70 shingles, a similarity of 0.67, so they are never linked
+    assert len(links) > 500 and all(group[d] == group[e] for d, e in links)
+    parent = list(range(12_000))
+
+    def root(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    for d, e in links:
+        parent[root(d)] = root(e)
+    assert len(set(group.values())) == len({root(d) for d in parent})
+
+
 def test_near_groups_with_one_id_on_several_texts(spark):
     a, b = (" ".join(f"{x}{i}" for i in range(80)) for x in "ab")
     rows = [(9, a), (9, b), (3, b), (7, a), (7, b.replace("b40", "c")), (None, a + " d"), (None, "alone here"), (9, b)]
