@@ -9,10 +9,10 @@
 3. Where a bucket still holds several components, its members are compared in blocks. First signatures alone tell which
    members have a likely partner in another component; only these bring their texts. Then every likely pair of two
    components is checked on whole texts, within the block's task, in the first band the pair shares; what leaves the task
-   are links that join components there, so at most one for each member. Members of very large buckets are
-   joined exactly instead, by prefixes: a pair at the threshold shares an element among the first of each text, in an
-   order that puts rare elements first, at places that leave room for the overlap. Passages of a crowd are common and
-   come last, so they bring no pairs together.
+   are links that join components there, so at most one for each member. Members of very large buckets are joined
+   exactly instead, by prefixes: a pair at the threshold shares an element among the first of each text, in an order that
+   puts rare elements first, at places that leave room for the overlap. Passages of a crowd are common and come last, so
+   they bring no pairs together.
 4. Components of the links are the groups.
 """
 
