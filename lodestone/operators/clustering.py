@@ -6,7 +6,9 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import vector
@@ -139,24 +141,46 @@ def cluster(vectors: DataFrame, least: float = 0.75) -> DataFrame:
     return vectors.select("id").join(own, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
 
 
+def vector_sums(rows: DataFrame, group: str, *more: Column) -> DataFrame:
+    """group, sums, counts (arrays by position) and the columns of ``more``, which are sums. ``rows``: group, vec.
+
+    A vector is added whole into a partial sum on the side of the map, with its present components counted in the
+    same vector. Vectors of a group may differ in length: those of one length are summed first, and the few sums of a group
+    are then added with missing places as 0. Null components count nowhere; null and empty vectors take no part.
+    """
+    doubles = F.transform("vec", lambda x: F.coalesce(x.cast("double"), F.lit(0.0)))
+    present = F.transform("vec", lambda x: x.isNotNull().cast("double"))
+    added = [f"_s{i}" for i in range(len(more))]
+    wide = rows.where(F.size("vec") > 0).select(group, F.size("vec").alias("_d"), F.concat(doubles, present).alias("_v"), *[c.alias(n) for n, c in zip(added, more)])
+    wide = wide.withColumn("_v", array_to_vector("_v"))
+    partial = wide.groupBy(group, "_d").agg(Summarizer.sum(F.col("_v")).alias("_v"), *[F.sum(n).alias(n) for n in added])
+    both = partial.withColumn("_v", vector_to_array("_v"))
+    halves = both.select(group, F.struct(F.slice("_v", F.lit(1), F.col("_d")).alias("s"), F.slice("_v", F.col("_d") + 1, F.col("_d")).alias("n")).alias("h"), *added)
+    plus = lambda x, y: F.zip_with(x, y, lambda u, v: F.coalesce(u, F.lit(0.0)) + F.coalesce(v, F.lit(0.0)))
+    empty = F.array().cast("array<double>")
+    lengths = halves.groupBy(group).agg(F.collect_list("h").alias("_h"), *[F.sum(n).alias(n) for n in added])  # a row for each length
+    total = F.aggregate("_h", F.struct(empty.alias("s"), empty.alias("n")), lambda t, h: F.struct(plus(t["s"], h["s"]).alias("s"), plus(t["n"], h["n"]).alias("n")))
+    return lengths.withColumn("_t", total).select(group, F.col("_t.s").alias("sums"), F.col("_t.n").alias("counts"), *added)
+
+
 def centroids(rows: DataFrame, group: str, digits: int = 6) -> DataFrame:
-    """[A7] element-wise means. ``rows``: group, vec."""
-    cells = rows.select(group, F.posexplode("vec").alias("pos", "x")).groupBy(group, "pos").agg(F.round(F.avg("x"), digits).alias("x"))
-    return cells.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda c: c["x"]).alias("centroid"))
+    """[A7] element-wise means of the components that are there, null where none is. ``rows``: group, vec."""
+    mean = F.zip_with("sums", "counts", lambda s, n: F.round(s / F.nullif(n, F.lit(0.0)), digits))
+    return vector_sums(rows, group).select(group, mean.alias("centroid"))
 
 
 def intra_similarity(rows: DataFrame, group: str) -> DataFrame:
     """[A8] mean cosine of a group's pairs, 1 for single members. ``rows``: group, id, vec.
 
-    The sum over pairs follows from the sum of unit vectors, |s|^2 = sum |u|^2 + 2 * pairs, so no pairs are made.
+    The sum over pairs follows from the sum of unit vectors, |s|^2 = sum |u|^2 + 2 * pairs, so no pairs are made. Zero
+    vectors are members at cosine 0; null and empty ones are none.
     """
-    units = rows.select(group, "id", F.posexplode("vec").alias("pos", "x")).withColumn("x", F.col("x").cast("double"))
-    length = Window.partitionBy(group, "id")
-    unit = units.withColumn("u", F.col("x") / F.nullif(F.sqrt(F.sum(F.col("x") * F.col("x")).over(length)), F.lit(0.0)))
-    sums = unit.groupBy(group, "pos").agg(F.sum("u").alias("s"), F.sum(F.col("u") * F.col("u")).alias("q"), F.count("*").alias("n"))
-    n = F.max("n")
-    pairs = (F.sum(F.col("s") * F.col("s")) - F.sum("q")) / F.nullif(n * (n - 1), F.lit(0))
-    return sums.groupBy(group).agg(F.when(n < 2, 1.0).otherwise(pairs).alias("intra_sim"), n.alias("members"))
+    known = F.transform("vec", lambda x: F.coalesce(x.cast("double"), F.lit(0.0)))
+    units = rows.select(group, vector.unit(known).alias("vec"))
+    sums = vector_sums(units, group, vector.dot(F.col("vec"), F.col("vec")), F.lit(1).cast("bigint"))
+    n = F.col("_s1")
+    pairs = (vector.dot(F.col("sums"), F.col("sums")) - F.col("_s0")) / F.nullif(n * (n - 1), F.lit(0))
+    return sums.select(group, F.when(n < 2, 1.0).otherwise(pairs).alias("intra_sim"), n.alias("members"))
 
 
 def summarise(clustered: DataFrame, n_min: int = 2, least: float = 0.75) -> DataFrame:

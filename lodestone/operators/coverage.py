@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CLASSES = ["covered", "legal_only", "policy_only", "uncovered"]
+SUMS = ["right", "judged", "total"]
+CORNERS = "array<struct<a: int, b: int, right: bigint, judged: bigint, total: bigint>>"
 
 
 def classify(policy, legal, tau_policy=0.65, tau_legal=0.60):
@@ -36,17 +38,50 @@ def grid(spark, low: int = 30, high: int = 80, step: int = 5) -> DataFrame:
     return spark.range(low, high + 1, step).select((F.col("id") / 100.0).alias("tau"))
 
 
+def grid_counts(records: DataFrame, taus: DataFrame) -> DataFrame:
+    """[J13, A10, A11] tau_policy, tau_legal, correct, judged, total of every pair of thresholds. ``records``: expected, policy, legal.
+
+    A record counts once, in the cell of how many thresholds each score meets, so what is shuffled is bounded by classes and
+    cells, whatever the number of records. In the grid, the pairs at which a class is right form quadrants below a cell; the sum
+    over all cells that dominate a pair, along one axis and then along the other, gives its number of right records. ``taus``
+    are a setting of a few rows: null, NaN and repeated ones count once or not at all. Null and NaN scores meet none.
+    ``judged`` leaves out records without an expected class; without records there are no rows.
+    """
+    steps = sorted({float(r.tau) for r in taus.select("tau").distinct().collect() if r.tau is not None and r.tau == r.tau})
+    m, levels = len(steps), F.array(*map(F.lit, steps)).cast("array<double>")
+    met = lambda c: F.when(F.col(c).isNull() | F.isnan(c), 0).otherwise(F.size(F.filter(levels, lambda t: t <= F.col(c))))
+    held = records.select("expected", met("policy").alias("p"), met("legal").alias("q")).groupBy("expected", "p", "q").agg(F.count("*").alias("n"))
+    p, q, n, every, none = F.col("p"), F.col("q"), F.col("n"), F.lit(m), F.lit(0).cast("bigint")
+    at = lambda a, b, right, judged=none, total=none: F.struct(a.alias("a"), b.alias("b"), right.alias("right"), judged.alias("judged"), total.alias("total"))
+    ruled = (
+        F.when(F.col("expected") == "covered", F.array(at(p, q, n)))
+        .when(F.col("expected") == "policy_only", F.array(at(p, every, n), at(p, q, -n)))
+        .when(F.col("expected") == "legal_only", F.array(at(every, q, n), at(p, q, -n)))
+        .when(F.col("expected") == "uncovered", F.array(at(every, every, n), at(p, every, -n), at(every, q, -n), at(p, q, n)))
+    )
+    whole = F.array(at(every, every, none, F.when(F.col("expected").isNull(), none).otherwise(n), n))
+    corners = held.select(F.inline(F.concat(F.coalesce(ruled, F.array().cast(CORNERS)), whole)))
+    places = records.sparkSession.range(1, m + 1).select(F.col("id").cast("int").alias("a"), F.explode(F.sequence(F.lit(1), every)).alias("b")) if m else records.sparkSession.createDataFrame([], "a int, b int")
+    cells = corners.union(places.select("a", "b", none, none, none)).where("a > 0 and b > 0").groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in SUMS])
+    for fixed, along in (("a", "b"), ("b", "a")):
+        beyond = Window.partitionBy(fixed).orderBy(F.desc(along))
+        cells = cells.select("a", "b", *[F.sum(c).over(beyond).alias(c) for c in SUMS])
+    tau = lambda c: F.element_at(levels, F.col(c))
+    return cells.where("total > 0").select(tau("a").alias("tau_policy"), tau("b").alias("tau_legal"), F.col("right").alias("correct"), "judged", "total")
+
+
+def accuracy() -> Column:
+    return F.round(F.col("correct") / F.nullif("judged", F.lit(0)), 6)
+
+
 def sweep(records: DataFrame, taus: DataFrame) -> DataFrame:
     """[A10] tau, accuracy, correct, total at one threshold for both corpora. ``records``: expected, policy, legal; the grid is a few rows."""
-    tried = records.crossJoin(F.broadcast(taus)).withColumn("hit", (classify(F.col("policy"), F.col("legal"), F.col("tau"), F.col("tau")) == F.col("expected")).cast("int"))
-    return tried.groupBy("tau").agg(F.round(F.avg("hit"), 6).alias("accuracy"), F.sum("hit").cast("bigint").alias("correct"), F.count("*").alias("total"))
+    return grid_counts(records, taus).where("tau_policy = tau_legal").select(F.col("tau_policy").alias("tau"), accuracy().alias("accuracy"), "correct", "total")
 
 
 def best_pair(records: DataFrame, taus: DataFrame) -> DataFrame:
     """[A11] the first best pair in grid order."""
-    pairs = taus.withColumnRenamed("tau", "tau_policy").crossJoin(taus.withColumnRenamed("tau", "tau_legal"))
-    tried = records.crossJoin(F.broadcast(pairs)).withColumn("hit", (classify(F.col("policy"), F.col("legal"), F.col("tau_policy"), F.col("tau_legal")) == F.col("expected")).cast("int"))
-    scored = tried.groupBy("tau_policy", "tau_legal").agg(F.round(F.avg("hit"), 6).alias("accuracy"))
+    scored = grid_counts(records, taus).select("tau_policy", "tau_legal", accuracy().alias("accuracy"))
     return scored.orderBy(F.desc("accuracy"), "tau_policy", "tau_legal").limit(1)
 
 
