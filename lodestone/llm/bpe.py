@@ -19,9 +19,13 @@ import numpy as np
 CACHE_PARTS = 350_000
 #: Longer parts are encoded each time and never kept.
 CACHE_CHARS = 64
+#: Words that go to the library in one list.
+JOINED_WORDS = 1000
 #: Marks that are cut off the end of a word and looked up apart; parts that are empty or begin with white space, beside one line break (fixed values).
 HELD = r"^\n?$|^\n?[\x09-\x0d\x1c-\x20\x{85}\pZ]"
 TAIL = ".,;:!?%&$#*|"
+#: The same with the white space that ends most runs of parts.
+RUN_TAIL = TAIL + " \n"
 
 
 @lru_cache(maxsize=1)
@@ -133,6 +137,8 @@ class Coder:
         self.alphabet = {i: c for i, c in enumerate(char_of_byte())}
         self.space = char_of_byte()[32]
         self.newline = array("I", self._raw(["\n"])[0]).tobytes()
+        self.break_char = char_of_byte()[10]
+        (self.break_id,) = self._raw(["\n"])[0]
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.tails: dict[str, bytes] = {}
@@ -160,6 +166,21 @@ class Coder:
             ids += encode_piece(b, self.ranks) if self.periodic.search(b) else [i for x in self.inner.encode_batch_fast([m], add_special_tokens=False) for i in x.ids]
         return ids
 
+    def _merge(self, mapped: list[str]) -> list[bytes]:
+        """Packed ids of words in the byte-level alphabet, many in one call: before each stands a line break, whose id no word of letters holds."""
+        out: list[bytes] = []
+        lists = []
+        for a in range(0, len(mapped), JOINED_WORDS):
+            some = mapped[a : a + JOINED_WORDS]
+            lists.append([self.break_char] * (2 * len(some)))
+            lists[-1][1::2] = some
+        for x in self.bare.encode_batch_fast(lists, is_pretokenized=True, add_special_tokens=False):
+            ids = np.array(x.ids, dtype=np.uint32)
+            at = (4 * np.flatnonzero(ids == self.break_id)).tolist()
+            data = ids.tobytes()
+            out += [data[a + 4 : b] for a, b in zip(at, [*at[1:], len(data)])]
+        return out
+
     def _encode_new(self, words: list[str]) -> list[bytes]:
         """Packed ids of words. A word of letters is one match of the split pattern, so its bytes go to the merges as they
         are, written in the byte-level alphabet; other words go through the whole library."""
@@ -167,7 +188,7 @@ class Coder:
         plain, mapped, other = [], [], []
         for i, w in enumerate(words):
             body = w[1:] if w[0] == "\n" else w
-            if body.isalpha() and max(body) < "\u0250":
+            if body.isalpha() and (body.isascii() or max(body) < "\u0250"):
                 plain.append(i)
                 if not body.isascii():
                     body = body.encode().decode("latin-1").translate(self.alphabet)
@@ -179,26 +200,31 @@ class Coder:
             mapped = [m for i, m in zip(plain, mapped) if i not in odd]
             plain = [i for i in plain if i not in odd]
             other += odd
-        for i, x in zip(plain, self.bare.encode_batch_fast(mapped, add_special_tokens=False)):
-            ids = array("I", x.ids).tobytes()
+        for i, ids in zip(plain, self._merge(mapped)):
             out[i] = self.newline + ids if words[i][0] == "\n" else ids
         for i, x in zip(other, self._raw([words[i] if words[i][0] == "\n" else " " + words[i] for i in other])):
             out[i] = array("I", x).tobytes()
         return out
 
+    def _tail(self, tail: str) -> bytes:
+        if (ids := self.tails.get(tail)) is None:
+            if len(self.tails) > self.most:
+                self.tails.clear()
+            ids = self.tails[tail] = array("I", self._raw([tail])[0]).tobytes()
+        return ids
+
     def _lookup(self, words: list[str]) -> list[bytes]:
         """Packed ids of each distinct word; what no cache has is encoded in one call of the library."""
         if len(self.young) > self.most:  # two generations: what is still in use moves to the young one
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
         found = list(map(young.get, words))
-        missing = []
-        for i, ids in enumerate(found):
-            if ids is None:
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        if old and missing:
+            for i in missing:
                 if (ids := old.get(words[i])) is not None:
                     young[words[i]] = found[i] = ids
-                else:
-                    missing.append(i)
+            missing = [i for i in missing if found[i] is None]
         bodies, new = [], {}
         for i in missing:
             w = words[i]
@@ -209,30 +235,40 @@ class Coder:
             bodies.append(body)
             if body not in young and body not in new:
                 new[body] = None
-            tail = w[len(body) :]
-            if tail and tail not in self.tails:
-                if len(self.tails) > self.most:
-                    self.tails.clear()
-                self.tails[tail] = array("I", self._raw([tail])[0]).tobytes()
         for w, ids in zip(new, self._encode_new(list(new))):
             new[w] = ids
             if len(w) <= CACHE_CHARS:
                 young[w] = ids
         for i, body in zip(missing, bodies):
             w = words[i]
-            found[i] = ids = (new.get(body) or young[body]) + (self.tails[w[len(body) :]] if body != w else b"")
+            found[i] = ids = (new.get(body) or young[body]) + (self._tail(w[len(body) :]) if len(body) != len(w) else b"")
             if len(w) <= CACHE_CHARS:
                 young[w] = ids
         return found
 
     def _lookup_runs(self, runs: list[str]) -> list[bytes]:
-        """Packed ids of each distinct run of parts; a leading line break is an id of its own."""
+        """Packed ids of each distinct run of parts; a leading line break is an id of its own. A run that is one word, then marks
+        and white space, is the word's ids and theirs, as a letter before them always ends a match of the split pattern."""
         if len(self.runs) > self.most:
             self.runs.clear()
         found = list(map(self.runs.get, runs))
         missing = [i for i, ids in enumerate(found) if ids is None]
-        for i, x in zip(missing, self._raw([runs[i][1:] if runs[i][0] == "\n" else " " + runs[i] for i in missing])):
+        alone, bodies, whole = [], [], []
+        for i in missing:
+            body = runs[i].rstrip(RUN_TAIL)
+            core = body[1:] if body[:1] == "\n" else body
+            if core.split() == [core] and ("a" <= core[-1] <= "z" or "A" <= core[-1] <= "Z"):
+                alone.append(i)
+                bodies.append(body)
+            else:
+                whole.append(i)
+        names = list(dict.fromkeys(bodies))
+        ids_of = dict(zip(names, self._lookup(names)))
+        for i, body in zip(alone, bodies):
+            found[i] = ids_of[body] + self._tail(runs[i][len(body) :])
+        for i, x in zip(whole, self._raw([runs[i][1:] if runs[i][0] == "\n" else " " + runs[i] for i in whole])):
             found[i] = (self.newline if runs[i][0] == "\n" else b"") + array("I", x).tobytes()
+        for i in missing:
             if len(runs[i]) <= CACHE_CHARS:
                 self.runs[runs[i]] = found[i]
         return found
@@ -269,7 +305,7 @@ class Coder:
             run = words[at[0]] + "".join(w if w[:1] == "\n" else " " + w for w in map(words.__getitem__, at[1:]))
             use[s] = runs.setdefault(run, blank + 1 + len(runs))
         packed = [b""] * blank
-        good = np.unique(use[use < blank]).tolist()
+        good = np.flatnonzero(np.bincount(use, minlength=blank)[:blank]).tolist()
         for i, ids in zip(good, self._lookup([words[i] for i in good])):
             packed[i] = ids
         packed.append(b"")
