@@ -18,7 +18,7 @@ from lodestone.operators import vector_index
 from lodestone.operators.retrieval import block_cosines, blocks_of
 from lodestone.plans.components import components
 from lodestone.plans.numbering import numbered
-from lodestone.plans.shared import materialise
+from lodestone.plans.shared import materialise, release
 
 
 def vector_blocks(vectors: DataFrame, *more: str) -> DataFrame:
@@ -130,8 +130,10 @@ def cluster(vectors: DataFrame, least: float = 0.75) -> DataFrame:
             break
         merged.append(pairs)
         left = active.join(best.select(F.col("c").alias("id")), "id", "left_semi").join(pairs, "id", "left").select(F.coalesce("into", "id").alias("id"), "n", "vec")
+        before = active, best
         two = left.groupBy("id").agg(F.sum("n").alias("n"), F.collect_list("vec").alias("vs"))  # one or two sums
         active = materialise(two.select("id", "n", F.when(F.size("vs") == 1, F.element_at("vs", 1)).otherwise(F.zip_with(F.element_at("vs", 1), F.try_element_at("vs", F.lit(2)), lambda x, y: x + y)).alias("vec")), "clusters")
+        release(*before)
     own = units.join(copies.select("vec", F.col("id").alias("copy")), "vec").select("id", "copy")
     if merged:
         links = reduce(DataFrame.union, merged).toDF("a", "b")

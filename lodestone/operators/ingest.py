@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import format_table, likely_header, strip_glyphs, strip_section_prefix, trimmed, verbatim_span, word_count
-from lodestone.plans.shared import materialise
+from lodestone.plans.shared import materialise, release
 
 MIN_WORDS, MAX_WORDS = 100, 350
 #: Consecutive places that one task sums, and lines of a document that are grouped in its row.
@@ -135,10 +135,12 @@ def group_starts(lines: DataFrame, key: str, most: int = MAX_WORDS) -> DataFrame
     jumps = materialise(jumps, "jumps")
     reached = materialise(lines.where("n = 0").select(key, "n"), "reached")
     while not jumps.isEmpty():
+        before = reached, jumps
         more = reached.join(jumps, [key, "n"]).select(key, F.col("next").alias("n"))
         reached = materialise(reached.union(more).distinct(), "reached")
         far = jumps.select(F.col(key).alias("_k"), F.col("n").alias("_n"), F.col("next").alias("_far"))
         jumps = materialise(jumps.join(far, (F.col(key) == F.col("_k")) & (F.col("next") == F.col("_n"))).select(key, "n", F.col("_far").alias("next")), "jumps")
+        release(*before)
     return reached
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.plans.shared import materialise
+from lodestone.plans.shared import materialise, release
 
 
 def components(edges: DataFrame, most_rounds: int = 80) -> DataFrame:
@@ -26,9 +26,11 @@ def components(edges: DataFrame, most_rounds: int = 80) -> DataFrame:
         order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(r)), F.col(c).alias("to"))
         first = both.groupBy("node").agg(F.min(order("next")).alias("next"))
         to = materialise(first.select("node", F.least(order("node"), "next")["to"].alias("to")), "joined")
+        before = labels, edges, to
         labels = materialise(labels.join(to.toDF("label", "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
         redrawn = edges.join(to.toDF("a", "a2"), "a").join(to.toDF("b", "b2"), "b")
         edges = materialise(redrawn.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).where("a <> b").distinct(), "edges")
+        release(*before)
     else:
         raise RuntimeError("components did not settle")
     smallest = labels.groupBy("label").agg(F.min("node").alias("component"))

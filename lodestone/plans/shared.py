@@ -49,21 +49,37 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
-def _delete_late(spark: SparkSession, path: str) -> None:
-    try:
-        if spark.sparkContext._jsc is not None:
-            delete(spark, path)
-    except Exception:  # the gateway may be gone when Python exits; the folder then stays for the cluster's own cleaning
-        pass
+#: Tables that ``materialise`` has written and nobody has released, with their sessions.
+HELD: dict[str, SparkSession] = {}
+
+
+@atexit.register
+def _delete_late() -> None:
+    for path, spark in HELD.items():
+        try:
+            if spark.sparkContext._jsc is not None:
+                delete(spark, path)
+        except Exception:  # the gateway may be gone when Python exits; the folder then stays for the cluster's own cleaning
+            pass
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` below the shared folder and return the table as read back; deleted when Python exits."""
+    """Write ``df`` below the shared folder and return the table as read back; deleted by ``release``, or when Python exits."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_delete_late, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    HELD[path] = spark
+    back = spark.read.schema(df.schema).parquet(path)
+    back._held_at = path
+    return back
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables of ``materialise``. Only for tables whose every reader has been written itself; other frames are left alone."""
+    for t in tables:
+        spark = HELD.pop(getattr(t, "_held_at", None), None)
+        if spark is not None:
+            delete(spark, t._held_at)
 
 
 def text_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
