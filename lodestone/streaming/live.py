@@ -16,6 +16,12 @@ from lodestone.operators.metrics import class_counts
 from lodestone.plans.shared import exists, shared_dir
 
 
+def in_order(batches: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
+    """All rows that a key has in one batch of the stream, sorted. Spark hands them over in pieces, cut where an Arrow batch was full
+    and not where the order has a cut, so sorting each piece would mix them up."""
+    return pd.concat(list(batches), ignore_index=True).sort_values(by, kind="stable")
+
+
 def windowed_counts(events: DataFrame, classes: list[str], length: str = "1 day", late: str = "1 hour") -> DataFrame:
     """[ST5] start and counts of each event-time window; events later than ``late`` are dropped. ``events``: ts (timestamp), classification."""
     w = events.withWatermark("ts", late).groupBy(F.window("ts", length))
@@ -27,10 +33,9 @@ def session_state(messages: DataFrame, most: int = 50) -> DataFrame:
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, chars, roles = state.get if state.exists else (0, 0, "")
-        for pdf in batches:
-            pdf = pdf.sort_values("turn")
-            n, chars = n + len(pdf), chars + int(pdf.text.fillna("").str.len().sum())
-            roles = ",".join([*filter(None, roles.split(",")), *pdf.role.fillna("")][-most:])
+        pdf = in_order(batches, ["turn"])
+        n, chars = n + len(pdf), chars + int(pdf.text.fillna("").str.len().sum())
+        roles = ",".join([*filter(None, roles.split(",")), *pdf.role.fillna("")][-most:])
         state.update((n, chars, roles))
         yield pd.DataFrame({"conv_id": [key[0]], "n_messages": [n], "n_chars": [chars], "last_role": [roles.split(",")[-1]]})
 
@@ -50,15 +55,13 @@ def exhaustion_state(events: DataFrame, late: str = "1 hour") -> DataFrame:
             state.remove()
             return
         day, out = state.get if state.exists else ("", False)
-        for pdf in batches:
-            rows = []
-            pdf = pdf.sort_values(["ts", "event_id"])
-            for i, at, failed in zip(pdf.event_id.tolist(), pdf.ts.dt.strftime("%Y-%m-%d").tolist(), pdf.failed.fillna(False).astype(bool).tolist()):
-                if at > day:
-                    day, out = at, False
-                rows.append((i, out and at == day))
-                out = out or failed and at == day
-            yield pd.DataFrame(rows, columns=["event_id", "exhausted"])
+        pdf, rows = in_order(batches, ["ts", "event_id"]), []
+        for i, at, failed in zip(pdf.event_id.tolist(), pdf.ts.dt.strftime("%Y-%m-%d").tolist(), pdf.failed.fillna(False).astype(bool).tolist()):
+            if at > day:
+                day, out = at, False
+            rows.append((i, out and at == day))
+            out = out or failed and at == day
+        yield pd.DataFrame(rows, columns=["event_id", "exhausted"])
         over = int(pd.Timestamp(day, tz="UTC").timestamp() * 1000) + 86_400_000
         if over > state.getCurrentWatermarkMs():
             state.update((day, bool(out)))
@@ -79,21 +82,20 @@ class Sessions(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         text, built, fresh = self.prompt.get() if self.prompt.exists() else ("", 0, False)
-        for pdf in rows:
-            for m in pdf.sort_values("turn").itertuples(index=False):
-                if m.role == "reset":
-                    self.history.clear()
-                    self.report.clear()
-                    text, fresh = "", False
-                    continue
-                self.history.appendValue((m.turn, m.role, m.text))
-                updates = dict(m.updates) if m.updates is not None else {}
-                for k, v in updates.items():
-                    if v:
-                        self.report.updateValue((k,), (v,))
-                        fresh = False
-                if m.role == "assistant" and not fresh:
-                    text, built, fresh = self._said(), built + 1, True
+        for m in in_order(rows, ["turn"]).itertuples(index=False):
+            if m.role == "reset":
+                self.history.clear()
+                self.report.clear()
+                text, fresh = "", False
+                continue
+            self.history.appendValue((m.turn, m.role, m.text))
+            updates = dict(m.updates) if m.updates is not None else {}
+            for k, v in updates.items():
+                if v:
+                    self.report.updateValue((k,), (v,))
+                    fresh = False
+            if m.role == "assistant" and not fresh:
+                text, built, fresh = self._said(), built + 1, True
         self.prompt.update((text, built, fresh))
         n = sum(1 for _ in self.history.get())
         yield pd.DataFrame({"conv_id": [key[0]], "n_messages": [n], "report": [self._said()], "prompt": [text], "built": [built]})

@@ -41,6 +41,31 @@ def test_state_of_past_days_goes(spark, tmp_path):
     assert [r.key for r in kept] == [999]  # the 100 keys of past days are gone
 
 
+def test_order_of_a_key_is_kept_over_arrow_batches(spark, tmp_path):
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    schema = "key bigint, event_id bigint, ts timestamp, failed boolean"
+    rows = [(i % 3, i, DAY + timedelta(minutes=(i * 37) % 200), i % 50 == 0) for i in range(200)]
+    turns = [(c, t, "assistant" if t % 3 == 0 else "user", "", {f"f{t % 5}": str(t)} if t % 4 == 0 else None) for t in range(60) for c in (1, 2)]
+    told = "conv_id bigint, turn bigint, role string, text string, updates map<string,string>"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "e"))
+    spark.createDataFrame(sorted(turns, key=lambda m: (m[1] * 37 % 60, m[0])), told).coalesce(1).write.parquet(str(tmp_path / "m"))
+    before = spark.conf.get(size)
+    got = {}
+    try:
+        for n in ("7", "10000"):
+            spark.conf.set(size, n)
+            stream = live.exhaustion_state(spark.readStream.schema(schema).parquet(str(tmp_path / "e")))
+            exhausted = sorted((r.event_id, r.exhausted) for r in live.finished(stream, "order", "append").collect())
+            talk = live.session_reports(spark.readStream.schema(told).parquet(str(tmp_path / "m")))
+            said = sorted((r.conv_id, r.n_messages, r.report, r.built) for r in live.latest(live.finished(talk, "talk"), "conv_id").collect())
+            got[n] = exhausted, said
+    finally:
+        spark.conf.set(size, before)
+    want = analysis.exhausted_today(spark.createDataFrame(rows, schema), "key", F.col("failed"))
+    assert got["7"] == got["10000"]
+    assert got["7"][0] == sorted((r.event_id, r.exhausted) for r in want.collect())
+
+
 def test_sessions_go_on_after_a_restart(spark, tmp_path):
     schema = "conv_id bigint, turn bigint, role string, text string, updates map<string,string>"
     first = [[(1, 0, "user", "a", {"name": "x", "place": ""}), (1, 1, "assistant", "b", None), (2, 0, "user", "c", None)]]
