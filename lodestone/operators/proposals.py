@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import difflib
+from bisect import bisect_left
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,52 +17,118 @@ MIN_RATIO = 0.3
 SPAN = T.StructType([T.StructField("op", T.StringType()), *[T.StructField(c, T.IntegerType()) for c in ("a0", "a1", "b0", "b1")]])
 
 
-class Aligned(difflib.SequenceMatcher):
-    """difflib's alignment with equal results: the longest match comes from a suffix automaton, in time linear in both texts."""
+#: Up to this length common runs are looked for at each length in turn; the longest of more is found by halving.
+SHORT_RUN = 16
+#: An odd number that spreads keys over the upper bits.
+MIXED = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Runs:
+    """Numbers of all runs of characters of two texts: equal runs of one length have equal numbers. Runs of 1, 2, 4, ... characters are
+    numbered as pairs of halves; a run of any other length is a pair of such that overlap."""
 
     def __init__(self, a: str, b: str):
-        super().__init__(a=a, b=b, autojunk=False)
-
-    def find_longest_match(self, alo=0, ahi=None, blo=0, bhi=None):
-        a, b = self.a[alo:ahi], self.b[blo:bhi]
-        # per state: its length, suffix link, steps and the first place in b where it ends
-        size, link, steps, ends = [0], [-1], [{}], [0]
-        last = 0
-        for at, c in enumerate(b):
-            new = len(size)
-            size.append(at + 1)
-            link.append(0)
-            steps.append({})
-            ends.append(at + 1)
-            p = last
-            while p >= 0 and c not in steps[p]:
-                steps[p][c] = new
-                p = link[p]
-            if p >= 0:
-                q = steps[p][c]
-                if size[q] != size[p] + 1:
-                    copy = len(size)
-                    size.append(size[p] + 1)
-                    link.append(link[q])
-                    steps.append(steps[q].copy())
-                    ends.append(ends[q])
-                    while p >= 0 and steps[p].get(c) == q:
-                        steps[p][c] = copy
-                        p = link[p]
-                    link[q] = copy
-                    q = copy
-                link[new] = q
-            last = new
-        state = n = best = a_end = b_end = 0
-        for at, c in enumerate(a):
-            while state and c not in steps[state]:
-                state = link[state]
-                n = size[state]
-            if c in steps[state]:
-                state, n = steps[state][c], n + 1
-            if n > best:
-                best, a_end, b_end = n, at + 1, ends[state]
-        return difflib.Match(alo + a_end - best, blo + b_end - best, best) if best else difflib.Match(alo, blo, 0)
+        codes = np.frombuffer((a + b).encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        self.split, self.width = len(a), len(codes) + 1
+        self.numbers = [np.unique(codes, return_inverse=True)[1].astype(np.int64)]
+
+    def at(self, places: np.ndarray, n: int) -> np.ndarray:
+        k = n.bit_length() - 1
+        while len(self.numbers) <= k:
+            half, low = 1 << (len(self.numbers) - 1), self.numbers[-1]
+            self.numbers.append(np.unique(low[:-half] * self.width + low[half:], return_inverse=True)[1].astype(np.int64))
+        return self.numbers[k][places] * self.width + self.numbers[k][places + (n - (1 << k))]
+
+    def common(self, parts: np.ndarray, n: int):
+        """Part and start in a of every run of ``n`` characters that the part's other side holds too, in order; starts in b by number of run
+        and place, and the first and last of them for each. ``parts``: rows of start and end in a, start and end in b."""
+        more = np.maximum(parts[:, [1, 3]] - parts[:, [0, 2]] - n + 1, 0)
+        more[(more == 0).any(axis=1)] = 0
+        own = [np.repeat(np.arange(len(parts)), c) for c in more.T]
+        start = [np.arange(len(s)) + np.repeat(lo - np.cumsum(c) + c, c) for s, c, lo in zip(own, more.T, (parts[:, 0], parts[:, 2]))]
+        x, y = self.at(start[0], n), self.at(start[1] + self.split, n)
+        if self.width**2 * len(parts) >= 1 << 63:
+            both = np.unique(np.concatenate([x, y]), return_inverse=True)[1].astype(np.int64)
+            x, y = both[: len(x)], both[len(x) :]
+        x, y = x * len(parts) + own[0], y * len(parts) + own[1]
+        # most runs have no partner: a table of hashes rules them out before anything is sorted
+        bits = max(12, len(y).bit_length() + 3)
+        table = lambda v: (v.astype(np.uint64) * MIXED) >> np.uint64(64 - bits)
+        hx, hy = table(x), table(y)
+        seen = np.zeros((2, 1 << bits), dtype=bool)
+        seen[0][hx], seen[1][hy] = True, True
+        maybe, held = np.flatnonzero(seen[1][hx]), np.flatnonzero(seen[0][hy])
+        held = held[np.argsort(y[held], kind="stable")]
+        x, y = x[maybe], y[held]
+        first, last = np.searchsorted(y, x), np.searchsorted(y, x, "right")
+        hit = first < last
+        maybe = maybe[hit]
+        return own[0][maybe], start[0][maybe], start[1][held], first[hit], last[hit]
+
+
+def matching_blocks(a: str, b: str) -> list[tuple[int, int, int]]:
+    """difflib's matching blocks: the longest common run, the first in a and then in b, then the same to its left and to its right.
+
+    Which part goes first does not matter, so common runs are taken by length, the longest first, in all parts at once: in a part
+    from left to right, each behind the one before. What is left between them holds shorter runs only.
+    """
+    if a == b or not a or not b:
+        return [(0, 0, len(a))] if a and a == b else []
+    runs, parts = Runs(a, b), np.array([[0, len(a), 0, len(b)]])
+    found: list[tuple[int, int, int]] = []
+    most = 1
+    while most < min(len(a), len(b)) and len(runs.common(parts, most)[0]):
+        most = min(2 * most, len(a), len(b))
+    while most and len(parts):
+        held = runs.common(parts, most)
+        if most > SHORT_RUN and not len(held[0]):
+            low, high = 0, most - 1  # runs of low are there, runs above high are not
+            while low < high:
+                middle = (low + high + 1) // 2
+                low, high = (middle, high) if len(runs.common(parts, middle)[0]) else (low, middle - 1)
+            most = low
+            continue
+        if len(held[0]):
+            parts = without(parts, most, held, found)
+        most -= 1
+    joined: list[tuple[int, int, int]] = []
+    for i, j, n in sorted(found):
+        if joined and (joined[-1][0] + joined[-1][2], joined[-1][1] + joined[-1][2]) == (i, j):
+            i, j, before = joined.pop()
+            n += before
+        joined.append((i, j, n))
+    return joined
+
+
+def without(parts: np.ndarray, n: int, held, found: list) -> np.ndarray:
+    """The parts that are left when runs of ``n`` characters are taken, which are added to ``found``. ``held``: as of ``Runs.common``."""
+    own, starts, places, first, last = held
+    places, left = places.tolist(), []
+    part, i, j, ahi, bhi = -1, 0, 0, 0, 0
+    for p, at, low, high in zip(own.tolist(), starts.tolist(), first.tolist(), last.tolist()):
+        if p != part:
+            left.append((i, ahi, j, bhi))
+            part, (i, ahi, j, bhi) = p, parts[p].tolist()
+        if at >= i:
+            k = bisect_left(places, j, low, high)
+            if k < high:
+                to = places[k]
+                found.append((at, to, n))
+                left.append((i, at, j, to))
+                i, j = at + n, to + n
+    left.append((i, ahi, j, bhi))
+    kept = np.concatenate([np.delete(parts, np.unique(own), axis=0), np.array(left)])
+    return kept[(kept[:, 0] < kept[:, 1]) & (kept[:, 2] < kept[:, 3])]
+
+
+def changes(a: str, b: str) -> tuple[float, list[dict]]:
+    """difflib's ratio of two texts and its operations other than equal."""
+    out, i, j, same = [], 0, 0, 0
+    for at, to, n in [*matching_blocks(a, b), (len(a), len(b), 0)]:
+        if i < at or j < to:
+            out.append({"op": "replace" if i < at and j < to else "delete" if i < at else "insert", "a0": i, "a1": at, "b0": j, "b1": to})
+        i, j, same = at + n, to + n, same + n
+    return 2.0 * same / (len(a) + len(b)) if a or b else 1.0, out
 
 
 @F.pandas_udf(T.StructType([T.StructField("ratio", T.DoubleType()), T.StructField("spans", T.ArrayType(SPAN))]))
@@ -69,9 +136,9 @@ def compare(anchor: pd.Series, proposed: pd.Series) -> pd.DataFrame:
     """[G5, M6] character-level similarity and changed spans; no built-in function aligns two texts."""
     ratio, spans = [], []
     for a, b in zip(anchor, proposed):
-        m = Aligned(a or "", b or "")
-        ratio.append(m.ratio())
-        spans.append([{"op": op, "a0": a0, "a1": a1, "b0": b0, "b1": b1} for op, a0, a1, b0, b1 in m.get_opcodes() if op != "equal"])
+        r, s = changes(a or "", b or "")
+        ratio.append(r)
+        spans.append(s)
     return pd.DataFrame({"ratio": ratio, "spans": spans})
 
 

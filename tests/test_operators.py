@@ -197,6 +197,19 @@ def test_diff_spans_takes_every_document(spark, monkeypatch):
     assert {r.doc_id: (r.ratio, r.n_spans) for r in catalog.QUERIES["diff_spans"](spark, "").collect()} == want
 
 
+def test_matching_blocks_equal_difflib():
+    r = random.Random(3)
+    some = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    pairs = [(some(s, r.randrange(80)), some(s, r.randrange(80))) for s in ("a", "ab", "abc", "abcdefgh", "a\U0001f600\ud800") for _ in range(40)]
+    long = some("abcdef ", 700)
+    pairs += [(long, long[:200] + "x" + long[203:500] + long[450:]), (long, long * 2), (long, long), (long, ""), ("a" * 300, "a" * 200 + "b" + "a" * 90)]
+    for a, b in pairs:
+        m = difflib.SequenceMatcher(a=a, b=b, autojunk=False)
+        assert proposals.matching_blocks(a, b) == [tuple(x) for x in m.get_matching_blocks() if x.size]
+        ratio, spans = proposals.changes(a, b)
+        assert ratio == m.ratio() and [tuple(x.values()) for x in spans] == [o for o in m.get_opcodes() if o[0] != "equal"]
+
+
 def test_store(spark, tmp_path):
     s = store.Store(spark, str(tmp_path / "s"), "id bigint, name string")
     assert s.read().count() == 0 and s.next_id == 1
