@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ from lodestone.plans.shared import materialise, shared_dir, text_batches
 
 #: Blocks that a query scores first, and room for rounding where scores are compared with bounds.
 FIRST, SLACK = 2, 2e-6
+#: Queries that meet a block's lists in one group.
+QUERIES = 4096
 WORD = re.compile("[a-z0-9]+")
 
 
@@ -105,18 +108,48 @@ def bounds(index: LexicalIndex, asked: DataFrame) -> DataFrame:
     return tops.groupBy("qid", "block").agg(F.sum(F.greatest(F.col("weight") * F.col("top"), F.lit(0.0))).alias("bound"))
 
 
-def scores(index: LexicalIndex, asked: DataFrame, visits: DataFrame, digits: int = 6) -> DataFrame:
-    """qid, cid, score above 0 in the visited blocks (qid, block)."""
-    held = asked.join(visits.select("qid", "block"), "qid").join(index.lists.select("word", "block", "cids", "impacts"), ["word", "block"])
-    entries = held.select("qid", "weight", F.explode(F.arrays_zip("cids", "impacts")).alias("e")).select("qid", F.col("e.cids").alias("cid"), (F.col("weight") * F.col("e.impacts")).alias("part"))
-    return entries.groupBy("qid", "cid").agg(F.round(F.sum("part"), digits).alias("score")).where("score > 0")
+def scores(index: LexicalIndex, asked: DataFrame, visits: DataFrame, n: int, digits: int = 6) -> DataFrame:
+    """qid, cid, score above 0 of each query's ``n`` best chunks in every block that it visits (qid, block), ties to the smaller id. A
+    block adds its lists up in its task and passes on ``n`` rows for a query, so hits are not shuffled."""
+    parts = -(-asked.select("qid").distinct().count() // QUERIES) or 1
+    part = F.pmod(F.xxhash64("qid"), F.lit(parts)).cast("int")
+    unit = 10.0**digits
+
+    def best(a: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(a) and len(held):
+            sizes = held.cids.map(len).to_numpy()
+            cids, code = np.unique(np.concatenate(held.cids.to_list()), return_inverse=True)
+            ends = np.cumsum(sizes)
+            place = {w: (code[e - s : e], impacts) for w, s, e, impacts in zip(held.word, sizes, ends, held.impacts)}
+            for qid, words, weights in zip(a.qid.tolist(), a.words, a.weights):
+                sums = np.zeros(len(cids))
+                for w, weight in zip(words, weights):
+                    if w in place:
+                        at, impacts = place[w]
+                        sums[at] += weight * impacts
+                sums = np.floor(sums * unit + 0.5) / unit
+                at = np.flatnonzero(sums > 0)
+                if len(at) > n:
+                    at = at[sums[at] >= np.partition(sums[at], len(at) - n)[len(at) - n]]
+                at = at[np.argsort(-sums[at], kind="stable")][:n]  # ids are in order
+                out += zip([qid] * len(at), cids[at].tolist(), sums[at].tolist())
+        return pd.DataFrame(out, columns=["qid", "cid", "score"])
+
+    terms = asked.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("word", "weight"))).alias("terms"))
+    asks = terms.join(visits.select("qid", "block"), "qid").select("block", part.alias("part"), "qid", F.col("terms.word").alias("words"), F.col("terms.weight").alias("weights"))
+    wanted = index.lists.join(asked.select("word").distinct(), "word", "left_semi").join(visits.select("block").distinct(), "block", "left_semi")
+    held = wanted.select("block", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "word", "cids", "impacts")
+    keys = ["block", "part"]
+    schema = f"qid {kind(asked, 'qid')}, cid {index.lists.schema['cids'].dataType.elementType.simpleString()}, score double"
+    return asks.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(best, schema)
 
 
 def plan(index: LexicalIndex, queries: DataFrame, n: int, first: int = FIRST) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """The weights, all bounds, the hits of the first blocks and the blocks that those do not rule out."""
     asked = materialise(asked_of(index, queries), "asked")
     ranked = materialise(bounds(index, asked).withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("bound"), "block")) - 1), "bounds")
-    found = materialise(scores(index, asked, ranked.where(F.col("place") < first)), "first-scores")
+    found = materialise(scores(index, asked, ranked.where(F.col("place") < first), n), "first-scores")
     least = top_per(found, ["qid"], [F.desc("score"), "cid"], n, "at").where(F.col("at") == n - 1).select("qid", F.col("score").alias("least"))
     rest = ranked.where(F.col("place") >= first).join(least, "qid", "left").where(F.col("bound") >= F.coalesce("least", F.lit(0.0)) - SLACK)
     return asked, ranked, found, rest
@@ -125,7 +158,7 @@ def plan(index: LexicalIndex, queries: DataFrame, n: int, first: int = FIRST) ->
 def search(index: LexicalIndex, queries: DataFrame, n: int, first: int = FIRST) -> DataFrame:
     """[R2] qid, cid, score, lex_rank of each query's n best chunks with a score above 0, ties to the smaller id."""
     asked, _, found, rest = plan(index, queries, n, first)
-    return top_per(found.union(scores(index, asked, rest)), ["qid"], [F.desc("score"), "cid"], n, "lex_rank")
+    return top_per(found.union(scores(index, asked, rest, n)), ["qid"], [F.desc("score"), "cid"], n, "lex_rank")
 
 
 def skipped(index: LexicalIndex, queries: DataFrame, n: int, first: int = FIRST) -> DataFrame:

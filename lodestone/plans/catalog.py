@@ -143,9 +143,10 @@ SELECT qid, cid, sim, fused, rank FROM r WHERE rank < 8""")
 def hybrid_rrf(spark, sf):
     v = _vectors(spark, sf)
     q = _benchmark_queries(spark, sf).join(v.select(F.col("vec_id").alias("qid"), F.col("v").alias("qvec")), "qid")
-    c = _document_chunks(spark, sf).join(v.select(F.col("vec_id").alias("cid"), F.col("v").alias("cvec")), "cid", "left")
-    near = retrieval.dense(q.select("qid", "qvec"), c.where("cvec is not null").select("cid", "cvec"), 24)
-    return retrieval.fuse(near, retrieval.bm25(_benchmark_queries(spark, sf), c.select("cid", "text"), 8), 8, 0.1)
+    chunks = _document_chunks(spark, sf)
+    c = chunks.select("cid").join(v.select(F.col("vec_id").alias("cid"), F.col("v").alias("cvec")), "cid").where("cvec is not null")
+    near = retrieval.dense(q.select("qid", "qvec"), c, 24)
+    return retrieval.fuse(near, retrieval.bm25(_benchmark_queries(spark, sf), chunks, 8), 8, 0.1)
 
 
 NORMAL = "trim(regexp_replace({}, '[\\s\\x{{A0}}]+', ' ', 'g'))"

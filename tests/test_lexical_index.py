@@ -56,6 +56,22 @@ def test_search_is_okapi(spark, corpus, batch, n):
     assert all(abs(g[3] - w[3]) < 1e-5 for g, w in zip(got, sorted(want)))
 
 
+def test_a_block_passes_on_the_best_only(spark, corpus, monkeypatch):
+    rows, asked = corpus
+    index = lexical_index.build(spark.createDataFrame(rows, "cid bigint, text string"))
+    q = lexical_index.asked_of(index, spark.createDataFrame(asked, "qid int, text string"))
+    visits = lexical_index.bounds(index, q).select("qid", "block")
+    for parts in (4096, 1):  # all queries in one group, and one in each
+        monkeypatch.setattr(lexical_index, "QUERIES", parts)
+        got = lexical_index.scores(index, q, visits, 2)
+        assert got.count() <= 2 * visits.count()
+        best = {x.qid: x.score for x in got.groupBy("qid").agg(F.max("score").alias("score")).collect()}
+        want = {}
+        for w in okapi(asked, rows, 1):
+            want[w[0]] = w[3]
+        assert best.keys() == want.keys() and all(abs(best[k] - want[k]) < 1e-5 for k in best)
+
+
 def test_index_is_persisted_and_skips_blocks(spark, corpus, tmp_path):
     rows, asked = corpus
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
