@@ -3,17 +3,21 @@
 from __future__ import annotations
 
 from html.parser import HTMLParser
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import format_table, likely_header, strip_glyphs, strip_section_prefix, trimmed, verbatim_span, word_count
-from lodestone.plans.shared import materialise, release
+from lodestone.plans.shared import materialise, release, text_batches
 
 MIN_WORDS, MAX_WORDS = 100, 350
 #: Consecutive places that one task sums, and lines of a document that are grouped in its row.
 BLOCK_ROWS, LONG_LINES = 100_000, 5000
+#: Pages whose blocks a Python worker holds at a time.
+PAGES = 50
 
 
 class Blocks(HTMLParser):
@@ -65,20 +69,26 @@ class Blocks(HTMLParser):
 
 
 def page_blocks(pages: DataFrame) -> DataFrame:
-    """[S8] page_id, i, kind, text of every block; an unparsable or null page has none. A parser is needed, so this runs in Arrow batches."""
+    """[S8] page_id, i, kind, text of every block; an unparsable or null page has none. A parser is needed, so this runs in Arrow
+    batches, of few pages as these are texts; a batch's blocks are passed on some pages at a time."""
+    text_batches(pages.sparkSession)
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string()]
 
     def run(batches):
-        for pdf in batches:
-            rows = []
-            for pid, html in zip(pdf.page_id, pdf.html):
-                p = Blocks()
-                p.feed(html or "")
-                p.close()
-                p.flush()
-                rows += [(pid, i, kind, text) for i, (kind, text) in enumerate(p.blocks)]
-            yield pd.DataFrame(rows, columns=["page_id", "i", "kind", "text"]).astype({"i": "int64"})
-
-    return pages.select("page_id", "html").mapInPandas(run, "page_id bigint, i bigint, kind string, text string")
+        for b in batches:
+            for at in range(0, b.num_rows, PAGES):
+                out: list[list] = [[] for _ in types]
+                for pid, html in zip(*(b.column(c).slice(at, PAGES).to_pylist() for c in (0, 1))):
+                    p = Blocks()
+                    p.feed(html or "")
+                    p.close()
+                    p.flush()
+                    for i, (kind, text) in enumerate(p.blocks):
+                        for col, v in zip(out, (pid, i, kind, text)):
+                            col.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names=["page_id", "i", "kind", "text"])
+
+    return pages.select(F.col("page_id").cast("bigint").alias("page_id"), "html").mapInArrow(run, "page_id bigint, i bigint, kind string, text string")
 
 
 def groups_of_words(sizes, most: int = MAX_WORDS):
@@ -240,36 +250,57 @@ def section_chunks(paragraphs: DataFrame, known: list[str]) -> DataFrame:
     headed = paragraphs.withColumn("header", F.when(likely_header(first, known), first))
     carried = headed.withColumn("section", F.coalesce(F.last("header", ignorenulls=True).over(Window.partitionBy("doc_id").orderBy("page", "n")), F.lit("Introduction")))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold(doc_id, rows: list[dict]) -> list[tuple]:
         out: list[list] = []
-        for page, rows in pdf.sort_values(["page", "n"]).groupby("page", sort=True):
-            held, section = "", None
-            size = lambda t: len(t.split())
-            for text, header, now in zip(rows.text, rows.header, rows.section):
-                if header is not None and size(held) >= MIN_WORDS:
-                    out.append([held, page, section])
-                    held = ""
-                section = now
-                both = f"{held}\n\n{text}" if held else text
-                if size(both) <= MAX_WORDS:
-                    held = both
+        size = lambda t: len(t.split())
+        for page, here in groupby(rows, lambda r: r["page"]):
+            # what is held is kept as pieces with their words counted, so a line is split once
+            held, words, section = [], 0, None
+            for r in here:
+                text = r["text"]
+                if r["header"] is not None and words >= MIN_WORDS:
+                    out.append(["".join(held), page, section])
+                    held, words = [], 0
+                section = r["section"]
+                more = size(text)
+                if words + more <= MAX_WORDS:
+                    # an empty buffer takes the text as it is
+                    held += ["\n\n", text] if any(held) else [text]
+                    words += more
                     continue
-                if size(held) >= MIN_WORDS:
-                    out.append([held, page, section])
+                if words >= MIN_WORDS:
+                    out.append(["".join(held), page, section])
                     both = text
-                held = ""
+                else:
+                    both = "".join([*held, "\n\n", text] if any(held) else [text])
+                rest, words = "", 0
                 for s in both.replace(". ", ".\n").split("\n"):
-                    if held and size(held) + size(s) > MAX_WORDS:
-                        out.append([held, page, section])
-                        held = s
+                    more = size(s)
+                    if rest and words + more > MAX_WORDS:
+                        out.append([rest, page, section])
+                        rest, words = s, more
                     else:
-                        held = f"{held} {s}".strip()
-            if held.strip():
-                if size(held) < MIN_WORDS and out and out[-1][1] == page:
-                    out[-1][0] += "\n\n" + held
+                        rest, words = f"{rest} {s}".strip(), words + more
+                held = [rest]
+            last = "".join(held)
+            if last.strip():
+                if words < MIN_WORDS and out and out[-1][1] == page:
+                    out[-1][0] += "\n\n" + last
                 else:
-                    out.append([held, page, section])
-        rows = [(pdf.doc_id.iloc[0], i, p, s, t if t.startswith(s) else f"[{s}]\n\n{t}") for i, (t, p, s) in enumerate(out)]
-        return pd.DataFrame(rows, columns=["doc_id", "n", "page", "section_title", "text"])
+                    out.append([last, page, section])
+        return [(doc_id, i, p, s, t if t.startswith(s) else f"[{s}]\n\n{t}") for i, (t, p, s) in enumerate(out)]
 
-    return carried.groupBy("doc_id").applyInPandas(fold, "doc_id bigint, n bigint, page bigint, section_title string, text string")
+    names, types = ["doc_id", "n", "page", "section_title", "text"], [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+
+    def run(batches):
+        for b in batches:
+            for doc_id, rows in zip(b.column(0).to_pylist(), b.column(1)):
+                found = fold(doc_id, rows.as_py())
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], names=names)
+
+    # a document is a row: a group of its own would cost Python more than the fold does
+    text_batches(paragraphs.sparkSession)
+    rows = F.array_sort(F.collect_list(F.struct("page", "n", F.coalesce("text", F.lit("")).alias("text"), "header", "section")))
+    docs = carried.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(rows.alias("rows"))
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, page bigint, section_title string, text string")
