@@ -15,7 +15,7 @@ from lodestone.functions import vector
 from lodestone.functions.records import histogram
 from lodestone.functions.text import member_key
 from lodestone.operators import vector_index
-from lodestone.operators.retrieval import block_cosines, blocks_of
+from lodestone.operators.retrieval import STRIP, blocks_of, cosine_strips
 from lodestone.plans.components import components
 from lodestone.plans.numbering import numbered
 from lodestone.plans.shared import materialise, release
@@ -23,19 +23,18 @@ from lodestone.plans.shared import materialise, release
 
 def vector_blocks(vectors: DataFrame, *more: str) -> DataFrame:
     """``vectors`` (id, vec and ``more``) dealt to pairs of blocks _i <= _j; _side is 0 on the left, 1 on the right, 2 where both blocks are one."""
-    n = blocks_of(vectors)
+    n = blocks_of(vectors, wide=True)
     own = vectors.select("id", "vec", *more, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other"))
     side = F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1)
     return own.select("id", "vec", *more, F.least("own", "other").alias("_i"), F.greatest("own", "other").alias("_j"), side.alias("_side"))
 
 
-def similar(block: pd.DataFrame, least: float):
-    """Ids, places of the left rows, and for each left row the places of right rows of a similarity of ``least`` or more."""
+def similar(block: pd.DataFrame):
+    """Sorted rows, places of the right rows, and an iterator of places of some left rows with their similarities to the right ones."""
     block = block.sort_values("id").reset_index(drop=True)
     side = block._side.to_numpy()
     left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    sims = block_cosines(block.vec.iloc[left], block.vec.iloc[right])
-    return block.id.to_numpy(), left, right, sims, sims >= least
+    return block, right, ((left[at : at + len(s)], s) for at, s in cosine_strips(block.vec.iloc[left], block.vec.iloc[right]))
 
 
 def dealt(vectors: DataFrame, least: float, pruned: bool) -> DataFrame:
@@ -47,10 +46,13 @@ def similar_pairs(vectors: DataFrame, least: float, pruned: bool = False) -> Dat
     """[J9] i < j with sim >= ``least``. ``vectors``: id, vec. As many rows as there are such pairs."""
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        ids, left, right, sims, near = similar(block, least)
-        x, y = np.nonzero(near & (left[:, None] != right[None, :]) & ((block._side.iloc[0] != 2) | (left[:, None] < right[None, :])))
-        a, b = ids[left[x]], ids[right[y]]
-        return pd.DataFrame({"i": np.minimum(a, b), "j": np.maximum(a, b), "sim": sims[x, y]})
+        block, right, strips = similar(block)
+        ids, found = block.id.to_numpy(), [pd.DataFrame({"i": [], "j": [], "sim": []}).astype({"i": "int64", "j": "int64"})]
+        for left, sims in strips:
+            x, y = np.nonzero((sims >= least) & (left[:, None] != right[None, :]) & ((block._side.iloc[0] != 2) | (left[:, None] < right[None, :])))
+            a, b = ids[left[x]], ids[right[y]]
+            found.append(pd.DataFrame({"i": np.minimum(a, b), "j": np.maximum(a, b), "sim": sims[x, y]}))
+        return pd.concat(found, ignore_index=True)
 
     return dealt(vectors, least, pruned).groupBy("_i", "_j").applyInPandas(run, "i bigint, j bigint, sim double")
 
@@ -59,10 +61,11 @@ def joining_pairs(vectors: DataFrame, least: float, pruned: bool = False) -> Dat
     """a, b: enough similar pairs to join what all of them join; a block gives at most one for each row."""
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        ids, left, right, _, near = similar(block, least)
+        block, right, strips = similar(block)
+        ids = block.id.to_numpy()
         group, found = np.arange(len(ids)), []
-        for i, row in zip(left.tolist(), near):
-            j = right[row]
+        for i, row in ((i, row) for left, sims in strips for i, row in zip(left.tolist(), sims)):
+            j = right[row >= least]
             other, first = np.unique(group[j], return_index=True)
             new = other != group[i]
             found += [(ids[i], ids[k]) for k in j[first[new]].tolist()]
@@ -88,16 +91,31 @@ def nearest(clusters: DataFrame, least: float) -> DataFrame:
         ids, side, n = block.id.to_numpy(), block._side.to_numpy(), block.n.to_numpy(dtype=float)
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         v = np.array(block.vec.tolist(), dtype=float).reshape(len(block), -1)
-        sims = np.round(v[left] @ v[right].T / np.outer(n[left], n[right]), 12)
-        sims[left[:, None] == right[None, :]] = -np.inf
-        out = []
-        for own, others, s in ((left, right, sims),) if side[0] == 2 else ((left, right, sims), (right, left, sims.T)):
-            if len(own) and len(others):
-                best = s.argmax(axis=1)  # the first of equals has the smallest id
-                top = s[np.arange(len(own)), best]
-                good = top >= least
-                out.append(pd.DataFrame({"c": ids[own][good], "other": ids[others[best]][good], "sim": top[good]}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"c": [], "other": [], "sim": []}).astype({"c": "int64", "other": "int64"})
+        top, to = np.full(len(block), -np.inf), np.zeros(len(block), dtype=int)
+
+        def offer(own, best, sims):  # of equals the first stays, which has the smallest id
+            more = sims > top[own]
+            top[own[more]], to[own[more]] = sims[more], best[more]
+
+        # a pair is computed once, for both of its clusters, some left rows at a time
+        for at in range(0, len(left), STRIP):
+            some = left[at : at + STRIP]
+            others = right[at:] if side[0] == 2 else right
+            if not len(others):
+                break
+            s = np.round(v[some] @ v[others].T / np.outer(n[some], n[others]), 12)
+            k = len(some) if side[0] == 2 else 0
+            if k:
+                upper = np.triu(s[:, :k], 1)
+                s[:, :k] = upper + upper.T
+                np.fill_diagonal(s[:, :k], -np.inf)
+            best = s.argmax(axis=1)
+            offer(some, others[best], s[np.arange(len(some)), best])
+            if k < len(others):
+                best = s[:, k:].argmax(axis=0)
+                offer(others[k:], some[best], s[:, k:][best, np.arange(len(others) - k)])
+        good = np.flatnonzero(top >= least)
+        return pd.DataFrame({"c": ids[good], "other": ids[to[good]], "sim": top[good]})
 
     found = vector_blocks(clusters, "n").groupBy("_i", "_j").applyInPandas(run, "c bigint, other bigint, sim double")
     best = found.groupBy("c").agg(F.max(F.struct("sim", (-F.col("other")).alias("other"))).alias("b"))

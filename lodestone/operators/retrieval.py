@@ -6,7 +6,7 @@ keeps only what can matter outside it (a query's best chunks, a corpus's best sc
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,31 +16,56 @@ from pyspark.sql import functions as F
 from lodestone.operators.lexical_index import bm25
 from lodestone.plans.ranking import kind, top_per
 
-#: Rows of each side of a block of comparisons.
-BLOCK = 4096
+#: Rows of each side of a block of comparisons, and left rows whose similarities are held at a time.
+BLOCK, STRIP = 4096, 256
+#: Blocks of a side that meets itself, and rows of one, before there are more.
+FEW, WIDE = 8, 32768
 
 
-def block_cosines(left: pd.Series, right: pd.Series, digits: int | None = None) -> np.ndarray:
-    """[M2] cosine of every left with every right vector; 0 for null and empty ones, unequal lengths, zero norms and
-    components that are not finite."""
-    out = np.zeros((len(left), len(right)))
-    size = lambda s: np.array([0 if v is None else len(v) for v in s], dtype=int)
-
-    def units(side: pd.Series, at: np.ndarray) -> np.ndarray:
-        m = np.array([side.iloc[i] for i in at.tolist()], dtype=float)
-        m[~np.isfinite(m).all(axis=1)] = 0
-        length = np.sqrt((m * m).sum(axis=1, keepdims=True))
-        return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
-
-    sl, sr = size(left), size(right)
+def _sizes(side) -> np.ndarray:
+    return np.array([0 if v is None else len(v) for v in side], dtype=int)
+
+
+def _units(side: pd.Series, at: np.ndarray) -> np.ndarray:
+    """Unit vectors of the rows ``at``, of one length; zeros for zero norms and components that are not finite."""
+    m = np.array([side.iloc[i] for i in at.tolist()], dtype=float)
+    m[~np.isfinite(m).all(axis=1)] = 0
+    length = np.sqrt((m * m).sum(axis=1, keepdims=True))
+    return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
+
+
+def cosine_strips(left: pd.Series, right: pd.Series, digits: int | None = None, rows: int | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """[M2] place of the first row and cosines with every right vector of some left rows at a time, so no whole block of them is
+    held; 0 for null and empty ones, unequal lengths, zero norms and components that are not finite."""
+    rows = rows or STRIP
+    sl, sr = _sizes(left), _sizes(right)
+    sides = []
     for n in (set(sl.tolist()) & set(sr.tolist())) - {0}:
         i, j = np.flatnonzero(sl == n), np.flatnonzero(sr == n)
-        out[np.ix_(i, j)] = units(left, i) @ units(right, j).T
-    return out if digits is None else np.round(out, digits)
+        sides.append((i, j, _units(left, i), _units(right, j)))
+    for at in range(0, len(left), rows):
+        out = np.zeros((min(rows, len(left) - at), len(right)))
+        for i, j, u, v in sides:
+            low, high = np.searchsorted(i, [at, at + rows])
+            if len(j) == len(right):
+                out[i[low:high] - at] = u[low:high] @ v.T
+            else:
+                out[np.ix_(i[low:high] - at, j)] = u[low:high] @ v.T
+        yield at, out if digits is None else np.round(out, digits, out=out)
 
 
-def blocks_of(df: DataFrame, rows: int | None = None) -> int:
-    return max(1, -(-df.count() // (rows or BLOCK)))
+def block_cosines(left: pd.Series, right: pd.Series, digits: int | None = None) -> np.ndarray:
+    """[M2] all of ``cosine_strips`` at once."""
+    strips = [s for _, s in cosine_strips(left, right, digits)]
+    return np.concatenate(strips) if strips else np.zeros((0, len(right)))
+
+
+def blocks_of(df: DataFrame, wide: bool = False) -> int:
+    """Blocks of BLOCK rows. With ``wide``, for a side that meets itself, where a row is sent once for each block: no more than FEW
+    while they have at most WIDE rows, so that less is sent."""
+    count = df.count()
+    fine = max(1, -(-count // BLOCK))
+    return min(fine, max(FEW, -(-count // WIDE))) if wide else fine
 
 
 def by_blocks(queries: DataFrame, chunks: DataFrame, run: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -60,13 +85,13 @@ def dense(queries: DataFrame, chunks: DataFrame, n: int, digits: int = 6) -> Dat
 
     def best(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         order = np.argsort(c.cid.to_numpy(), kind="stable")  # places then rank ids, for ties
-        cid, sims = c.cid.to_numpy()[order], block_cosines(q.qvec, c.cvec.iloc[order], digits)
-        rows = []
-        for qid, s in zip(q.qid.tolist(), sims):
-            least = np.partition(s, len(s) - n)[len(s) - n] if len(s) > n else -np.inf
-            at = np.flatnonzero(s >= least)
-            at = at[np.argsort(-s[at], kind="stable")][:n]
-            rows += zip([qid] * len(at), cid[at].tolist(), s[at].tolist())
+        cid, rows, qids = c.cid.to_numpy()[order], [], q.qid.tolist()
+        for start, sims in cosine_strips(q.qvec, c.cvec.iloc[order], digits):
+            for qid, s in zip(qids[start:], sims):
+                least = np.partition(s, len(s) - n)[len(s) - n] if len(s) > n else -np.inf
+                at = np.flatnonzero(s >= least)
+                at = at[np.argsort(-s[at], kind="stable")][:n]
+                rows += zip([qid] * len(at), cid[at].tolist(), s[at].tolist())
         return pd.DataFrame(rows, columns=["qid", "cid", "sim"])
 
     found = by_blocks(queries, chunks.select("cid", "cvec"), best, f"qid {kind(queries, 'qid')}, cid {kind(chunks, 'cid')}, sim double")
@@ -80,10 +105,13 @@ def best_by_corpus(queries: DataFrame, chunks: DataFrame, digits: int = 6) -> Da
     def best(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for corpus, part in c.groupby("corpus"):
-            sims = block_cosines(q.qvec, part.cvec, digits)
-            sims[q.qid.to_numpy()[:, None] == part.cid.to_numpy()[None, :]] = np.nan
-            at = np.flatnonzero(~np.isnan(sims).all(axis=1))
-            rows += zip(q.qid.to_numpy()[at].tolist(), [corpus] * len(at), np.nanmax(sims[at], axis=1).tolist())
+            cid = part.cid.to_numpy()
+            for start, sims in cosine_strips(q.qvec, part.cvec, digits):
+                qid = q.qid.to_numpy()[start : start + len(sims)]
+                sims[qid[:, None] == cid[None, :]] = -np.inf
+                top = sims.max(axis=1)
+                at = np.flatnonzero(top > -np.inf)
+                rows += zip(qid[at].tolist(), [corpus] * len(at), top[at].tolist())
         return pd.DataFrame(rows, columns=["qid", "corpus", "sim"])
 
     return by_blocks(queries, chunks.select("cid", "corpus", "cvec"), best, f"qid {kind(queries, 'qid')}, corpus string, sim double")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import lexical_index, retrieval
-from lodestone.plans.shared import TEXT_BATCH_ROWS
+from lodestone.plans.shared import TEXT_BATCH_ROWS, materialise
 
 
 def okapi(queries, chunks, n):
@@ -60,7 +60,7 @@ def test_a_block_passes_on_the_best_only(spark, corpus, monkeypatch):
     rows, asked = corpus
     index = lexical_index.build(spark.createDataFrame(rows, "cid bigint, text string"))
     q = lexical_index.asked_of(index, spark.createDataFrame(asked, "qid int, text string"))
-    visits = lexical_index.bounds(index, q).select("qid", "block")
+    visits = materialise(lexical_index.bounds(index, q).select("qid", "block"), "visits")
     for parts in (4096, 1):  # all queries in one group, and one in each
         monkeypatch.setattr(lexical_index, "QUERIES", parts)
         got = lexical_index.scores(index, q, visits, 2)

@@ -5,6 +5,7 @@ import random
 from datetime import datetime, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -287,6 +288,42 @@ def test_section_chunks(spark):
     assert all(len(r.text.split()) <= 360 for r in got) and sum(r.text.count("word") for r in got) == 120 + 30 + 450
 
 
+def test_sections_fold_a_document_a_row(spark):
+    w = lambda n, c="w": " ".join([c] * n)
+    rows = [(1, 1, i, t) for i, t in enumerate(["", w(90), " ", "2. Next", w(20, "b"), f"{w(200)}. {w(180, 'c')}", w(60), "3. Last", w(5)])] + [(1, 2, 0, w(3, "d")), (2, 1, 0, " ")]
+    found = ingest.section_chunks(spark.createDataFrame(rows, "doc_id bigint, page bigint, n bigint, text string"), [])
+    assert "FlatMapGroupsInPandas" not in found._jdf.queryExecution().executedPlan().toString()
+    got = found.orderBy("doc_id", "n").collect()
+    words = {c: sum(r.text.split().count(c) for r in got) for c in "wbcd"}
+    assert words == {"w": 355, "b": 20, "c": 180, "d": 3} and {(r.doc_id, r.page) for r in got} == {(1, 1), (1, 2)}
+
+
+def test_pages_go_to_python_a_few_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(ingest, "PAGES", 3)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, "10000")
+    pages = spark.createDataFrame([(i, f"<h1>T{i}</h1><p>a {i}</p><p>b</p>" if i % 4 else None) for i in range(40)], "page_id bigint, html string")
+    got = ingest.page_blocks(pages)
+    assert int(spark.conf.get(key)) <= 500
+    assert sorted((r.page_id, r.i, r.kind, r.text) for r in got.collect()) == sorted((i, n, k, t) for i in range(40) if i % 4 for n, (k, t) in enumerate([("heading", f"T{i}"), ("paragraph", f"a {i}"), ("paragraph", "b")]))
+
+
+def test_similarities_are_held_in_strips():
+    r = np.random.default_rng(1)
+    left = pd.Series([None if i % 50 == 7 else r.normal(size=3 if i % 40 == 5 else 8) for i in range(700)])
+    right = pd.Series([r.normal(size=3 if i % 30 == 2 else 8) for i in range(90)])
+    strips = list(retrieval.cosine_strips(left, right))
+    assert all(len(s) <= retrieval.STRIP for _, s in strips) and [at for at, _ in strips] == list(range(0, 700, retrieval.STRIP))
+    want = [[0.0 if a is None or len(a) != len(b) else a @ b / np.linalg.norm(a) / np.linalg.norm(b) for b in right] for a in left]
+    assert np.allclose(np.concatenate([s for _, s in strips]), want)
+
+
+def test_a_side_that_meets_itself_has_few_blocks(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK", 10)
+    monkeypatch.setattr(retrieval, "WIDE", 50)
+    assert [retrieval.blocks_of(spark.range(n), wide=True) for n in (0, 30, 80, 300, 1000)] == [1, 3, 8, 8, 20] and retrieval.blocks_of(spark.range(300)) == 30
+
+
 def test_sessions_and_streams(spark, tmp_path):
     m = spark.createDataFrame([(1, t, "user", "x" * 400) for t in range(10)], "conv_id bigint, turn bigint, role string, text string")
     assert sorted(r.turn for r in sessions.history(m, context=612 + 360).collect()) == [7, 8, 9]
