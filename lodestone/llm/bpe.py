@@ -1,4 +1,7 @@
-"""Byte-level BPE by the ``tokenizers`` library over Arrow batches.
+"""Byte-level BPE by the ``tokenizers`` and ``tiktoken`` libraries over Arrow batches.
+
+Where a vocabulary's merge list and the ranks of its tokens provably give the same ids, a text of the usual characters goes
+to the rank coder, which merges short words faster than they can be looked up. All others go the following way.
 
 A text is cut before each space or line break that a non-space character follows. The public split pattern leaves the
 last character of a run of white space to what follows, so a match always ends there, whatever stands before; the ids of
@@ -10,7 +13,10 @@ from __future__ import annotations
 
 import base64
 import contextlib
+import json
+import re
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,6 +32,14 @@ HELD = r"^\n?$|^\n?[\x09-\x0d\x1c-\x20\x{85}\pZ]"
 TAIL = ".,;:!?%&$#*|"
 #: The same with the white space that ends most runs of parts.
 RUN_TAIL = TAIL + " \n"
+#: The byte-level split pattern without its look-ahead, for texts whose longer runs of white space are cut out; characters whose classes are the same in all versions of Unicode, two characters of white space among them, and where a long text may be cut (fixed values).
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"""
+UNUSUAL = r"[^\x00-\x{24f}\x{2010}-\x{2027}\x{20ac}]"
+GAP = r"[\t-\r \x{85}\x{a0}]{2}"
+GAPS = re.compile("[\t-\r \x85\xa0]{2,}")
+CUT = re.compile(r"[ \n](?=\S)")
+#: Characters that the rank coder gets at a time.
+SPAN_CHARS = 500_000
 
 
 @lru_cache(maxsize=1)
@@ -94,6 +108,46 @@ def encode_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[p] for p in parts]
 
 
+def ranks_of(path: str, bare) -> dict[bytes, int] | None:
+    """Tokens of a tokenizers JSON file by id, if merging by the rank of the result gives the ids of its merge list; else None.
+
+    Two conditions make them equal: each result has one pair, and ids rise along the list; and each token is what its own
+    bytes are merged to. Bytes between two token borders are merged as if they stood alone, so two neighbours that join
+    to a token are the listed pair: any other pair would be what the token's bytes had become.
+    """
+    with open(path, encoding="utf-8") as f:
+        whole = json.load(f)
+    model, split, table = whole["model"], whole["pre_tokenizer"] or {}, byte_table()
+    vocab = model.get("vocab") or {}
+    plain = model["type"] == "BPE" and whole["normalizer"] is None and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback"))
+    own = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space", True)
+    if not plain or not own or not all(x["special"] for x in whole["added_tokens"]) or not table.keys() <= vocab.keys():
+        return None
+    ids = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
+    merged = [t for t in vocab if len(t) > 1]
+    if ids != sorted(set(ids)) or len(ids) != len(merged) or not all(c in table for t in vocab for c in t):
+        return None
+    if bare.encode_batch_fast([merged], is_pretokenized=True, add_special_tokens=False)[0].ids != [vocab[t] for t in merged]:
+        return None
+    return {bytes(table[c] for c in t): i for t, i in vocab.items()}
+
+
+def spans(text: str, gaps: bool) -> Iterator[str]:
+    """A text of usual characters in parts that PATTERN splits as the whole pattern splits the text. With ``gaps``, of a run of
+    white space all but the last character stand alone, or all of it at the text's end."""
+    at = 0
+    while at < len(text):
+        cut = CUT.search(text, at + SPAN_CHARS) if len(text) - at > SPAN_CHARS else None
+        end = cut.start() if cut else len(text)
+        for m in GAPS.finditer(text, at, end) if gaps else ():
+            stop = m.end() - (m.end() < end)
+            yield text[at : m.start()]
+            yield text[m.start() : stop]
+            at = stop
+        yield text[at:end]
+        at = end
+
+
 def trim() -> None:
     """Give freed memory back, where the C library can."""
     import ctypes
@@ -114,7 +168,7 @@ class Coder:
         from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
         self.ranks: dict[bytes, int] | None = None
-        self.periodic = None
+        self.periodic = self.by_rank = None
         if path.endswith(".tiktoken"):
             self.ranks = read_ranks(path)
             chars = char_of_byte()
@@ -133,6 +187,10 @@ class Coder:
             self.bytes_of = {i: bytes(table[c] for c in t) if all(c in table for c in t) else t.encode() for t, i in self.inner.get_vocab().items()}
         self.inner.encode_special_tokens = True
         self.bare = Tokenizer(self.inner.model)
+        if self.ranks is None and (ranks := ranks_of(path, self.bare)):
+            import tiktoken
+
+            self.by_rank = tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.by_id = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of) + 1)]
         self.alphabet = {i: c for i, c in enumerate(char_of_byte())}
         self.space = char_of_byte()[32]
@@ -278,6 +336,25 @@ class Coder:
         import pyarrow as pa
         import pyarrow.compute as pc
 
+        if self.by_rank is None:
+            return self._encode_parts(texts)
+        column = pa.array(texts, pa.large_string())
+        unusual, gaps = (pc.match_substring_regex(column, x).to_pylist() for x in (UNUSUAL, GAP))
+        del column
+        others = iter(self._encode_parts([t for t, x in zip(texts, unusual) if x]))
+        return [next(others) if x else self._encode_by_rank(t, g) for t, x, g in zip(texts, unusual, gaps)]
+
+    def _encode_by_rank(self, text: str, gaps: bool) -> np.ndarray:
+        ids = array("I")
+        for s in spans(text, gaps):
+            ids.extend(array("I", self.by_rank.encode_ordinary(s)))
+        return np.frombuffer(ids, dtype=np.uint32)
+
+    def _encode_parts(self, texts: list[str]) -> list[np.ndarray]:
+        """The same by the parts of texts, each looked up or given to the library."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
         if not texts:
             return []
         lines = pc.replace_substring(pa.array(["\n" + t for t in texts], pa.large_string()), "\n", " \n")

@@ -1,6 +1,7 @@
 """The dealt operators against brute force, round trips, held-out accuracy and the edge cases their docstrings state."""
 
 import hashlib
+import json
 import random
 import re
 import time
@@ -462,6 +463,49 @@ def test_bpe_equals_the_rank_coder(name, spark, sf):
     assert at[0] == 0 and char.max() <= 4 and (np.diff(char) >= 0).all()
 
 
+def library(c, texts):
+    return [x.ids for x in c.inner.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def test_rank_coder_gives_the_ids_of_the_library(monkeypatch):
+    c = bpe.coder(P.path("byte_bpe_50k.json"))
+    assert c.by_rank is not None and bpe.coder(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).by_rank is None
+    usual = [chr(i) for i in [*range(0x250), *range(0x2010, 0x2028), 0x20AC]]
+    texts = [a + x + b for x in usual for a in ("", " ", "a", "1", "-", "\n") for b in ("", " ", "b", "2", "_", "\n")]
+    assert [x.tolist() for x in c.encode(texts)] == library(c, texts)
+    rng = random.Random(12)
+    few = ["a", "e", "th", "ing", " ", "  ", "\n", "\n\n", "\t", "\x85", "\xa0", "\x1c", "é", "1", "'s", "'ll", "...", "—", "’", "€", "aaaa", "haha", "\r\n", "日本", "\u3000", "<|endoftext|>", "\x00"]
+    texts = ["".join(rng.choice(few) for _ in range(rng.randint(0, 60))) for _ in range(5000)] + ["".join(rng.choice("aeinrst") for _ in range(n)) for n in range(1, 400)] + ["ha" * n for n in range(200)]
+    for size in (bpe.SPAN_CHARS, 1, 7, 30):  # long texts are cut
+        monkeypatch.setattr(bpe, "SPAN_CHARS", size)
+        assert [x.tolist() for x in c.encode(texts)] == library(c, texts)
+
+
+def test_rank_coder_only_where_ranks_equal_merges(tmp_path):
+    whole = json.load(open(P.path("byte_bpe_50k.json")))
+    for merges, same in (([("a", "b"), ("ab", "c")], True), ([("b", "c"), ("a", "b"), ("ab", "c")], False), ([("ab", "c"), ("a", "b")], False)):
+        made = ["ab", "abc"] if same or len(merges) == 2 else ["bc", "ab", "abc"]
+        vocab = {x: i for i, x in enumerate([*bpe.char_of_byte(), *made])}
+        file = tmp_path / f"{len(merges)}{same}.json"
+        file.write_text(json.dumps(whole | {"added_tokens": [], "model": whole["model"] | {"vocab": vocab, "merges": merges}}))
+        c = bpe.Coder(str(file))
+        texts = ["abc bca", "aabbcc", "", "cab abc\n\nabc "]
+        assert (c.by_rank is not None) == same and [x.tolist() for x in c.encode(texts)] == library(c, texts)
+
+
+def test_new_words_take_less_than_half_the_time_of_the_library():
+    c, rng = bpe.Coder(P.path("byte_bpe_50k.json")), random.Random(13)
+    spent = []
+    for _ in range(3):  # each time words never seen
+        texts = [" ".join("".join(rng.choice(["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha"]) for _ in range(rng.randint(3, 7))) for _ in range(500)) for _ in range(100)]
+        began = time.process_time()
+        got = c.encode(texts)
+        between = time.process_time()
+        assert library(c, texts) == [x.tolist() for x in got]
+        spent.append((between - began) / (time.process_time() - between))
+    assert min(spent) < 0.5
+
+
 def test_round_trip_rows(odd, empty):
     path = P.path("byte_bpe_multi_50k.tiktoken")
     rows = tokens.round_trip(odd, path, P.PATTERN).collect()
