@@ -25,9 +25,9 @@ def cosine(a, b) -> Column:
 
 
 def unit(a) -> Column:
-    """[M1] a zero vector stays."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(a, lambda x: x / n)).otherwise(a)
+    """[M1] a zero vector stays. The norm stands outside the lambda over components, which would take it again for each of them."""
+    scaled = lambda s: F.when(s["n"] > 0, F.transform(s["v"], lambda x: x / s["n"])).otherwise(s["v"])
+    return F.element_at(F.transform(F.array(F.struct(a.alias("v"), norm(a).alias("n"))), scaled), 1)
 
 
 def similarity_of_distance(d) -> Column:

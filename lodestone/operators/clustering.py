@@ -14,12 +14,17 @@ from pyspark.sql import functions as F
 from lodestone.functions import vector
 from lodestone.functions.records import histogram
 from lodestone.functions.text import member_key
-from lodestone.operators import vector_index
+from lodestone.operators import retrieval, vector_index
 from lodestone.operators.retrieval import STRIP, blocks_of, cosine_strips
 from lodestone.plans.components import components
 from lodestone.plans.numbering import numbered
 from lodestone.plans.shared import materialise, release
 
+#: Right rows whose similarities to STRIP left ones are held at a time in linkage.
+TILE = 2048
+#: Pairs that are held until they are computed in full.
+HELD = 1 << 20
+
 
 def vector_blocks(vectors: DataFrame, *more: str) -> DataFrame:
     """``vectors`` (id, vec and ``more``) dealt to pairs of blocks _i <= _j; _side is 0 on the left, 1 on the right, 2 where both blocks are one."""
@@ -81,55 +86,130 @@ def linked_components(vectors: DataFrame, least: float, pruned: bool = False) ->
     return vectors.select("id").join(found.toDF("id", "component"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
+def near_places(ids, n, v, known, left, right, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places that are not ``known`` and have a partner of mean similarity ``least`` or more on the other side, with the place and
+    similarity of the nearest one; the smaller id on ties. ``left`` and ``right``: places, the known ones last; the same list where a
+    side meets itself. A pair is computed once, for both of its ends and in single precision; what may be nearest is computed again in full."""
+    own = left is right
+    mean = v / n[:, None]
+    slack = np.float32(2.0**-22 * (v.shape[1] + 8) * max(1.0, float((mean * mean).sum(axis=1).max(initial=0.0))))
+    mean = mean.astype(np.float32)
+    l, r = mean[left], mean[right]
+    open_left, open_right = int((~known[left]).sum()), int((~known[right]).sum())
+    top = np.where(known, np.inf, least).astype(np.float32)
+    best, to = np.full(len(ids), -np.inf), np.zeros(len(ids), dtype=int)
+    held: list[tuple] = []
+
+    def settle():
+        x, y, s = (np.concatenate(c) for c in zip(*held))
+        held.clear()
+        near = s >= np.minimum(top[x], top[y]) - slack
+        x, y = x[near], y[near]
+        s = np.concatenate([np.zeros(0), *[np.einsum("ij,ij->i", v[x[i : i + TILE]], v[y[i : i + TILE]]) for i in range(0, len(x), TILE)]])
+        s = np.round(s / (n[x] * n[y]), 12)
+        x, y, s = np.concatenate([x, y]), np.concatenate([y, x]), np.concatenate([s, s])
+        good = (s >= least) & ~known[x] & ((s > best[x]) | ((s == best[x]) & (ids[y] < ids[to[x]])))
+        x, y, s = x[good], y[good], s[good]
+        order = np.lexsort((ids[y], -s, x))
+        first = order[np.unique(x[order], return_index=True)[1]]
+        best[x[first]], to[x[first]] = s[first], y[first]
+
+    for i in range(0, len(left), STRIP):
+        xs = left[i : i + STRIP]
+        for j in range(i if own else 0, len(right) if i < open_left else open_right, TILE):
+            ys = right[j : j + TILE]
+            s = l[i : i + STRIP] @ r[j : j + TILE].T
+            once = np.tri(len(xs), len(ys), i - j, dtype=bool) if own and j < i + len(xs) else None
+            if once is not None:
+                s[once] = -np.inf
+            hit = s >= np.float32(least) - slack
+            if np.count_nonzero(hit) > s.size // 32:  # of many, those that may be the best of their row or column
+                top[xs], top[ys] = np.maximum(top[xs], s.max(axis=1)), np.maximum(top[ys], s.max(axis=0))
+                hit = s >= np.minimum(top[xs][:, None], top[ys][None, :]) - slack
+                if np.count_nonzero(hit) > s.size // 32:  # the first in full, by id
+                    a, b = np.argsort(ids[xs]), np.argsort(ids[ys])
+                    full = np.round(v[xs[a]] @ v[ys[b]].T / np.outer(n[xs[a]], n[ys[b]]), 12)
+                    if once is not None:
+                        full[once[np.ix_(a, b)]] = -np.inf
+                    x, y = np.concatenate([a, a[full.argmax(axis=0)]]), np.concatenate([b[full.argmax(axis=1)], b])
+                    hit = np.zeros_like(hit)
+                    hit[x, y] = s[x, y] > -np.inf
+            x, y = np.divmod(np.flatnonzero(hit), len(ys))
+            if len(x):
+                some, x, y = s[x, y], xs[x], ys[y]
+                np.maximum.at(top, x, some)
+                np.maximum.at(top, y, some)
+                near = some >= np.minimum(top[x], top[y]) - slack
+                held.append((x[near], y[near], some[near]))
+                if sum(len(h[0]) for h in held) > HELD:
+                    settle()
+    if held:
+        settle()
+    at = np.flatnonzero(best >= least)
+    return at, to[at], best[at]
+
+
 def nearest(clusters: DataFrame, least: float) -> DataFrame:
     """c, other, sim: each cluster's nearest one by mean similarity of members, the smaller id on ties, where it is ``least`` or
-    more. ``clusters``: id, n, vec (the sum of its members' unit vectors, so a mean over pairs is one product). A block of
-    clusters gives a row for each of them at most."""
+    more. ``clusters``: id, n, vec (the sum of its members' unit vectors, so a mean over pairs is one product) and, if there are
+    some that need no search, known. A block of clusters gives a row for each of them at most."""
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("id").reset_index(drop=True)
-        ids, side, n = block.id.to_numpy(), block._side.to_numpy(), block.n.to_numpy(dtype=float)
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        known = block.known.to_numpy(dtype=bool)
+        block = block.iloc[np.argsort(known, kind="stable")]
+        ids, side, known = block.id.to_numpy(), block._side.to_numpy(), np.sort(known)
+        left = np.flatnonzero(side != 1)
+        right = left if len(side) and side[0] == 2 else np.flatnonzero(side != 0)
         v = np.array(block.vec.tolist(), dtype=float).reshape(len(block), -1)
-        top, to = np.full(len(block), -np.inf), np.zeros(len(block), dtype=int)
+        at, to, sims = near_places(ids, block.n.to_numpy(dtype=float), v, known, left, right, least)
+        return pd.DataFrame({"c": ids[at], "other": ids[to], "sim": sims})
 
-        def offer(own, best, sims):  # of equals the first stays, which has the smallest id
-            more = sims > top[own]
-            top[own[more]], to[own[more]] = sims[more], best[more]
-
-        # a pair is computed once, for both of its clusters, some left rows at a time
-        for at in range(0, len(left), STRIP):
-            some = left[at : at + STRIP]
-            others = right[at:] if side[0] == 2 else right
-            if not len(others):
-                break
-            s = np.round(v[some] @ v[others].T / np.outer(n[some], n[others]), 12)
-            k = len(some) if side[0] == 2 else 0
-            if k:
-                upper = np.triu(s[:, :k], 1)
-                s[:, :k] = upper + upper.T
-                np.fill_diagonal(s[:, :k], -np.inf)
-            best = s.argmax(axis=1)
-            offer(some, others[best], s[np.arange(len(some)), best])
-            if k < len(others):
-                best = s[:, k:].argmax(axis=0)
-                offer(others[k:], some[best], s[:, k:][best, np.arange(len(others) - k)])
-        good = np.flatnonzero(top >= least)
-        return pd.DataFrame({"c": ids[good], "other": ids[to[good]], "sim": top[good]})
-
-    found = vector_blocks(clusters, "n").groupBy("_i", "_j").applyInPandas(run, "c bigint, other bigint, sim double")
+    flagged = clusters if "known" in clusters.columns else clusters.withColumn("known", F.lit(False))
+    found = vector_blocks(flagged, "n", "known").groupBy("_i", "_j").applyInPandas(run, "c bigint, other bigint, sim double")
     best = found.groupBy("c").agg(F.max(F.struct("sim", (-F.col("other")).alias("other"))).alias("b"))
     return best.select("c", (-F.col("b.other")).alias("other"), "b.sim")
 
 
+def merges(clusters: DataFrame, least: float) -> DataFrame:
+    """into, id: all merges of at most one block of clusters, in one task; the rounds of ``cluster``. ``clusters``: id, n, vec."""
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("id")
+        ids, n, v = block.id.to_numpy(), block.n.to_numpy(dtype=float), np.array(block.vec.tolist(), dtype=float).reshape(len(block), -1)
+        other, done = np.full(len(ids), -1), []
+        while len(ids):
+            known = other >= 0
+            every = np.argsort(known, kind="stable")
+            at, to, _ = near_places(ids, n, v, known, every, every, least)
+            other[at] = to
+            into = np.flatnonzero((other > np.arange(len(ids))) & (other[other] == np.arange(len(ids))))
+            if not len(into):
+                break
+            gone = other[into]
+            done.append(np.stack([ids[into], ids[gone]], axis=1))
+            v[into] += v[gone]
+            n[into] += n[gone]
+            left = other >= 0
+            other[np.isin(other, np.concatenate([into, gone]))] = -1
+            left[gone] = False
+            place = np.cumsum(left) - 1
+            ids, n, v, other = ids[left], n[left], v[left], other[left]
+            other = np.where(other >= 0, place[other], -1)
+        return pd.DataFrame(np.concatenate(done) if done else np.zeros((0, 2), dtype="int64"), columns=["into", "id"])
+
+    return clusters.select("id", "n", "vec").groupBy().applyInPandas(run, "into bigint, id bigint")
+
+
 def cluster(vectors: DataFrame, least: float = 0.75) -> DataFrame:
     """[G2, M5] id and cluster (its smallest id) of every vector, by greedy average linkage: the pair of clusters with the highest
     mean similarity is merged while that is ``least`` (above 0) or more; of equal pairs the one of smaller ids is first.
 
     Average linkage is reducible: a merge brings no cluster nearer to a third one than the nearer of its halves was. So two
     clusters that are each other's nearest stay so until they merge, whatever is merged elsewhere, and all such pairs merge
-    in one round with the result of merging one at a time. A cluster whose nearest is below ``least`` is done. Clusters are
-    kept as sums of unit vectors and counts; rounds are written to the shared folder. Equal vectors are one cluster from the
+    in one round with the result of merging one at a time. A cluster whose nearest is below ``least`` is done, and one whose
+    nearest has not merged keeps it: only new clusters and those whose nearest has merged are compared with all. Clusters are
+    kept as sums of unit vectors and counts; rounds are written to the shared folder. The last rounds, which are many and of
+    few merges, run in one task once the clusters left fit one block. Equal vectors are one cluster from the
     start. Null, empty and zero vectors and those with components that are not finite stay alone.
     """
     if least <= 0:
@@ -138,27 +218,38 @@ def cluster(vectors: DataFrame, least: float = 0.75) -> DataFrame:
     good = F.coalesce(F.forall("vec", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))), F.lit(False)) & (vector.norm(F.col("vec")) > 0)
     units = vectors.select("id", doubles.alias("vec")).where(good).select("id", F.transform(vector.unit(F.col("vec")), lambda x: x + 0.0).alias("vec"))
     copies = materialise(units.groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("n")), "copies")
-    active = copies.select("id", "n", F.transform("vec", lambda x: x * F.col("n")).alias("vec"))
+    active = copies.select("id", "n", F.transform("vec", lambda x: x * F.col("n")).alias("vec"), F.lit(None).cast("bigint").alias("other"), F.lit(None).cast("double").alias("sim"))
     merged = []
-    while True:
-        best = materialise(nearest(active, least), "nearest")
+    while active.count() > retrieval.BLOCK:
+        known = F.col("other").isNotNull()
+        searched = nearest(active.select("id", "n", "vec", known.alias("known")), least)
+        best = materialise(searched.union(active.where(known).select("id", "other", "sim")), "nearest")
         mutual = best.alias("a").join(best.alias("b"), F.expr("a.c = b.other and a.other = b.c and a.c < b.c")).select(F.col("a.c").alias("into"), F.col("b.c").alias("id"))
         pairs = materialise(mutual, "merged")
         if pairs.isEmpty():
             break
         merged.append(pairs)
-        left = active.join(best.select(F.col("c").alias("id")), "id", "left_semi").join(pairs, "id", "left").select(F.coalesce("into", "id").alias("id"), "n", "vec")
+        ends = pairs.select(F.explode(F.array(F.struct(F.col("into").alias("id"), "into"), F.struct("id", "into"))).alias("e")).select("e.*")
+        near = best.join(ends.select(F.col("id").alias("other"), F.lit(True).alias("gone")), "other", "left").select(F.col("c").alias("id"), F.when(F.col("gone").isNull(), F.col("other")).alias("other"), F.when(F.col("gone").isNull(), F.col("sim")).alias("sim"))
+        left = active.select("id", "n", "vec").join(near, "id").join(ends, "id", "left")
+        two = left.where("into is not null").groupBy("into").agg(F.sum("n").alias("n"), F.collect_list("vec").alias("vs"))
+        total = F.zip_with(F.element_at("vs", 1), F.element_at("vs", 2), lambda x, y: x + y)
+        new = two.select(F.col("into").alias("id"), "n", total.alias("vec"), F.lit(None).cast("bigint").alias("other"), F.lit(None).cast("double").alias("sim"))
         before = active, best
-        two = left.groupBy("id").agg(F.sum("n").alias("n"), F.collect_list("vec").alias("vs"))  # one or two sums
-        active = materialise(two.select("id", "n", F.when(F.size("vs") == 1, F.element_at("vs", 1)).otherwise(F.zip_with(F.element_at("vs", 1), F.try_element_at("vs", F.lit(2)), lambda x, y: x + y)).alias("vec")), "clusters")
+        active = materialise(left.where("into is null").drop("into").union(new), "clusters")
         release(*before)
+    else:
+        merged.append(materialise(merges(active, least), "merged"))
+        release(active)
     own = units.join(copies.select("vec", F.col("id").alias("copy")), "vec").select("id", "copy")
     if merged:
         links = reduce(DataFrame.union, merged).toDF("a", "b")
         own = own.join(components(links).toDF("copy", "component"), "copy", "left").select("id", F.coalesce("component", "copy").alias("cluster"))
     else:
         own = own.select("id", F.col("copy").alias("cluster"))
-    return vectors.select("id").join(own, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
+    found = materialise(vectors.select("id").join(own, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster")), "clustered")
+    release(copies, *merged)
+    return found
 
 
 def vector_sums(rows: DataFrame, group: str, *more: Column) -> DataFrame:

@@ -70,3 +70,43 @@ def test_no_task_gets_a_component(spark, monkeypatch):
     sizes = clustering.vector_blocks(df, "n").groupBy("_i", "_j").count().agg(F.max("count")).first()[0]
     assert sizes < 160 and clustering.nearest(df, -1.0).count() == 400
     assert rounds(spark, v, 0.8) == fold(v, 0.8)
+
+
+def test_the_nearest_search_equals_brute_force(monkeypatch):
+    """Even, tied and nearly equal vectors; strips and tiles of few rows; with and without places that need no search."""
+    rng = np.random.default_rng(1)
+    for case in range(36):
+        strip, tile, held = [(256, 2048, 1 << 20), (7, 11, 5), (16, 8, 100)][case // 3 % 3]
+        for name, value in (("STRIP", strip), ("TILE", tile), ("HELD", held)):
+            monkeypatch.setattr(clustering, name, value)
+        shape = int(rng.integers(2, 120)), int(rng.integers(1, 9))
+        v = (rng.integers(1, 3, shape).astype(float), rng.normal(size=shape), 1 + 1e-7 * rng.normal(size=shape))[case % 3]
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        n = rng.integers(1, 4, len(v)).astype(float)
+        v, ids, known = v * n[:, None], rng.permutation(3 * len(v))[: len(v)], np.sort(rng.random(len(v)) < rng.choice([0, 0.5, 0.9]))
+        side = rng.random(len(v)) < 0.5
+        left, right = (np.flatnonzero(side), np.flatnonzero(~side)) if case % 2 else [np.arange(len(v))] * 2
+        least = (-1.0, 0.4, 0.9)[case // 9 % 3]
+        sims, want = np.round(v @ v.T / np.outer(n, n), 12), {}
+        for x in np.flatnonzero(~known).tolist():
+            others = [y for y in range(len(v)) if y != x and (left is right or side[x] != side[y]) and sims[x, y] >= least]
+            if others:
+                want[x] = min(others, key=lambda y: (-sims[x, y], ids[y]))
+        at, to, found = clustering.near_places(ids, n, v, known, left, right, least)
+        assert dict(zip(at.tolist(), to.tolist())) == want
+        assert np.allclose(found, [sims[x, y] for x, y in want.items()], atol=1e-11)
+
+
+def test_only_changed_clusters_are_searched_and_the_last_rounds_are_one_task(spark, monkeypatch):
+    """A chain of ever nearer pairs took a written round for each link; 300 vectors were all compared again in each round."""
+    angles = np.cumsum([0.30 * 0.97**k for k in range(40)])
+    chain = {i: [float(np.cos(a)), float(np.sin(a))] for i, a in enumerate(angles)}
+    searched, nearest = [], clustering.nearest
+    monkeypatch.setattr(clustering, "nearest", lambda c, least: searched.append(c.groupBy("known").count().collect()) or nearest(c, least))
+    assert rounds(spark, chain, 0.5) == fold(chain, 0.5) and not searched
+    rng = np.random.default_rng(5)
+    v = {i: (np.array([1.0, 0, 0, 0]) + rng.normal(0, 0.4, 4)).tolist() for i in range(300)}
+    monkeypatch.setattr(retrieval, "BLOCK", 60)
+    assert rounds(spark, v, 0.8) == fold(v, 0.8)
+    counts = [{r.known: r["count"] for r in s} for s in searched]
+    assert len(counts) > 1 and counts[0] == {False: 300} and all(c.get(True, 0) > 0 for c in counts[1:])
