@@ -440,8 +440,5 @@ def section_chunks(spark, sf):
 @query()
 def diff_spans(spark, sf):
     text_batches(spark)
-    d = table(spark, sf, "documents").select("doc_id", "source", "text")
-    w = Window.partitionBy("source").orderBy("doc_id")
-    pairs = d.withColumn("next", F.lead(F.struct("text")).over(w)).where("next is not null")
-    pairs = pairs.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
-    return pairs.withColumn("c", proposals.compare(F.col("text"), F.col("next.text"))).select("doc_id", F.round("c.ratio", 6).alias("ratio"), F.size("c.spans").alias("n_spans"))
+    pairs = proposals.neighbours(table(spark, sf, "documents").select("doc_id", "source", "text"))
+    return pairs.select("doc_id", F.round("ratio", 6).alias("ratio"), "n_spans")

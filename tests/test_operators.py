@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators import clustering, coverage, ingest, metrics, proposals, rerank, retrieval, rules, sessions, verbatim
-from lodestone.plans import catalog
+from lodestone.plans import catalog, shared
 from lodestone.plans.components import components
 from lodestone.sources import store
 from lodestone.streaming import live
@@ -211,6 +211,43 @@ def test_matching_blocks_equal_difflib():
         assert ratio == m.ratio() and [tuple(x.values()) for x in spans] == [o for o in m.get_opcodes() if o[0] != "equal"]
 
 
+
+def test_pairs_that_are_aligned_together_equal_difflib(monkeypatch):
+    """Listed long runs, runs too many to list, and short ones, in groups of pairs and at several lengths of a long run."""
+    r = random.Random(5)
+    some = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    wide = "".join(chr(200 + i) for i in range(400))
+
+    def pair():
+        letters = r.choice(["a", "ab", "abcdefgh ", "a\U0001f600\ud800", wide])
+        words = [some(letters, r.randrange(1, 12)) for _ in range(6)]
+        text = lambda: "".join(r.choice(words) for _ in range(r.randrange(30)))
+        line = some(letters, r.randrange(5, 60))
+        return r.choice([(text(), text()), (line * r.randrange(1, 6), line[3:] * r.randrange(1, 6)), (some(letters, 90), some(letters, 90))])
+
+    for long in (2, 7):
+        monkeypatch.setattr(proposals, "LONG", long)
+        pairs = [*(pair() for _ in range(150)), ("ab" * 300, "ba" * 250 + "a"), ("", ""), ("", "x"), ("same", "same"), ("same", "same")]
+        ratios, of, spans = proposals.differences(pairs)
+        for k, (a, b) in enumerate(pairs):
+            m = difflib.SequenceMatcher(a=a, b=b, autojunk=False)
+            assert ratios[k] == m.ratio() and spans[of == k].tolist() == [list(o[1:]) for o in m.get_opcodes() if o[0] != "equal"]
+
+
+def test_a_large_source_is_spread_over_tasks(spark, monkeypatch):
+    texts = {i: ("s" if i < 300 else None if i < 305 else "t", None if i % 50 == 7 else f"text {i * i} of {i % 7}") for i in range(310)}
+    docs = spark.createDataFrame([(i, s, t) for i, (s, t) in texts.items()], "doc_id bigint, source string, text string").repartition(3)
+    written = []
+    monkeypatch.setattr(proposals, "materialise", lambda df, name: written.append(shared.materialise(df, name)) or written[-1])
+    got = {r.doc_id: (r.ratio, r.n_spans) for r in proposals.neighbours(docs).collect()}
+    want = {}
+    for i in range(309):
+        if texts[i][0] == texts[i + 1][0]:
+            m = difflib.SequenceMatcher(a=texts[i][1] or "", b=texts[i + 1][1] or "", autojunk=False)
+            want[i] = (m.ratio(), sum(o[0] != "equal" for o in m.get_opcodes()))
+    assert got == want and written[0].where("source = 's' and task is not null").select("task").distinct().count() > 2
+
+
 def test_store(spark, tmp_path):
     s = store.Store(spark, str(tmp_path / "s"), "id bigint, name string")
     assert s.read().count() == 0 and s.next_id == 1
