@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from heapq import heapify, heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ LONG = 7
 SHORT_RUN = 16
 #: Characters of the pairs that are aligned together.
 TOGETHER = 1 << 16
-#: An odd number that spreads keys over the upper bits.
-MIXED = np.uint64(0x9E3779B97F4A7C15)
+#: Odd numbers, not multiples of each other, that spread characters, places and parts over 32 bits.
+MIXED, STEP, SALT = 0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35
 
 
 class Runs:
@@ -47,7 +48,7 @@ class Runs:
             ranks = np.unique(codes, return_inverse=True)[1].astype(np.int64)
         self.numbers = [ranks]
         self.bits = max(1, int(ranks.max(initial=0)).bit_length())
-        self.packed = [ranks]
+        self.hashes = {1: ranks.astype(np.uint32) * np.uint32(MIXED)}
 
     def few(self, n: int) -> bool:
         return n * self.bits <= 56
@@ -58,40 +59,55 @@ class Runs:
 
     def at(self, places: np.ndarray, n: int) -> np.ndarray:
         if self.few(n):
-            while len(self.packed) < n:
-                self.packed.append(self.packed[-1][:-1] << self.bits | self.numbers[0][len(self.packed) :])
-            return self.packed[n - 1][places]
+            out = self.numbers[0][places]
+            for k in range(1, n):
+                out = out << self.bits | self.numbers[0][places + k]
+            return out
         k = n.bit_length() - 1
         while len(self.numbers) <= k:
             half, low = 1 << (len(self.numbers) - 1), self.numbers[-1]
             self.numbers.append(np.unique(low[:-half] * self.width + low[half:], return_inverse=True)[1].astype(np.int64))
         return self.numbers[k][places] * self.width + self.numbers[k][places + (n - (1 << k))]
 
+    def mixed(self, n: int) -> np.ndarray:
+        """32 bits that equal runs of ``n`` characters share, at every place; those of a run follow from those of its two pieces."""
+        if n in self.hashes:
+            return self.hashes[n]
+        tail = 1 << (n - 1).bit_length() - 1
+        out = self.mixed(n - tail)[: max(self.width - n, 0)] * np.uint32(pow(STEP, tail, 1 << 32))
+        out += self.mixed(tail)[n - tail :]
+        if n <= LONG or n == 2 * tail:
+            self.hashes[n] = out
+        return out
+
     def common(self, parts: np.ndarray, n: int):
         """Part and start in a of every run of ``n`` characters that the part's other side holds too, in order; starts in b by number of run
         and place, and the first and last of them for each. ``parts``: rows of start and end in a, start and end in b."""
         more = np.maximum(parts[:, [1, 3]] - parts[:, [0, 2]] - n + 1, 0)
         more[(more == 0).any(axis=1)] = 0
-        own = [np.repeat(np.arange(len(parts)), c) for c in more.T]
-        start = [np.arange(len(s)) + np.repeat(lo - np.cumsum(c) + c, c) for s, c, lo in zip(own, more.T, (parts[:, 0], parts[:, 2]))]
-        x, y = self.at(start[0], n), self.at(start[1] + self.split, n)
+        total, mixed = more.sum(axis=0), self.mixed(n)
+        start = [np.arange(t) + np.repeat(lo - np.cumsum(c) + c, c) for t, c, lo in zip(total, more.T, (parts[:, 0], parts[:, 2] + self.split))]
+        # most runs have no partner: a table of hashes rules them out before anything is numbered or sorted
+        bits = min(max(12, int(total.max()).bit_length() + 2), 32)
+        salt = np.arange(len(parts), dtype=np.uint32) * np.uint32(SALT)
+        x, y = (((mixed[s] + np.repeat(salt, c)) >> np.uint32(32 - bits)).astype(np.int64) for s, c in zip(start, more.T))
+        seen = np.zeros((2, 1 << bits), dtype=bool)
+        seen[0][y] = True
+        maybe = [np.flatnonzero(seen[0][x])]
+        seen[1][x[maybe[0]]] = True
+        maybe.append(np.flatnonzero(seen[1][y]))
+        own = [np.searchsorted(np.cumsum(c), at, "right") for c, at in zip(more.T, maybe)]
+        start = [s[at] for s, at in zip(start, maybe)]
+        x, y = (self.at(s, n) for s in start)
         if self.most(n) * len(parts) >= 1 << 63:
             both = np.unique(np.concatenate([x, y]), return_inverse=True)[1].astype(np.int64)
             x, y = both[: len(x)], both[len(x) :]
         x, y = x * len(parts) + own[0], y * len(parts) + own[1]
-        # most runs have no partner: a table of hashes rules them out before anything is sorted
-        bits = max(12, len(y).bit_length() + 3)
-        table = lambda v: (v.astype(np.uint64) * MIXED) >> np.uint64(64 - bits)
-        hx, hy = table(x), table(y)
-        seen = np.zeros((2, 1 << bits), dtype=bool)
-        seen[0][hx], seen[1][hy] = True, True
-        maybe, held = np.flatnonzero(seen[1][hx]), np.flatnonzero(seen[0][hy])
-        held = held[np.argsort(y[held], kind="stable")]
-        x, y = x[maybe], y[held]
-        first, last = np.searchsorted(y, x), np.searchsorted(y, x, "right")
-        hit = first < last
-        maybe = maybe[hit]
-        return own[0][maybe], start[0][maybe], start[1][held], first[hit], last[hit]
+        order = np.argsort(y, kind="stable")
+        y, places = y[order], start[1][order] - self.split
+        first = np.searchsorted(y, x)
+        hit = np.flatnonzero(np.append(y, -1)[first] == x)
+        return own[0][hit], start[0][hit], places, first[hit], np.searchsorted(y, x[hit], "right")
 
 
 def long_runs(runs: Runs, parts: np.ndarray) -> tuple[list[list[tuple[int, int, int]]], np.ndarray]:
@@ -201,22 +217,26 @@ def matching_blocks(a: str, b: str) -> list[tuple[int, int, int]]:
 def without(parts: np.ndarray, n: int, held, found: list) -> np.ndarray:
     """The parts that are left when runs of ``n`` characters are taken, which are added to ``found``. ``held``: as of ``Runs.common``."""
     own, starts, places, first, last = held
+    new = np.flatnonzero(np.diff(own, prepend=-1))
+    cut = own[new]
     places, left = places.tolist(), []
-    part, i, j, ahi, bhi = -1, 0, 0, 0, 0
-    for p, at, low, high in zip(own.tolist(), starts.tolist(), first.tolist(), last.tolist()):
-        if p != part:
+    ends = [*new[1:].tolist(), len(own)]
+    hits = zip(starts.tolist(), first.tolist(), last.tolist())
+    for (i, ahi, j, bhi), count in zip(parts[cut].tolist(), np.diff(ends, prepend=0).tolist()):
+        for at, low, high in islice(hits, count):
+            if at >= i:
+                k = bisect_left(places, j, low, high)
+                if k < high:
+                    to = places[k]
+                    found.append((at, to, n))
+                    if i < at and j < to:
+                        left.append((i, at, j, to))
+                    i, j = at + n, to + n
+        if i < ahi and j < bhi:
             left.append((i, ahi, j, bhi))
-            part, (i, ahi, j, bhi) = p, parts[p].tolist()
-        if at >= i:
-            k = bisect_left(places, j, low, high)
-            if k < high:
-                to = places[k]
-                found.append((at, to, n))
-                left.append((i, at, j, to))
-                i, j = at + n, to + n
-    left.append((i, ahi, j, bhi))
-    kept = np.concatenate([np.delete(parts, np.unique(own), axis=0), np.array(left)])
-    return kept[(kept[:, 0] < kept[:, 1]) & (kept[:, 2] < kept[:, 3])]
+    kept = np.ones(len(parts), dtype=bool)
+    kept[cut] = False
+    return np.concatenate([parts[kept], np.array(left, dtype=np.int64).reshape(-1, 4)])
 
 
 def differences(pairs: list[tuple[str, str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
